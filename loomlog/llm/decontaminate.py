@@ -39,7 +39,7 @@ def shingle_hashes(df: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_texts(df: DataFrame, k: int) -> DataFrame:
-    return _windows(df.select("id", _tokens(F.col("text")).alias("s")), "s", k, _text).select("id", F.explode("s").alias("s")).distinct()
+    return _windows(df.select("id", _tokens(F.col("text")).alias("s")), "s", k, _text).select("id", F.explode_outer("s").alias("s")).where("s is not null").distinct()
 
 
 def item_sketches(items: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -68,8 +68,9 @@ def find_contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: flo
     top = sketch.agg(F.max("h")).first()[0]
     if top is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, containment double")
+    # explode_outer here and below: for explode Spark would test for empty arrays first, building each array once more
     # of a document only hashes up to the deepest sketch can meet one: most shingles end here, before any join
-    probes = shingle_hashes(docs, k).select(F.col("id").alias("doc_id"), F.explode(F.filter("s", lambda h: h <= top)).alias("h"))
+    probes = shingle_hashes(docs, k).select(F.col("id").alias("doc_id"), F.explode_outer(F.filter("s", lambda h: h <= top)).alias("h")).where("h is not null")
     found = written(probes.join(_small(sketch.select("h", "item_id").distinct()), "h").select("doc_id", "item_id").distinct(), "candidates")
     ids = found.select(F.col("doc_id").alias("c")).distinct()
     some = docs.join(_small(ids), F.col("id").eqNullSafe(F.col("c")), "left_semi")

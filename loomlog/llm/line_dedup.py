@@ -48,7 +48,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanou
     Null doc_ids sort before all others. Rows that share a doc_id are one document: none of them makes another's line
     a repeat. Keys are compared by 128 bits of hash. Null or empty texts have one empty line, which is too short to go.
     """
-    keyed = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    keyed = docs.select("doc_id", F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
     keyed = keyed.select("doc_id", "pos", F.translate(F.regexp_replace("line", _ENDS, ""), UPPER, LOWER).alias("key"))
     keyed = keyed.where(F.char_length("key") >= min_chars)
     hashed = keyed.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))

@@ -61,8 +61,8 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, p
     ids = F.broadcast(ids) if ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else ids
     hashed = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("wh"))
     marked = _grams(hashed, buckets).join(ids, F.col("doc_id") == F.col("t_id"), "left")
-    rows = marked.select(F.col("t_id").isNotNull().alias("good"), F.explode("grams").alias("b"))
-    counts = rows.groupBy("b").agg(F.count("*").alias("raw"), F.count_if("good").alias("target")).collect()  # one row a bucket
+    rows = marked.select(F.col("t_id").isNotNull().alias("good"), F.explode_outer("grams").alias("b"))  # _outer: else Spark tests for empty arrays below, building them twice
+    counts = rows.where("b is not null").groupBy("b").agg(F.count("*").alias("raw"), F.count_if("good").alias("target")).collect()  # one row a bucket
     raw, target = [prior] * buckets, [prior] * buckets
     for r in counts:
         raw[r["b"]] += r["raw"]

@@ -38,7 +38,8 @@ def repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 10) -> DataF
         ),
     )
     long_enough = F.filter(runs, lambda r: (r["w"] >= min_words) | ((n <= span) & (r["w"] > 0)))
-    spans = df.where(n > 0).select("doc_id", F.least(n, F.lit(span)).alias("len"), F.inline(long_enough)).drop("w")
+    # _outer: for inline Spark would test for empty arrays first, building each array once more
+    spans = df.select("doc_id", F.least(n, F.lit(span)).alias("len"), F.inline_outer(long_enough)).where("pos is not null").drop("w")
     first = spans.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1")
     first = written(first.select("a", "b", F.col("first.doc_id").alias("f_id"), F.col("first.pos").alias("f_pos")), "spans")
     again = spans.join(first, ["a", "b"]).where(~(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("pos") == F.col("f_pos"))))
