@@ -13,6 +13,9 @@ from loomlog.llm.decontaminate import SMALL_ROWS
 #: Hash buckets of unigrams and bigrams together; also the length of the weight table that the plan carries.
 BUCKETS = 10_000
 SYMBOLS = "#*$%&|<>"
+#: Least mean log ratio of a kept text: one that is over 3% less likely by n-gram under the target than under the raw
+#: corpus goes. Zero would put half of the texts of a small source or language, whose ratio is all noise, below it.
+TOLERANCE = -0.03
 
 
 def form_counts(docs: DataFrame, window: int = 8) -> DataFrame:
@@ -73,7 +76,7 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, p
     return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw, strict=True)]
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = 0.0, buckets: int = BUCKETS) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = TOLERANCE, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, counts of form_counts, base_failed, llr, kept): a row for each row of docs.
 
     llr is the mean of the weights of a text's n-grams, so long and short texts compare; none: 0. A row is kept if it
