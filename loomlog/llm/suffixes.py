@@ -20,7 +20,7 @@ from loomlog.llm.common import by_bucket, counted, pack, parts, read, totals_of
 
 MIN_BYTES, ANCHOR = 100, 32
 CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 6 << 20
-#: Suffixes sorted at once; a block grows beyond it only for one anchor's own contexts.
+#: Bytes of runs whose suffixes are sorted at once.
 BLOCK = 40_000
 _DIVERSE = -1
 
@@ -158,6 +158,41 @@ _CONTEXTS = "bucket int, chunk long, anchors binary, lens binary, data binary, i
 _CUTS = "chunk long, cuts binary"
 
 
+def _slices(kept: np.ndarray, anchor: np.ndarray, lens: np.ndarray, size: int = 1 << 20):
+    """Rows in the order of anchors, cut between anchors into slices of about `size` bytes; lone rows of an anchor are left out."""
+    if not len(kept):
+        return
+    edge = np.flatnonzero(np.append(np.diff(anchor[kept]) != 0, True)) + 1
+    sizes = np.diff(edge, prepend=0)
+    many = kept[np.repeat(sizes > 1, sizes)]
+    edge = np.cumsum(sizes[sizes > 1])
+    if len(edge):
+        at = (np.cumsum(lens[many])[edge - 1] - 1) // size
+        yield from np.split(many, edge[:-1][np.diff(at) > 0])
+
+
+def repeated_runs(texts: list[bytes], keys: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, offset, length) of the runs of texts whose min_bytes strings all occur twice or more under their key.
+
+    What is left out has no repeat to report, so the suffix array is built over the runs alone. Hashes decide, so an
+    unlucky run may be too long, which the suffix array sorts out; none is missed.
+    """
+    lens = np.array([len(t) for t in texts], np.int64)
+    starts = np.maximum(lens - min_bytes + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), starts)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
+    half = 1 << (min_bytes.bit_length() - 1)
+    h, at = _window_hashes(b"".join(texts), half), (np.cumsum(lens) - lens)[owner] + offset
+    with np.errstate(over="ignore"):
+        h = _mixed(h[at] * np.uint64(0xD6E8FEB86659FD93) + h[at + min_bytes - half]) ^ _mixed(keys[owner])
+    _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+    twice = count[inverse] > 1
+    fresh = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
+    begin = np.flatnonzero(twice & (fresh | ~np.append(False, twice[:-1])[: len(twice)]))
+    end = np.flatnonzero(twice & (np.append(fresh[1:], True) | ~np.append(twice[1:], False))[: len(twice)])
+    return owner[begin], offset[begin], offset[end] - offset[begin] + min_bytes
+
+
 def _cut_repeats(pdf: pd.DataFrame, min_bytes: int) -> pd.DataFrame:
     """One hash partition of contexts -> per chunk the ranges (text, start, end) that repeat an earlier string."""
     cols = {c: [np.frombuffer(x, t) for x in pdf[c]] for c, t in (("anchors", "<u8"), ("lens", "<i4"), ("ids", "<i8"), ("shas", ">u8"), ("docs", "<i4"), ("at", "<i4"))}
@@ -176,25 +211,29 @@ def _cut_repeats(pdf: pd.DataFrame, min_bytes: int) -> pd.DataFrame:
         seen.add(texts[i])
     again, kept = np.array(again, np.int64), np.array(kept, np.int64)
     cut.append((again, a["at"][again], a["at"][again] + a["lens"][again]))
-    if len(kept):
-        new = np.flatnonzero(np.diff(a["anchors"][kept], prepend=~a["anchors"][kept[:1]]) != 0)
-        sizes = np.diff(np.append(new, len(kept)))
-        blocks, block, room = [], [], BLOCK
-        for s, n in zip(new[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            need = int(a["lens"][kept[s : s + n]].sum()) - n * (min_bytes - 1)
-            if block and need > room:
-                blocks, block, room = [*blocks, block], [], BLOCK
-            block, room = [*block, *kept[s : s + n].tolist()], room - need
-        for block in [*blocks, block] if block else blocks:
-            own = np.array(block)
-            for length, who, off in maximal_repeats([texts[i] for i in block], min_bytes):
-                i = own[who]
-                begin = a["at"][i] + off
-                by = np.lexsort((begin, a["shas"][i], a["ids"][i]))
-                # all but the first occurrence go; contexts overlap, so one occurrence may be in several
-                same = (a["ids"][i] == a["ids"][i[by[0]]]) & (a["shas"][i] == a["shas"][i[by[0]]]) & (begin == begin[by[0]])
-                later = np.flatnonzero(~same)
-                cut.append((i[later], begin[later], begin[later] + length))
+    for own in _slices(kept, a["anchors"], a["lens"]):
+        who, off, size = repeated_runs([texts[i] for i in own.tolist()], a["anchors"][own], min_bytes)
+        # runs of one anchor that are equal collapse again: the earliest stays for the suffix array, the others go
+        first: dict[tuple, int] = {}
+        place = list(zip(a["ids"][own[who]].tolist(), a["shas"][own[who]].tolist(), (a["at"][own[who]] + off).tolist(), strict=True))
+        later = []
+        for j, (w, o, n) in enumerate(zip(own[who].tolist(), off.tolist(), size.tolist(), strict=True)):
+            i = first.setdefault((int(a["anchors"][w]), texts[w][o : o + n]), j)
+            if place[i] != place[j]:  # else two contexts show one occurrence
+                later.append(j)
+        later = np.array(later, np.int64)
+        begin = (a["at"][own[who]] + off)[later]
+        cut.append((own[who][later], begin, begin + size[later]))
+        stay = np.array(list(first.values()), np.int64)
+        for block in _slices(stay, a["anchors"][own[who]], size, BLOCK):
+            i, o = own[who[block]], off[block]
+            for length, t, x in maximal_repeats([texts[w][s : s + n] for w, s, n in zip(i.tolist(), o.tolist(), size[block].tolist(), strict=True)], min_bytes):
+                w = i[t]
+                begin = a["at"][w] + o[t] + x
+                by = np.lexsort((begin, a["shas"][w], a["ids"][w]))[0]
+                # all but the first occurrence go; runs overlap, so one occurrence may be in several
+                same = (a["ids"][w] == a["ids"][w[by]]) & (a["shas"][w] == a["shas"][w[by]]) & (begin == begin[by])
+                cut.append((w[~same], begin[~same], begin[~same] + length))
     which, begin, end = (np.concatenate(x) for x in zip(*cut, strict=True))
     chunk = pdf["chunk"].to_numpy()
     out = [(c, x) for c, x in zip(pdf["chunk"], pdf["cuts"], strict=True) if x]
