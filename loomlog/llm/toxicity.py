@@ -16,7 +16,6 @@ from loomlog.llm.common import read
 
 _TOKEN = re.compile(r"\w+")
 BITS = 20
-SCHEMA = "doc_id long, score double"
 
 
 def terms(word: str) -> list[int]:
@@ -130,15 +129,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, kept: int = 40
     return fit_fm([np.asarray(got["idx"][i], np.int64) for i in order], got["y"].to_numpy(float)[order] if len(got) else np.zeros(0), ids)
 
 
+def score_column(model: Model, text: F.Column) -> F.Column:
+    """The score of a text column, batch by batch; a null or empty text gets the model's base score."""
+    cache: dict = {}
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(model.rows(t, cache)) for t in texts], dtype=float)
+
+    return scored(text)
+
+
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) from the text alone: a row for each row of docs; a null or empty text gets the model's base score."""
+    """(doc_id, score) from the text alone: a row for each row of docs, none for an empty table."""
+    return docs.select(F.col("doc_id").cast("long"), score_column(model, F.col("text")).alias("score"))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [model.score(model.rows(t, cache)) for t in pdf["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(scored, SCHEMA)
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below the threshold."""
+    return docs.where(score_column(model, F.col("text")) < threshold)
 
 
 def held_out() -> F.Column:
