@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.functions.pricing import rates_sql
-from loomlog.operators import analytics
-from loomlog.plans import derivations
+from loomlog.operators import analytics, sessions, transcript
+from loomlog.plans import derivations, panels
 from loomlog.sources.views import Inputs, prefix
 
-FAMILIES = [analytics.QUERIES, derivations.QUERIES]
+FAMILIES = [analytics.QUERIES, derivations.QUERIES, panels.QUERIES, sessions.QUERIES, transcript.QUERIES]
 
 
 def _plain(df: DataFrame) -> DataFrame:
