@@ -8,6 +8,7 @@ partition builds an enhanced suffix array over these contexts. Longer repeats ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -65,39 +66,61 @@ def anchors(data: bytes, min_bytes: int = MIN_BYTES, k: int = ANCHOR) -> tuple[n
     return at, h[at]
 
 
-def maximal_repeats(texts: list[bytes], min_bytes: int = MIN_BYTES) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def maximal_repeats(texts: list[bytes], min_bytes: int = MIN_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, text numbers, offsets) of every maximal repeat of at least min_bytes, with ALL of its occurrences.
 
     An enhanced suffix array (order, common-prefix lengths, byte before) is scanned with a stack of common-prefix
     intervals. An interval is right-maximal by itself; it is output if the bytes before its suffixes differ, where
-    the start of a text differs from everything.
+    the start of a text differs from everything. Suffixes whose first min_bytes bytes no other shares are in no repeat,
+    so the array is built batch by batch over groups that share them, which bounds its memory by the largest group.
     """
     lens = np.array([len(t) for t in texts], np.int64)
+    every_owner, every_offset, h = _start_hashes(texts, min_bytes)
+    base, width = np.cumsum(lens) - lens, int(lens.max(initial=0))
+    data = np.frombuffer(b"".join(texts) + bytes(width + 1), np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view(data, max(1, width))
+    for starts in _shared(h):
+        owner, offset = every_owner[starts], every_offset[starts]
+        first, size = base[owner] + offset, lens[owner] - offset
+        rows = windows[first]
+        rows[np.arange(width) >= size[:, None]] = 0
+        order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+        rows, size = rows[order], size[order]
+        differ = rows[1:] != rows[:-1]
+        lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        lcp = np.minimum(lcp, np.minimum(size[1:], size[:-1]))
+        owner, offset, first = owner[order], offset[order], first[order]
+        before = np.where(offset > 0, data[first - 1].astype(np.int64), -2 - np.arange(len(first)))
+        long = np.flatnonzero(lcp >= min_bytes)
+        for run in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1) if len(long) else []:
+            s, t = int(run[0]), int(run[-1]) + 2
+            for length, a, b in _intervals(lcp[s : t - 1].tolist(), before[s:t].tolist()):
+                yield length, owner[s + a : s + b + 1], offset[s + a : s + b + 1]
+
+
+def _start_hashes(texts: list[bytes], min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, offset, hash) of every string of min_bytes bytes within a text."""
+    lens = np.array([len(t) for t in texts], np.int64)
     starts = np.maximum(lens - min_bytes + 1, 0)
-    if starts.sum() < 2:
-        return []
     owner = np.repeat(np.arange(len(texts)), starts)
+    if not len(owner):
+        return owner, owner, np.zeros(0, np.uint64)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
-    base, width = np.cumsum(lens) - lens, int(lens.max())
-    data = np.frombuffer(b"".join(texts) + bytes(width), np.uint8)
-    first = base[owner] + offset
-    size = lens[owner] - offset
-    rows = data[first[:, None] + np.arange(width)]
-    rows[np.arange(width) >= size[:, None]] = 0
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
-    rows, size = rows[order], size[order]
-    differ = rows[1:] != rows[:-1]
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    lcp = np.minimum(lcp, np.minimum(size[1:], size[:-1]))
-    owner, offset, first = owner[order], offset[order], first[order]
-    before = np.where(offset > 0, data[first - 1].astype(np.int64), -2 - np.arange(len(first)))
-    out = []
-    long = np.flatnonzero(lcp >= min_bytes)
-    for run in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1) if len(long) else []:
-        s, t = int(run[0]), int(run[-1]) + 2
-        for length, a, b in _intervals(lcp[s : t - 1].tolist(), before[s:t].tolist()):
-            out.append((length, owner[s + a : s + b + 1], offset[s + a : s + b + 1]))
-    return out
+    half = 1 << (min_bytes.bit_length() - 1)
+    h, at = _window_hashes(b"".join(texts), half), (np.cumsum(lens) - lens)[owner] + offset
+    with np.errstate(over="ignore"):
+        return owner, offset, _mixed(h[at] * np.uint64(0xD6E8FEB86659FD93) + h[at + min_bytes - half])
+
+
+def _shared(h: np.ndarray, most: int = 20_000):
+    """Numbers of the entries that have an equal one, in batches of about `most` that keep equal ones together."""
+    order = np.argsort(h, kind="stable")
+    edge = np.flatnonzero(np.append(np.diff(h[order]) != 0, True)) + 1 if len(h) else np.zeros(0, np.int64)
+    sizes = np.diff(edge, prepend=0)
+    many, ends = order[np.repeat(sizes > 1, sizes)], np.cumsum(sizes[sizes > 1])
+    if len(ends):
+        batch = (ends - 1) // most
+        yield from np.split(many, ends[:-1][np.diff(batch) > 0])
 
 
 def _intervals(lcp: list[int], before: list[int]) -> list[tuple[int, int, int]]:
@@ -177,14 +200,8 @@ def repeated_runs(texts: list[bytes], keys: np.ndarray, min_bytes: int) -> tuple
     What is left out has no repeat to report, so the suffix array is built over the runs alone. Hashes decide, so an
     unlucky run may be too long, which the suffix array sorts out; none is missed.
     """
-    lens = np.array([len(t) for t in texts], np.int64)
-    starts = np.maximum(lens - min_bytes + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), starts)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
-    half = 1 << (min_bytes.bit_length() - 1)
-    h, at = _window_hashes(b"".join(texts), half), (np.cumsum(lens) - lens)[owner] + offset
-    with np.errstate(over="ignore"):
-        h = _mixed(h[at] * np.uint64(0xD6E8FEB86659FD93) + h[at + min_bytes - half]) ^ _mixed(keys[owner])
+    owner, offset, h = _start_hashes(texts, min_bytes)
+    h ^= _mixed(keys[owner])
     _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
     twice = count[inverse] > 1
     fresh = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
@@ -227,13 +244,20 @@ def _cut_repeats(pdf: pd.DataFrame, min_bytes: int) -> pd.DataFrame:
         stay = np.array(list(first.values()), np.int64)
         for block in _slices(stay, a["anchors"][own[who]], size, BLOCK):
             i, o = own[who[block]], off[block]
+            found, held = [], 0
             for length, t, x in maximal_repeats([texts[w][s : s + n] for w, s, n in zip(i.tolist(), o.tolist(), size[block].tolist(), strict=True)], min_bytes):
                 w = i[t]
                 begin = a["at"][w] + o[t] + x
                 by = np.lexsort((begin, a["shas"][w], a["ids"][w]))[0]
                 # all but the first occurrence go; runs overlap, so one occurrence may be in several
                 same = (a["ids"][w] == a["ids"][w[by]]) & (a["shas"][w] == a["shas"][w[by]]) & (begin == begin[by])
-                cut.append((w[~same], begin[~same], begin[~same] + length))
+                found.append((w[~same], begin[~same], begin[~same] + length))
+                held += len(begin)
+                if held > 200_000:  # repeats within repeats cover the same bytes again
+                    found = [_joined(*map(np.concatenate, zip(*found, strict=True)))]
+                    held = 0
+            if found:
+                cut.append(_joined(*map(np.concatenate, zip(*found, strict=True))))
     which, begin, end = (np.concatenate(x) for x in zip(*cut, strict=True))
     chunk = pdf["chunk"].to_numpy()
     out = [(c, x) for c, x in zip(pdf["chunk"], pdf["cuts"], strict=True) if x]
@@ -243,6 +267,18 @@ def _cut_repeats(pdf: pd.DataFrame, min_bytes: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "cuts"])
 
 
+def _joined(which: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of each `which` with those that touch or overlap made one."""
+    if not len(which):
+        return which, begin, end
+    order = np.lexsort((begin, which))
+    w, b = which[order], begin[order]
+    span = int(end.max()) + 1
+    top = np.maximum.accumulate(end[order] + w * span)
+    at = np.flatnonzero(np.append(True, b[1:] + w[1:] * span > top[:-1]))
+    return w[at], b[at], top[np.append(at[1:] - 1, len(w) - 1)] - w[at] * span
+
+
 def merged(cuts: np.ndarray) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(map(tuple, cuts.tolist())):
