@@ -77,7 +77,7 @@ def hygiene(messages: DataFrame) -> DataFrame:
 
 def context_health(ledger: DataFrame) -> DataFrame:
     """Peak context of a session and its resets: a drop to half or less from at least the floor."""
-    w = W.partitionBy("session_id").orderBy(F.col("source_offset").asc_nulls_last(), "source_index")
+    w = W.partitionBy("session_id").orderBy(F.col("source_offset").asc_nulls_last(), "source_index", "ctx")  # ctx settles rows of one place
     seq = ledger.withColumn("ctx", F.expr("input + cache_read + cache_write")).withColumn("prev", F.lag("ctx").over(w))
     reset = (F.col("prev") >= RESET_FLOOR) & (F.col("ctx") <= 0.5 * F.col("prev"))
     return seq.groupBy("session_id").agg(F.max("ctx").alias("peak_context"), F.count_if(reset).alias("context_resets"))

@@ -76,7 +76,7 @@ HOURLY_SQL = """, tm AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTI
 _REL = "CASE WHEN cwd IS NOT NULL AND starts_with(file_path, concat(cwd, '/')) AND length(file_path) > length(cwd) + 1 THEN substr(file_path, length(cwd) + 2) END"
 CHURN_SQL = f""", ce AS (SELECT * FROM calls WHERE category = 'edit' AND file_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, call_uid, CASE WHEN call_uid IS NULL THEN concat(message_ordinal, ':', call_index) END, tool_name, coalesce(input, ''), coalesce(status, '') ORDER BY message_ordinal, call_index) = 1),
  churn AS (SELECT session_id, coalesce({_REL}, file_path) AS churn_path, count(*) AS edits FROM ce LEFT JOIN sessions USING (session_id) GROUP BY 1, 2)"""
-CONTEXT_SQL = """, cx AS (SELECT session_id, input + cache_read + cache_write AS ctx, lag(input + cache_read + cache_write) OVER (PARTITION BY session_id ORDER BY source_offset NULLS LAST, source_index) AS prev FROM ledger),
+CONTEXT_SQL = """, cx AS (SELECT session_id, input + cache_read + cache_write AS ctx, lag(input + cache_read + cache_write) OVER (PARTITION BY session_id ORDER BY source_offset NULLS LAST, source_index, input + cache_read + cache_write) AS prev FROM ledger),
  ctxh AS (SELECT session_id, max(ctx) AS peak_context, count(*) FILTER (prev >= 20000 AND ctx <= 0.5 * prev) AS context_resets FROM cx GROUP BY 1)"""
 HYGIENE_SQL = _FACTS + """, hyg AS (SELECT session_id, count(*) AS prompts, count(*) FILTER (short) AS short, count(*) FILTER (no_code) AS no_code, count(*) FILTER (duplicate) AS duplicate,
  arg_min(short OR greeting, ordinal) AS unstructured FROM h GROUP BY 1)"""

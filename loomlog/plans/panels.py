@@ -81,5 +81,5 @@ QUERIES = {
     "I25_subagent_cost": (I.subagent_cost, _trend("SELECT bucket, round(100.0 * sum(CASE WHEN relationship_type = 'subagent' THEN cost ELSE 0 END) / sum(cost), 6) AS share FROM du JOIN sessions USING (session_id) GROUP BY 1", ["share"])),
     "I26_tree_depth": (I.deepest_tree, ", z AS (SELECT session_id, 1 AS depth FROM sessions WHERE parent_session_id IS NULL UNION ALL SELECT s2.session_id, 2 FROM sessions s2 JOIN sessions s1 ON s2.parent_session_id = s1.session_id WHERE s1.parent_session_id IS NULL UNION ALL SELECT s3.session_id, 3 FROM sessions s3 JOIN sessions s2 ON s3.parent_session_id = s2.session_id JOIN sessions s1 ON s2.parent_session_id = s1.session_id) SELECT depth, count(*) AS sessions FROM z GROUP BY 1"),
     "I1_days": (lambda x: I.grid(x, "30d"), f" SELECT strftime(t, '%Y-%m-%d') AS bucket, strftime(t, '%b %-d') AS label FROM (SELECT unnest(generate_series(TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY, TIMESTAMP '{AS_OF}', INTERVAL 1 DAY)) AS t)"),
-    "I27_panels": (lambda x: I.insights(x, ("economics",))["economics"].agg(F.count("*").alias("buckets"), F.round(F.sum("cost"), 6).alias("cost")), _GRID + " SELECT (SELECT count(*) FROM grid) AS buckets, round(sum(cost), 6) AS cost FROM du"),
+    "I27_panels": (lambda x: I.insights(x, ("economics",))["economics"].agg(F.count("*").alias("buckets"), F.round(F.sum("cost"), 9).alias("cost")), _GRID + " SELECT (SELECT count(*) FROM grid) AS buckets, round(sum(c), 9) AS cost FROM (SELECT round(sum(cost), 9) AS c FROM du GROUP BY bucket)"),
 }
