@@ -22,8 +22,9 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 #: Character classes of a candidate, most narrow first, and the bits a character that a window must reach.
 CLASSES = (
-    ("digits", re.compile(r"[0-9]+"), None),
+    ("digits", re.compile(r"[0-9]+"), 3.0),
     ("hex", re.compile(r"[0-9a-fA-F]+"), 3.0),
+    ("letters", re.compile(r"[A-Za-z+/_=-]+"), 4.0),  # words and paths repeat letters; 17 of 20 letters differ here
     ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.7),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8),
 )
@@ -31,11 +32,13 @@ WINDOW = 20
 #: Strings that look random but are no secrets: placeholders, alphabets, content digests written as such, data URIs.
 ALLOW = (
     re.compile(r"(?i)example|sample|placeholder|dummy|xxxx|changeme"),
-    re.compile(r"(?i)abcdefghij|0123456789|qwertyuiop"),
+    re.compile(r"(?i)abcdefghij" + "".join(f"(?:{c}" for c in "klmnopqrstuvwxyz") + ")?" * 16 + "|0123456789|qwertyuiop"),
     re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
 )
-#: What stands before a candidate that is a published digest or an address, not a secret.
-ALLOW_BEFORE = re.compile(r"(?i)(?:sha(?:1|256|384|512)|md5)[-:= ]*$|https?://[^\s]*$")
+#: What stands before a candidate that is a published digest, not a secret.
+ALLOW_BEFORE = re.compile(r"(?i)(?:sha(?:1|256|384|512)|md5)[-:= ]*$")
+#: Host and path of an address, which are no secret; what stands before '@' or in the query may be.
+_URL = re.compile(r"""(?i)https?://(?:[^\s/?#"'<>,@]*@)?([^\s"'`<>(){}|,;@?=&#]*)""")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -48,10 +51,10 @@ def hot_windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     """Merged ranges of s covered by windows whose entropy reaches `bits`.
 
     Entropy is log2(w) - sum(c * log2(c)) / w; a step changes two counts, so only their terms are updated. Counts are
-    whole numbers up to w, whose terms come from one table.
+    whole numbers up to w + 1, whose terms come from one table.
     """
     w = min(window, len(s))
-    term = [0.0] + [c * math.log2(c) for c in range(1, w + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, w + 2)]
     count: dict[str, int] = {}
     total, out, limit = 0.0, [], w * (math.log2(w) - bits) + 1e-9
     for i, ch in enumerate(s):
@@ -71,17 +74,30 @@ def hot_windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     return out
 
 
+def _clear(s: str, at: int, urls: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Ranges of the candidate s, which starts at `at`, that no allow-list covers; a window that touches one is no secret."""
+    known = [m.span() for p in ALLOW for m in p.finditer(s)] + [(max(0, a - at), b - at) for a, b in urls if a < at + len(s) and b > at]
+    last = 0
+    for a, b in sorted(known):
+        if a > last:
+            yield last, a
+        last = max(last, b)
+    if last < len(s):
+        yield last, len(s)
+
+
 def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int, str]]:
-    """Spans the entropy method adds: windows of candidates that mix digits with letters and are on no allow-list."""
-    spans = []
+    """Spans the entropy method adds: windows of candidates that touch nothing on the allow-lists."""
+    spans, urls = [], [m.span(1) for m in _URL.finditer(text)]
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-            continue
-        if any(p.search(s) for p in ALLOW) or ALLOW_BEFORE.search(text, max(0, m.start() - 200), m.start()):
+        if ALLOW_BEFORE.search(text, max(0, m.start() - 200), m.start()):
             continue
-        bits = next(b for _, p, b in CLASSES if p.fullmatch(s))
-        spans += [(m.start() + a, m.start() + b, "entropy") for a, b in hot_windows(s, window, bits)]
+        for s, e in _clear(m[0], m.start(), urls):
+            if e - s < window:
+                continue
+            part = m[0][s:e]
+            bits = next(b for _, p, b in CLASSES if p.fullmatch(part))
+            spans += [(m.start() + s + a, m.start() + s + b, "entropy") for a, b in hot_windows(part, window, bits)]
     return spans
 
 

@@ -306,6 +306,17 @@ def test_secrets(docs, empty, spark):
     assert secrets.scan_secrets(docs).count() == len(corpus()) and secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_beside_urls_and_placeholders():
+    key = "q8Zr2LmX0vB7nKp4TyWc9dEf"
+    found = lambda t: [t[s:e] for s, e, k in secrets.find_secrets(t) if k == "entropy"]
+    for text in (f"https://me:{key}@host.org/a", f"https://a.b/c?k&{key}", f'{{"url":"https://a.b","k":"{key}"}}', f"https://a.b,{key}"):
+        assert found(text) == [key]
+    assert found(f"https://a.b/c?v={key}")[0].endswith(key) and found(f"https://a.b/{key}") == []
+    assert found(f"example/{key}")[0].endswith(key) and found(f"{key[:12]}example{key[12:]}") == []
+    assert found("QwZrLmXyvBgnKpUTjWcHdEfS") == ["QwZrLmXyvBgnKpUTjWcHdEfS"] and found("8305 83059264173941726058") == ["83059264173941726058"]
+    assert found("internationalizationofthings/usr/local/share") == [] and found("0" * 40) == []
+
+
 def lines_by_hand(data):
     lines = {(i, t): (t or "").split("\n") for i, t, *_ in data}
     key = lambda x: lowered(x.strip(" \t\n\v\f\r"))
