@@ -89,17 +89,22 @@ def simhash_groups(docs: DataFrame, radius: int = 2, segments: int = 8) -> DataF
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
-    """docs with one document of each group, that of its smallest doc_id; all columns are kept.
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one document of each group of groups(doc_id, component_id), that of its smallest doc_id; all columns are kept.
 
     Rows that repeat a doc_id stay once for each distinct text. Rows without a doc_id go if their group has one, and
     else stay once for each distinct text.
     """
-    groups = simhash_groups(docs, **params).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c"))
+    groups = groups.select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c"))
     named = groups.where(F.col("_id").eqNullSafe(F.col("_c"))).select("_id").distinct()
     return docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
+def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
+    """docs with one document of each group, as keep_first keeps them."""
+    return keep_first(docs, simhash_groups(docs, **params))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

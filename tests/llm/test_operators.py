@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomlog.llm import backoff, decontaminate, line_dedup, mixing, quality, registry, secrets, simhash, span_dedup, suffixes, toxicity
+import corpus_pipeline
+from loomlog.llm import backoff, decontaminate, line_dedup, mixing, near_copies, quality, registry, secrets, simhash, span_dedup, suffixes, toxicity
 from loomlog.llm.common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -121,6 +122,64 @@ def test_pigeonring_loses_no_link_in_small_or_crowded_buckets(spark):
         assert {frozenset(x) for x in got.values()} == set(want.values())
 
 
+def near_by_hand(data, threshold=0.8):
+    """Smallest doc_id of the group of each (doc_id, text)."""
+    sh = lambda t: {tuple(w[i : i + 5]) for w in [toks(lowered(t))] for i in range(max(1, len(w) - 4))}
+    sets = [sh(t) for _, t in data]
+    group = list(range(len(data)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] != group[j] and len(a & b) >= threshold * len(a | b) - 1e-9:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (i, _), g in zip(data, group, strict=True):
+        least[g] = i if least.get(g) is None else least[g] if i is None else min(i, least[g])
+    return [least[g] for g in group]
+
+
+def edited():
+    """Texts with one to nine of 100 words changed, a crowd of copies among them, and a passage in all of them."""
+    rng = random.Random(11)
+    new = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    passage, out = new(25), []
+    for size in [*[4] * 12, 90]:
+        base = new(75) + passage
+        for n in range(size):
+            w = list(base)
+            for at in rng.sample(range(100), rng.randint(0, 5) if size > 4 else 2 * n + 1):
+                w[at] = new(1)[0]
+            out.append(" ".join(w))
+    return out
+
+
+def test_near_copies_of_edited_texts(spark, docs, empty):
+    data = list(enumerate(edited()))
+    df = spark.createDataFrame([(i, t) for i, t in data], "doc_id long, text string").repartition(3)
+    want = near_by_hand(data)
+    assert rows(near_copies.jaccard_groups(df), "doc_id", "component_id") == sorted(((i, c) for (i, _), c in zip(data, want, strict=True)), key=repr)
+    assert 13 < len(set(want)) < 100 and near_copies.drop_near_copies(df).count() == len(set(want))
+    odd = [(i, t) for i, t, *_ in corpus()]
+    assert rows(near_copies.jaccard_groups(docs), "doc_id", "component_id") == sorted(((i, c) for (i, _), c in zip(odd, near_by_hand(odd), strict=True)), key=repr)
+    assert near_copies.jaccard_groups(empty).count() == 0
+
+
+def test_pipeline_by_hand(spark):
+    sf = f"{spark.conf.get('spark.checkpoint.dir')}/whole"
+    leak = "the quick test item that no document should ever hold at all"
+    data = [(i, t + (f" {leak}" if i % 20 == 7 else "") + (" grumble" if i % 20 == 3 else "")) for i, t in enumerate(edited())]
+    labels = [(i, 0, int(i % 20 == 3)) for i, _ in data]
+    spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in data], SCHEMA).write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.mode("overwrite").parquet(f"{sf}/benchmark.parquet")
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), toxicity.training_labels(spark, sf))
+    kept = [(i, t) for i, t in data if model.score(model.rows(t, {})) < 0.5]
+    first = set()
+    kept = [(i, "" if t in first or first.add(t) else t) for i, t in kept]
+    kept = [x for x, c in zip(kept, near_by_hand(kept), strict=True) if x[0] == c]
+    want = [(i, len(toks(t))) for i, t in kept if leak not in t]
+    assert rows(corpus_pipeline.run(spark, sf), "doc_id", "size") == sorted(want, key=repr) and 10 < len(want) < len(kept) < len(data)
+
+
 def test_components_of_a_long_chain(spark):
     ids = list(range(100, 160))
     random.Random(1).shuffle(ids)
