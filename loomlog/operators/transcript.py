@@ -11,7 +11,7 @@ from loomlog.operators.sessions import titles
 from loomlog.operators.signals import current
 from loomlog.sources.views import Inputs
 
-USER_TAIL, CAP, SEED, EVENT_CAP, OUTLINE = 50, 600, 8, 100, 512
+USER_TAIL, CAP, OUTLINE = 50, 600, 512
 #: Fixed values of the byte budget: overhead of a message and bytes a byte may take when escaped.
 OVERHEAD, ESCAPED = 1024, 6
 
@@ -92,16 +92,6 @@ def reply_marks(messages: DataFrame) -> DataFrame:
     return df.where("role = 'assistant' AND n = 1").where(secs >= 0).select("session_id", "ordinal", secs.alias("latency"))
 
 
-def fallbacks(x: Inputs, cap: int = EVENT_CAP) -> DataFrame:
-    """Merged markers by (session, key): first ordinal, last model seen, how often; oldest first.
-
-    The driver tables have no fallback markers, so failed calls stand for them, with the tool as the model.
-    """
-    seq = F.col("message_ordinal") * 10 + F.col("call_index")
-    m = x.calls.where("status = 'error' AND call_uid IS NOT NULL").groupBy("session_id", F.col("call_uid").alias("dedup_key")).agg(F.min("message_ordinal").alias("first_ordinal"), F.max_by("tool_name", seq).alias("model"), F.count("*").alias("seen"), F.min("ts").alias("occurred_at"))
-    return m.orderBy(F.col("occurred_at").asc_nulls_last(), "dedup_key").limit(cap)
-
-
 _SHA = "(SELECT sha256(content) FROM messages ORDER BY session_id, ordinal LIMIT 1)"
 
 
@@ -122,5 +112,4 @@ QUERIES = {
     "K9_subagents": (subagents, r", ti AS (SELECT s.session_id, coalesce(s.title, left(trim(regexp_replace(c, '\s+', ' ', 'g')), 240), '') AS title FROM sessions s LEFT JOIN (SELECT session_id, arg_min(content, ordinal) AS c FROM messages WHERE role = 'user' AND content <> '' GROUP BY 1) USING (session_id)) SELECT parent_session_id, session_id, coalesce(sig_grade, '') AS grade, coalesce(sig_outcome, 'unknown') AS outcome, ti.title FROM graded JOIN ti USING (session_id) WHERE relationship_type = 'subagent'"),
     "K10_audit": (audit, " SELECT g.session_id, coalesce(sig_grade, '') AS grade, coalesce(messages, 0) AS messages, coalesce(calls, 0) AS calls, coalesce(cost, 0) AS cost FROM graded g LEFT JOIN (SELECT session_id, count(*) AS messages FROM messages GROUP BY 1) USING (session_id) LEFT JOIN (SELECT session_id, count(*) AS calls FROM calls GROUP BY 1) USING (session_id) LEFT JOIN (SELECT session_id, round(sum(cost), 9) AS cost FROM ledger GROUP BY 1) USING (session_id)"),
     "K11_reply_marks": (lambda x: reply_marks(x.messages), ", t AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ordinal) AS turn FROM messages WHERE role IN ('user', 'assistant')), n AS (SELECT *, max(epoch_us(ts)) FILTER (role = 'user') OVER (PARTITION BY session_id, turn) AS asked, row_number() OVER (PARTITION BY session_id, turn, role ORDER BY ordinal) AS n FROM t WHERE turn > 0) SELECT session_id, ordinal, (epoch_us(ts) - asked) / 1e6 AS latency FROM n WHERE role = 'assistant' AND n = 1 AND epoch_us(ts) >= asked"),
-    "K12_fallbacks": (fallbacks, " SELECT session_id, call_uid AS dedup_key, min(message_ordinal) AS first_ordinal, arg_max(tool_name, message_ordinal * 10 + call_index) AS model, count(*) AS seen, min(ts) AS occurred_at FROM calls WHERE status = 'error' AND call_uid IS NOT NULL GROUP BY 1, 2 ORDER BY occurred_at NULLS LAST, dedup_key LIMIT 100"),
 }

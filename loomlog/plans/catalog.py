@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from loomlog.functions.pricing import rates_sql
 from loomlog.operators import analytics, sessions, transcript
 from loomlog.plans import derivations, panels
-from loomlog.sources import raw
+from loomlog.sources import logs, raw
 from loomlog.sources.views import Inputs, prefix
 
-FAMILIES = [raw.QUERIES, analytics.QUERIES, derivations.QUERIES, panels.QUERIES, sessions.QUERIES, transcript.QUERIES]
+FAMILIES = [raw.QUERIES, logs.QUERIES, analytics.QUERIES, derivations.QUERIES, panels.QUERIES, sessions.QUERIES, transcript.QUERIES]
 
 
 def _plain(df: DataFrame) -> DataFrame:
