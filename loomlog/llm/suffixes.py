@@ -14,16 +14,21 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import by_bucket, counted, pack, parts, read, totals_of
+from loomlog.llm.common import by_bucket, counted, pack, parts, read, totals_of, written
 
 MIN_BYTES, ANCHOR = 100, 32
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 6 << 20
-#: Bytes of runs whose suffixes are sorted at once.
-BLOCK = 40_000
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 3 << 20
+#: Bytes of runs whose suffixes are sorted at once, and of text that is hashed at once.
+BLOCK, PIECE = 400_000, 1 << 17
+#: An anchor that occurs more often is split by the bytes around it, into so many parts.
+HOT, PARTS = 20_000, 4
 _DIVERSE = -1
+_PLACE = np.uint64((1 << 20) - 1)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -33,46 +38,102 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _window_hashes(data: bytes, k: int) -> np.ndarray:
-    """A hash of every k bytes, by doubling: hash(2n) = mix(hash(n) * odd + hash(n) n bytes on); k is a power of two."""
-    h, n = _BYTES[np.frombuffer(data, np.uint8)], 1
-    with np.errstate(over="ignore"):
-        while n < k:
-            h = _mixed(h[:-n] * np.uint64(0x9E3779B97F4A7C15) + h[n:])
-            n *= 2
-    return h
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
+    if len(_POWERS[0]) < n:
+        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            x = np.full(n, b, np.uint64)
+            x[0] = 1
+            _POWERS[i] = np.multiply.accumulate(x)
+    return _POWERS
+
 
+def _string_hashes(data: bytes, k: int) -> np.ndarray:
+    """A hash of every k bytes: differences of a running sum of byte codes times powers, brought to one scale and mixed."""
+    n = len(data)
+    up, down = _powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[np.frombuffer(data, np.uint8)] * up[:n], out=total[1:])
+    return _mixed((total[k:] - total[:-k]) * down[: n - k + 1])
 
-def _sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
-    """op over every w neighbours, in two passes over blocks of w."""
-    n = len(x)
-    full = np.concatenate([x, np.full(-n % w, x[-1])]).reshape(-1, w)
-    ahead = op.accumulate(full, axis=1).ravel()
-    back = op.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(back[: n - w + 1], ahead[w - 1 : n])
 
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of every w neighbours."""
+    n = 1
+    while 2 * n <= w:
+        x = np.minimum(x[:-n], x[n:])
+        n *= 2
+    return np.minimum(x[: len(x) - (w - n)], x[w - n :]) if n < w else x
 
-def anchors(data: bytes, min_bytes: int = MIN_BYTES, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the k-byte strings that have the least hash of some min_bytes string around them."""
-    if len(data) < min_bytes:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, w = _window_hashes(data, k), min_bytes - k + 1
-    least = _sliding(h, w, np.minimum)
-    edge = np.zeros(w - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), w, np.maximum) == h)
-    return at, h[at]
+
+def _pieces(texts: list[bytes], k: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Texts side by side in pieces of about PIECE bytes: (bytes, text number and offset of every start of k bytes; -1: none).
+
+    A long text is cut so that each of its k-byte strings is in one piece.
+    """
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, len(t) - k + 1, PIECE):
+            part = t[a : a + PIECE + k - 1]
+            held.append((i, a, part))
+            size += len(part)
+            if size >= PIECE:
+                yield _laid(held, k)
+                held, size = [], 0
+    if held:
+        yield _laid(held, k)
+
+
+def _laid(held: list[tuple[int, int, bytes]], k: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    lens = np.array([len(x) for _, _, x in held], np.int64)
+    ends = np.cumsum(lens)
+    at = np.arange(ends[-1]) - np.repeat(ends - lens, lens)
+    owner = np.repeat(np.array([i for i, _, _ in held], np.int64), lens)
+    owner[at > np.repeat(lens, lens) - k] = -1
+    return b"".join(x for _, _, x in held), owner[: len(owner) - k + 1], (at + np.repeat(np.array([a for _, a, _ in held], np.int64), lens))[: len(owner) - k + 1]
+
+
+def anchors(texts: list[bytes], min_bytes: int = MIN_BYTES, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(text, start, stop, position, hash): the strings of min_bytes that start from `start` to `stop` - 1 have their anchor there.
+
+    The anchor of a string is its k-byte string of least hash, the leftmost of equals, so it depends on the string alone
+    and equal strings hold equal anchors at equal places. Every string is in one row.
+    """
+    out = []
+    for data, owner, offset in _pieces(texts, min_bytes):
+        h = _string_hashes(data, k)
+        place = np.arange(len(h), dtype=np.uint64)
+        at = (_least((h & ~_PLACE) | place, min_bytes - k + 1) & _PLACE).astype(np.int64)
+        new = np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at))
+        own = owner[first] >= 0
+        first, last = first[own], last[own]
+        out.append((owner[first], offset[first], offset[first] + last - first, offset[first] + at[first] - first, h[at[first]]))
+    if not out:
+        return (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def maximal_repeats(texts: list[bytes], min_bytes: int = MIN_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, text numbers, offsets) of every maximal repeat of at least min_bytes, with ALL of its occurrences.
+    """(length, text numbers, offsets) of every maximal repeat of at least min_bytes in short texts, with ALL of its occurrences."""
+    for length, first, last, owner, offset in repeat_intervals(texts, min_bytes):
+        for n, a, b in zip(length.tolist(), first.tolist(), last.tolist(), strict=True):
+            yield n, owner[a : b + 1], offset[a : b + 1]
+
+
+def repeat_intervals(texts: list[bytes], min_bytes: int = MIN_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """Batches of (length, first, last) of common-prefix intervals and (text number, offset) of the suffixes they range over.
 
     An enhanced suffix array (order, common-prefix lengths, byte before) is scanned with a stack of common-prefix
     intervals. An interval is right-maximal by itself; it is output if the bytes before its suffixes differ, where
     the start of a text differs from everything. Suffixes whose first min_bytes bytes no other shares are in no repeat,
-    so the array is built batch by batch over groups that share them, which bounds its memory by the largest group.
+    so the array is built batch by batch over groups that share them, which bounds its memory by the largest group
+    times the longest text.
     """
     lens = np.array([len(t) for t in texts], np.int64)
     every_owner, every_offset, h = _start_hashes(texts, min_bytes)
@@ -91,25 +152,20 @@ def maximal_repeats(texts: list[bytes], min_bytes: int = MIN_BYTES) -> Iterator[
         lcp = np.minimum(lcp, np.minimum(size[1:], size[:-1]))
         owner, offset, first = owner[order], offset[order], first[order]
         before = np.where(offset > 0, data[first - 1].astype(np.int64), -2 - np.arange(len(first)))
-        long = np.flatnonzero(lcp >= min_bytes)
-        for run in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1) if len(long) else []:
-            s, t = int(run[0]), int(run[-1]) + 2
-            for length, a, b in _intervals(lcp[s : t - 1].tolist(), before[s:t].tolist()):
-                yield length, owner[s + a : s + b + 1], offset[s + a : s + b + 1]
+        found = _intervals(np.where(lcp >= min_bytes, lcp, 0).tolist(), before.tolist())
+        if found:
+            yield *np.array(found, np.int64).T, owner, offset
 
 
 def _start_hashes(texts: list[bytes], min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, offset, hash) of every string of min_bytes bytes within a text."""
-    lens = np.array([len(t) for t in texts], np.int64)
-    starts = np.maximum(lens - min_bytes + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), starts)
-    if not len(owner):
-        return owner, owner, np.zeros(0, np.uint64)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
-    half = 1 << (min_bytes.bit_length() - 1)
-    h, at = _window_hashes(b"".join(texts), half), (np.cumsum(lens) - lens)[owner] + offset
-    with np.errstate(over="ignore"):
-        return owner, offset, _mixed(h[at] * np.uint64(0xD6E8FEB86659FD93) + h[at + min_bytes - half])
+    out = []
+    for data, owner, offset in _pieces(texts, min_bytes):
+        own = np.flatnonzero(owner >= 0)
+        out.append((owner[own], offset[own], _string_hashes(data, min_bytes)[own]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _shared(h: np.ndarray, most: int = 20_000):
@@ -177,7 +233,7 @@ def _texts(pdf: pd.DataFrame) -> list[tuple[int, bytes, bytes]]:
     return [(best[sha][0], sha, best[sha][1]) for sha in sorted(best)]
 
 
-_CONTEXTS = "bucket int, chunk long, anchors binary, lens binary, data binary, ids binary, shas binary, docs binary, at binary, cuts binary"
+_CONTEXTS = "bucket int, chunk long, anchors binary, lens binary, data binary, ids binary, shas binary, docs binary, at binary, cuts binary, times binary, members binary"
 _CUTS = "chunk long, cuts binary"
 
 
@@ -210,63 +266,107 @@ def repeated_runs(texts: list[bytes], keys: np.ndarray, min_bytes: int) -> tuple
     return owner[begin], offset[begin], offset[end] - offset[begin] + min_bytes
 
 
-def _cut_repeats(pdf: pd.DataFrame, min_bytes: int) -> pd.DataFrame:
-    """One hash partition of contexts -> per chunk the ranges (text, start, end) that repeat an earlier string."""
+def _unpacked(pdf: pd.DataFrame) -> tuple[dict, list[bytes], np.ndarray, np.ndarray]:
+    """One hash partition of contexts: columns, bytes, and of equal contexts of a key the earliest and the others.
+
+    Equal contexts are one text of the suffix array, which counts as often as it was sent.
+    """
     cols = {c: [np.frombuffer(x, t) for x in pdf[c]] for c, t in (("anchors", "<u8"), ("lens", "<i4"), ("ids", "<i8"), ("shas", ">u8"), ("docs", "<i4"), ("at", "<i4"))}
-    row = np.repeat(np.arange(len(pdf)), [len(x) for x in cols["anchors"]])
     a = {c: np.concatenate(v) for c, v in cols.items()}
+    a["row"] = np.repeat(np.arange(len(pdf)), [len(x) for x in cols["anchors"]])
     ends = np.cumsum(a["lens"])
     blob = b"".join(pdf["data"])
     texts = [blob[e - n : e] for n, e in zip(a["lens"].tolist(), ends.tolist(), strict=True)]
     order = np.lexsort((a["at"], a["shas"], a["ids"], a["anchors"]))  # by anchor, then earliest first
-    cut: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    again, kept, seen, last = [], [], set(), None
+    a["first"] = np.empty(len(texts), np.int64)
+    seen, last = {}, None
     for i in order.tolist():
         if a["anchors"][i] != last:
-            seen, last = set(), a["anchors"][i]
-        (again if texts[i] in seen else kept).append(i)
-        seen.add(texts[i])
-    again, kept = np.array(again, np.int64), np.array(kept, np.int64)
-    cut.append((again, a["at"][again], a["at"][again] + a["lens"][again]))
+            seen, last = {}, a["anchors"][i]
+        a["first"][i] = seen.setdefault(texts[i], i)
+    kept = order[a["first"][order] == order]
+    return a, texts, kept, np.flatnonzero(a["first"] != np.arange(len(texts)))
+
+
+def _scan(a: dict, texts: list[bytes], kept: np.ndarray, min_bytes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Batches of (length, first, last) of the intervals over the contexts of each key, and (context, offset) of their suffixes."""
     for own in _slices(kept, a["anchors"], a["lens"]):
         who, off, size = repeated_runs([texts[i] for i in own.tolist()], a["anchors"][own], min_bytes)
-        # runs of one anchor that are equal collapse again: the earliest stays for the suffix array, the others go
-        first: dict[tuple, int] = {}
-        place = list(zip(a["ids"][own[who]].tolist(), a["shas"][own[who]].tolist(), (a["at"][own[who]] + off).tolist(), strict=True))
-        later = []
-        for j, (w, o, n) in enumerate(zip(own[who].tolist(), off.tolist(), size.tolist(), strict=True)):
-            i = first.setdefault((int(a["anchors"][w]), texts[w][o : o + n]), j)
-            if place[i] != place[j]:  # else two contexts show one occurrence
-                later.append(j)
-        later = np.array(later, np.int64)
-        begin = (a["at"][own[who]] + off)[later]
-        cut.append((own[who][later], begin, begin + size[later]))
-        stay = np.array(list(first.values()), np.int64)
-        for block in _slices(stay, a["anchors"][own[who]], size, BLOCK):
-            i, o = own[who[block]], off[block]
-            found, held = [], 0
-            for length, t, x in maximal_repeats([texts[w][s : s + n] for w, s, n in zip(i.tolist(), o.tolist(), size[block].tolist(), strict=True)], min_bytes):
-                w = i[t]
-                begin = a["at"][w] + o[t] + x
-                by = np.lexsort((begin, a["shas"][w], a["ids"][w]))[0]
-                # all but the first occurrence go; runs overlap, so one occurrence may be in several
-                same = (a["ids"][w] == a["ids"][w[by]]) & (a["shas"][w] == a["shas"][w[by]]) & (begin == begin[by])
-                found.append((w[~same], begin[~same], begin[~same] + length))
-                held += len(begin)
-                if held > 200_000:  # repeats within repeats cover the same bytes again
-                    found = [_joined(*map(np.concatenate, zip(*found, strict=True)))]
-                    held = 0
-            if found:
-                cut.append(_joined(*map(np.concatenate, zip(*found, strict=True))))
+        who = own[who]
+        for block in _slices(np.arange(len(who)), a["anchors"][who], size, BLOCK):
+            runs = [texts[w][s : s + n] for w, s, n in zip(who[block].tolist(), off[block].tolist(), size[block].tolist(), strict=True)]
+            for length, lo, hi, t, x in repeat_intervals(runs, min_bytes):
+                yield length, lo, hi, who[block][t], off[block][t] + x
+
+
+def _cut_repeats(pdf: pd.DataFrame, min_bytes: int) -> pd.DataFrame:
+    """One hash partition of contexts -> per chunk the ranges (text, start, end) that repeat an earlier string."""
+    a, texts, kept, again = _unpacked(pdf)
+    cut = [(again, a["at"][again], a["at"][again] + a["lens"][again])]
+    for length, lo, hi, w, x in _scan(a, texts, kept, min_bytes):
+        begin = a["at"][w] + x
+        cut += _later(length, lo, hi, w, begin, _places(a["ids"][w], a["shas"][w], begin))
     which, begin, end = (np.concatenate(x) for x in zip(*cut, strict=True))
     chunk = pdf["chunk"].to_numpy()
     out = [(c, x) for c, x in zip(pdf["chunk"], pdf["cuts"], strict=True) if x]
-    for c in np.unique(chunk[row[which]]):
-        own = chunk[row[which]] == c
+    sent = chunk[a["row"][which]]
+    for c in np.unique(sent):
+        own = sent == c
         out.append((c, np.stack([a["docs"][which[own]], begin[own], end[own]], axis=1).astype("<i4").tobytes()))
     return pd.DataFrame(out, columns=["chunk", "cuts"])
 
 
+def _groups(pdf: pd.DataFrame, min_bytes: int) -> pd.DataFrame:
+    """One hash partition of contexts -> (repeat, length, chunk, nth, shift): its maximal repeats, in each context that was sent."""
+    a, texts, kept, _ = _unpacked(pdf)
+    order = np.argsort(a["first"], kind="stable")
+    edge = np.searchsorted(a["first"][order], np.arange(len(texts) + 1))
+    times = np.concatenate([np.frombuffer(x, "<i4") for x in pdf["times"]])
+    nth = np.concatenate([np.arange(n) for n in np.bincount(a["row"], minlength=len(pdf))])
+    chunk = pdf["chunk"].to_numpy()[a["row"]]
+    out, whole = [], set()
+
+    def tell(length: int, held: list[tuple[int, int]]) -> None:
+        name = sha256(texts[held[0][0]][held[0][1] : held[0][1] + length]).digest()[:16]
+        for w, x in held:
+            for i in order[edge[w] : edge[w + 1]].tolist():
+                out.append((name, length, int(chunk[i]), int(nth[i]), x))
+
+    for length, lo, hi, w, x in _scan(a, texts, kept, min_bytes):
+        for n, s, t in zip(length.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            held = list(zip(w[s : t + 1].tolist(), x[s : t + 1].tolist(), strict=True))
+            whole.update(i for i, y in held if y == 0 and len(texts[i]) == n)
+            tell(n, held)
+    for i in kept.tolist():  # contexts that occur only as wholes
+        if i not in whole and times[order[edge[i] : edge[i + 1]]].sum() > 1:
+            tell(len(texts[i]), [(i, 0)])
+    return pd.DataFrame(out, columns=["repeat", "length", "chunk", "nth", "shift"])
+
+
+def _places(ids: np.ndarray, shas: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Numbers of places (id, sha, begin) in their order; equal places have equal numbers."""
+    order = np.lexsort((begin, shas, ids))
+    new = np.append(False, (ids[order][1:] != ids[order][:-1]) | (shas[order][1:] != shas[order][:-1]) | (begin[order][1:] != begin[order][:-1]))
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _later(length: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: np.ndarray, begin: np.ndarray, place: np.ndarray, most: int = 2_000_000):
+    """Ranges of all occurrences but the first of every interval lo..hi of suffixes; runs overlap, so one occurrence may be in several."""
+    sizes, out = hi - lo + 1, []
+    edges = np.flatnonzero(np.diff(np.append(-1, (np.cumsum(sizes) - 1) // most)))
+    for part in np.split(np.arange(len(sizes)), edges[1:]):
+        n = sizes[part]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) - np.repeat(ends - n - lo[part], n)
+        least = np.minimum.reduceat(place[at], ends - n)
+        later = place[at] != np.repeat(least, n)
+        at, long = at[later], np.repeat(length[part], n)[later]
+        out.append(_joined(which[at], begin[at], begin[at] + long))
+    return out
+
+
 def _joined(which: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of each `which` with those that touch or overlap made one."""
     if not len(which):
@@ -289,61 +389,117 @@ def merged(cuts: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def dedup_suffixes(docs: DataFrame, min_bytes: int = MIN_BYTES, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, n_bytes, cuts: array of start, end; kept: binary): every row of docs without its repeated bytes.
+def _split(texts: list, doc, start, stop, place, key, hot, min_bytes: int, k: int) -> tuple[np.ndarray, ...]:
+    """(text, first byte, end, key) of the contexts of anchors; those of hot anchors in PARTS parts with keys of their own.
 
-    A byte goes if a string of min_bytes that covers it also starts earlier: in a smaller doc_id, or earlier in the
-    same document. Matches are of UTF-8 bytes, never cross documents and are judged on the input. Null texts count as
-    empty; a null doc_id comes before all others. Rows that share doc_id and text are one document and keep the same
-    bytes; rows that share only the doc_id come in the order of the text's SHA-256. Empty tables give no rows.
-
-    Copies of a text are collapsed before anything is compared. A chunk sends a context once however often it holds
-    it, and a partition takes a context's earliest sender before it sorts suffixes, so a passage that a third of all
-    documents hold comes to a row for each chunk.
+    The strings of a part hold the anchor at neighbouring places, so all hold what they share around it, and that is
+    the part's key: only contexts that agree in more than half of min_bytes bytes still meet.
+    """
+    cold, out = ~hot, [[], [], [], []]
+    w = min_bytes - k + 1
+    for d, s, t, p in zip(*(x[hot].tolist() for x in (doc, start, stop, place)), strict=True):
+        for j in range(PARTS):
+            a, b = w * j // PARTS, w * (j + 1) // PARTS - 1
+            lo, hi = max(s, p - b), min(t, p - a + 1)
+            if lo < hi:
+                for column, x in zip(out, (d, lo, hi, xxhash.xxh64_intdigest(texts[d][2][p - a : p - b + min_bytes], j)), strict=True):
+                    column.append(x)
+    parts = [np.array(x, np.uint64 if i == 3 else np.int64) for i, x in enumerate(out)]
+    whole = [doc[cold], start[cold], stop[cold], key[cold]]
+    d, s, t, key = (np.concatenate(x) for x in zip(whole, parts, strict=True))
+    return d, s, t + (min_bytes - 1), key
+
+
+def _around(docs: DataFrame, min_bytes: int, k: int, members: bool) -> tuple[DataFrame, DataFrame]:
+    """(distinct texts dealt to chunks, contexts of their repeated anchors packed by chunk and hash partition).
+
+    A chunk sends a context once, with the ranges of its other occurrences in the chunk as cuts, or as members if asked for.
     """
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks, anchor_parts, buckets = parts(n_bytes, CHUNK_BYTES), parts(n_bytes, 48 << 20), parts(n_bytes, BUCKET_BYTES)
     dealt = _collapsed(docs).withColumn("chunk", F.pmod(F.xxhash64("sha"), F.lit(chunks)))
-    reach = min_bytes - k
 
     def request(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [anchors(data, min_bytes, k)[1] for _, _, data in _texts(pdf)]
-        keys, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        keys, counts = np.unique(anchors([data for _, _, data in _texts(pdf)], min_bytes, k)[4], return_counts=True)
         return pack(int(pdf["chunk"].iloc[0]), keys, counts, anchor_parts)
 
     def contexts(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=[x.split()[0] for x in _CONTEXTS.split(", ")])
         texts, chunk = _texts(pdf), int(pdf["chunk"].iloc[0])
-        found = [anchors(data, min_bytes, k) for _, _, data in texts]
-        every = np.concatenate([h for _, h in found])
+        owner, start, stop, place, every = anchors([data for _, _, data in texts], min_bytes, k)
         keys, at = np.unique(every, return_inverse=True)
-        twice = totals_of(keys, anchor_parts, replies)[at] > 1
-        doc = np.repeat(np.arange(len(texts)), [len(h) for _, h in found])[twice]
-        pos, key = np.concatenate([p for p, _ in found])[twice], every[twice]
+        total = totals_of(keys, anchor_parts, replies)[at]
+        many = total > 1
+        doc, begin, end, key = _split(texts, *(x[many] for x in (owner, start, stop, place, every)), total[many] > HOT, min_bytes, k)
         order = np.array(sorted(range(len(texts)), key=lambda i: texts[i][:2]), np.int64)
         rank = np.empty(len(texts), np.int64)
         rank[order] = np.arange(len(texts))
-        seen, new, cuts = {}, [], []
-        for i in np.lexsort((pos, rank[doc])).tolist():
-            d, p, data = int(doc[i]), int(pos[i]), texts[doc[i]][2]
-            s, e = max(0, p - reach), min(len(data), p + min_bytes)
-            if seen.setdefault((key[i], data[s:e]), i) != i:
-                cuts.append((d, s, e))
-            else:
-                new.append((i, d, s, e))
-        ids, heads = [t[0] for t in texts], [t[1][:8] for t in texts]
-        own = np.array([x[0] for x in new], np.int64)
-        order, edges = by_bucket(key[own], buckets)
-        rows = []
+        seen, first = {}, np.empty(len(doc), np.int64)
+        order = np.lexsort((begin, rank[doc]))
+        for i, d, s, e in zip(order.tolist(), doc[order].tolist(), begin[order].tolist(), end[order].tolist(), strict=True):
+            first[i] = seen.setdefault((key[i], texts[d][2][s:e]), i)
+        new, again = order[first[order] == order], order[first[order] != order]
+        times = np.bincount(first, minlength=len(doc)).astype("<i4")
+        ids, heads = np.array([t[0] for t in texts], "<i8"), [t[1][:8] for t in texts]
+        by, edges = by_bucket(key[new], buckets)
+        cuts, rows, nth = np.stack([doc[again], begin[again], end[again]], axis=1).astype("<i4").tobytes(), [], np.empty(len(doc), np.int64)
         for b, s, t in edges:
-            x = [new[j] for j in order[s:t]]
-            num = lambda v, kind="<i4": np.array(v, kind).tobytes()
-            rows.append((b, chunk, key[own[order[s:t]]].astype("<u8").tobytes(), num([e - s for _, _, s, e in x]), b"".join(texts[d][2][s:e] for _, d, s, e in x), num([ids[d] for _, d, _, _ in x], "<i8"), b"".join(heads[d] for _, d, _, _ in x), num([d for _, d, _, _ in x]), num([s for _, _, s, _ in x]), None))
-        if rows:
-            rows[0] = (*rows[0][:-1], np.array(cuts, "<i4").tobytes())
+            x = new[by[s:t]]
+            nth[x] = np.arange(len(x))
+            data = b"".join(texts[d][2][p:q] for d, p, q in zip(doc[x].tolist(), begin[x].tolist(), end[x].tolist(), strict=True))
+            sent = [key[x].astype("<u8"), (end - begin)[x].astype("<i4"), None, ids[doc[x]], None, doc[x].astype("<i4"), begin[x].astype("<i4")]
+            sent = [y if y is None else y.tobytes() for y in sent]
+            sent[2], sent[4] = data, b"".join(heads[d] for d in doc[x].tolist())
+            held = None
+            if members:
+                every_one = np.flatnonzero(np.isin(first, x))
+                held = np.stack([nth[first[every_one]], ids[doc[every_one]], begin[every_one]], axis=1).astype("<i8").tobytes()
+            rows.append((b, chunk, *sent, None if members or rows else cuts, times[x].tobytes() if members else None, held))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _CONTEXTS.split(", ")])
 
+    replies = counted(dealt, request)
+    return dealt, dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(contexts, _CONTEXTS)
+
+
+def maximal_repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, k: int = ANCHOR) -> DataFrame:
+    """(repeat: 16 bytes that name its text, length, doc_id, start): repeats of the corpus, a row for each occurrence.
+
+    They are the maximal repeats among the strings of at least min_bytes around one anchor. So every string of min_bytes
+    that occurs twice lies in one repeat with exactly its occurrences or more of them, and a repeat that is longer than
+    its anchor's reach comes as a chain of such pieces, which overlap by min_bytes - 1. Equal texts are one text, named
+    by its least doc_id; nulls are as in dedup_suffixes. Occurrences are joined in by (chunk, context), so no task
+    holds a whole group.
+    """
+    _, around = _around(docs, min_bytes, k, True)
+    around = written(around, "contexts")
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for b, c, m in zip(pdf["bucket"], pdf["chunk"], pdf["members"], strict=True):
+                nth, ids, at = np.frombuffer(m, "<i8").reshape(-1, 3).T
+                yield pd.DataFrame({"bucket": b, "chunk": c, "nth": nth, "doc_id": ids, "at": at})
+
+    held = around.select("bucket", "chunk", "members").mapInPandas(places, "bucket int, chunk long, nth long, doc_id long, at long")
+    found = around.drop("members").groupBy("bucket").applyInPandas(lambda key, pdf: _groups(pdf, min_bytes).assign(bucket=key[0]), "repeat binary, length long, chunk long, nth long, shift long, bucket int")
+    no_id = F.lit(-(1 << 63)).cast("long")
+    return found.join(held, ["bucket", "chunk", "nth"]).select("repeat", "length", F.nullif("doc_id", no_id).alias("doc_id"), (F.col("at") + F.col("shift")).alias("start"))
+
+
+def dedup_suffixes(docs: DataFrame, min_bytes: int = MIN_BYTES, k: int = ANCHOR) -> DataFrame:
+    """(doc_id, n_bytes, cuts: array of start, end; kept: binary): every row of docs without its repeated bytes.
+
+    A byte goes if a string of min_bytes that covers it also starts earlier: in a smaller doc_id, or earlier in the
+    same document. Matches are of UTF-8 bytes, never cross documents and are judged on the input. Null texts count as
+    empty; a null doc_id comes before all others. Rows that share doc_id and text are one document and keep the same
+    bytes; rows that share only the doc_id come in the order of the text's SHA-256. Empty tables give no rows.
+
+    Copies of a text are collapsed before anything is compared, and a chunk sends a context once however often it
+    holds it, so a passage that a third of all documents hold comes to a row for each chunk. Texts of any length are
+    taken whole. Other columns of docs are neither read nor returned.
+    """
+    dealt, around = _around(docs, min_bytes, k, False)
+
     def cleared(pdf: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
         texts = _texts(pdf)
         every = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 3) for x in cuts["cuts"]] or [np.zeros((0, 3), "<i4")])
@@ -356,8 +512,6 @@ def dedup_suffixes(docs: DataFrame, min_bytes: int = MIN_BYTES, k: int = ANCHOR)
             out.append((i, sha, [{"start": s, "end": e} for s, e in gone], b"".join(data[s:e] for s, e in zip(ends[::2], ends[1::2], strict=True))))
         return pd.DataFrame(out, columns=["first_id", "sha", "cuts", "kept"])
 
-    replies = counted(dealt, request)
-    around = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(contexts, _CONTEXTS)
     cuts = around.groupBy("bucket").applyInPandas(lambda pdf: _cut_repeats(pdf, min_bytes), _CUTS)
     done = dealt.groupBy("chunk").cogroup(cuts.groupBy("chunk")).applyInPandas(cleared, "first_id long, sha binary, cuts array<struct<start: int, end: int>>, kept binary")
     rows = docs.select("doc_id", _id(), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("sha"))
