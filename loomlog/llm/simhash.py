@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,59 +31,75 @@ def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * ones > len(h)].sum(dtype=np.uint64))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = np.fromiter((fingerprint(x.as_py() or b"") for x in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp): a row for each row of docs; null texts count as empty. Other columns are not read."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): a row for each row of docs; null texts count as empty. Other columns are not read."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(each, "doc_id long, fp long")
+
+
+def _ring(rows: DataFrame, m: int, radius: int, width: int = 8) -> tuple[DataFrame, DataFrame]:
+    """rows (g, x, fp), x of m segments -> (bucket members, what is left of them): one pass of pigeonring over groups g.
+
+    If two x differ in at most `radius` bits, some chain of consecutive segments keeps every prefix of length l within
+    l * radius / m differences. The leading segments whose budget is below one are equal, so they are the key; the
+    members keep the turned x, which the longer prefixes are checked on.
+    """
+    lead, bits = -(-m // radius) - 1, m * width
+    whole, key = f"{(1 << bits) - 1}L" if bits < 64 else "-1L", f"{(1 << (width * lead)) - 1}L"
+    turned = rows.select("g", "fp", "x", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"))
+    turned = turned.withColumn("x", F.expr(f"(shiftrightunsigned(x, {width} * i) | if(i = 0, 0L, shiftleft(x, {bits} - {width} * i))) & {whole}"))
+    return turned.select(F.xxhash64("g", "i", F.expr(f"x & {key}")).alias("g"), "fp", "x", F.expr(f"shiftrightunsigned(x, {width * lead})").alias("rest")), lead
 
 
-def pigeonring_links(fps: DataFrame, radius: int = 2, segments: int = 8, bucket: int = 32) -> DataFrame:
-    """(src, dst): links that join any two distinct fingerprints at most `radius` bits apart, directly or over others.
+def pigeonring_links(fps: DataFrame, radius: int = 2, bucket: int = 32) -> DataFrame:
+    """(src, dst): links that join any two distinct fingerprints at most `radius` bits apart (2, no other), directly or over others.
 
-    Pigeonring: the bits are cut into a ring of segments. If two fingerprints differ in at most `radius` bits, some
-    chain of consecutive segments keeps every prefix of length l within l * radius / segments differences. The leading
-    segments whose budget is below one are equal, so they are the join key; the longer prefixes are checked next, and
-    only then the full distance. Buckets of more than `bucket` fingerprints would make too many pairs: their members
-    are linked instead through shared one-bit neighbours, which for radius 2 is exact and takes 65 rows a fingerprint
-    (a shared neighbour means 2 bits or fewer, and 2 bits or fewer means a shared neighbour).
+    The 64 bits are a ring of eight segments, see _ring. Members of a bucket are compared in pairs: prefixes of chains
+    first, and only then the full distance. A bucket of more than `bucket` members goes through the ring again on the
+    bits that it does not share, where the whole budget is left: 40 bits, then 24, then 16. Buckets that are still
+    crowded when 16 bits are left are linked through shared one-bit neighbours of these bits, which is exact (a shared
+    neighbour means two bits or fewer, and two bits or fewer means a shared neighbour), in 17 rows a member.
     """
-    if radius != 2 or 64 % segments or segments <= radius:
-        raise ValueError("radius must be 2, and segments a divisor of 64 above it")
-    width, lead = 64 // segments, -(-segments // radius) - 1
-    full = (1 << (width * lead)) - 1
-    turned = lambda x, i: f"(shiftrightunsigned({x}, {width} * {i}) | if({i} = 0, 0L, shiftleft({x}, 64 - {width} * {i})))"
-    keyed = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("i"))
-    keyed = keyed.select("fp", "i", F.expr(f"{turned('fp', 'i')} & {full}L").alias("k"))
-    sizes = written(keyed.groupBy("i", "k").count().where("count > 1"), "buckets")
-    small = keyed.join(sizes.where(F.col("count") <= bucket).select("i", "k"), ["i", "k"])
-    pairs = small.alias("a").join(small.alias("b"), ["i", "k"]).where("a.fp < b.fp").select("i", F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
-    pairs = pairs.withColumn("x", F.expr("src ^ dst")).withColumn("x", F.expr(turned("x", "i")))
-    for n in range(lead + 1, segments):
-        pairs = pairs.where(F.expr(f"bit_count(x & {(1 << (width * n)) - 1}L) <= {n * radius // segments}"))
-    near = pairs.where(F.bit_count("x") <= radius).select("src", "dst").distinct()
-    crowd = keyed.join(sizes.where(F.col("count") > bucket).select("i", "k"), ["i", "k"]).select("fp").distinct()
-    flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.expr("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
-    spread = crowd.select("fp", F.explode(flips).alias("key"))
-    hubs = spread.groupBy("key").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).where("n > 1").select("key", "dst")
-    star = spread.join(hubs, "key").where("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
-    return near.unionAll(star)
-
-
-def simhash_groups(docs: DataFrame, radius: int = 2, segments: int = 8) -> DataFrame:
+    if radius != 2:
+        raise ValueError("radius must be 2")
+    rows, m, width, found = fps.select(F.lit(0).cast("long").alias("g"), F.col("fp").alias("x"), "fp"), 8, 8, []
+    while m > radius:
+        keyed, lead = _ring(rows, m, radius, width)
+        sizes = written(keyed.groupBy("g").count().where("count > 1"), "buckets")
+        few = keyed.join(sizes.where(F.col("count") <= bucket).select("g"), "g")
+        pairs = few.alias("a").join(few.alias("b"), "g").where("a.fp < b.fp").select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"), F.col("a.x").bitwiseXOR(F.col("b.x")).alias("d"))
+        for n in range(lead + 1, m):
+            pairs = pairs.where(F.expr(f"bit_count(d & {(1 << (width * n)) - 1}L) <= {n * radius // m}"))
+        found.append(pairs.where(F.bit_count(F.expr("src ^ dst")) <= radius).select("src", "dst"))
+        crowd = sizes.where(F.col("count") > bucket).select("g")
+        if crowd.isEmpty():
+            rows = None
+            break
+        rows, m = written(keyed.join(crowd, "g").select("g", F.col("rest").alias("x"), "fp"), "crowd"), m - lead
+    if rows is not None:
+        flips = F.concat(F.array("x"), F.transform(F.sequence(F.lit(0), F.lit(m * width - 1)), lambda b: F.expr("x").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
+        spread = rows.select("g", "fp", F.explode(flips).alias("key"))
+        hubs = spread.groupBy("g", "key").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).where("n > 1").select("g", "key", "dst")
+        found.append(spread.join(hubs, ["g", "key"]).where(F.col("fp") != F.col("dst")).select(F.col("fp").alias("src"), "dst"))
+    return reduce(DataFrame.unionAll, found).distinct()
+
+
+def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): near-duplicate groups, named by their smallest doc_id.
 
     A row for each row of docs. Null and empty texts have fingerprint 0 and are linked like any other. Rows with a
     null doc_id take part; a group of only such rows has a null component_id. An empty table gives no rows. Equal
-    fingerprints are collapsed first, so groups of exact copies cost one row.
+    fingerprints are collapsed first, so groups of exact copies cost one row. Columns other than doc_id and text are
+    neither read nor returned.
     """
-    rows = written(fingerprints(docs), "fingerprints")
+    rows = written(fingerprints(docs, shingle), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    comp = connected_components(pigeonring_links(distinct.select("fp"), radius, segments))
+    comp = connected_components(pigeonring_links(distinct.select("fp"), radius))
     tagged = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     named = tagged.groupBy("component").agg(F.min("low").alias("component_id"))
     ids = written(tagged.join(named, "component").select("fp", "component_id"), "components")
