@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import WORD, read, words, written
+from loomlog.llm.common import parts, read, small, words, written
 
 #: Primes above 2^31, one for each pass over a source's blocks: a prime that does not divide n steps through all n indexes.
 PRIMES = (4294967291, 4294967279, 4294967231, 4294967197)
 
 
 def _u(*key: Column) -> Column:
-    """A uniform draw in [0, 1) from 52 bits of the key's MD5, which any engine can redo."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    """A uniform draw in [0, 1) from 53 bits of the key's hash; the key is of longs."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 11) / F.lit(float(1 << 53))
 
 
 def source_targets(sizes: DataFrame, weights: list[float], cap: float = 3.0) -> DataFrame:
@@ -51,77 +51,98 @@ def _offsets(df: DataFrame, key: str, order: Column, group: Column, value: str,
     return df.withColumn(name, F.sum(value).over(inner) - F.col(value) + F.col("_base")).drop("_g", "_k", "_h", "_base")
 
 
+def _within(df: DataFrame, x: str, spans: DataFrame, cells: int) -> DataFrame:
+    """df joined to the row of spans(lo, hi, ...) with lo <= x < hi, x in [0, 1); spans are apart.
+
+    [0, 1) is cut into cells; a span is listed under each cell that it touches, so the join is on equal cells and the
+    list has no more rows than spans and cells together.
+    """
+    cell = lambda c: F.least(F.floor(c * cells), F.lit(cells - 1)).cast("long")
+    listed = spans.where("lo < hi").withColumn("_c", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    return df.withColumn("_c", cell(F.col(x))).join(small(listed), "_c").where((F.col(x) >= F.col("lo")) & (F.col(x) < F.col("hi"))).drop("_c", "lo", "hi")
+
+
+def draw_slots(plan: DataFrame, slots: int, seed: int) -> DataFrame:
+    """(shard, sid, n_blocks, j): which use j of its source every slot of the output is, from plan(sid, n_blocks, quota, all_slots).
+
+    A shard is a run of `slots` slots, and its counts of sources are one multinomial draw: each slot takes a source by
+    its share of all quotas, independently. Over all shards a source then has some slots more or less than its quota.
+    That residual is settled slot by slot: a source's slots beyond its quota, in the order of shards, are given to the
+    sources that lack some, in the order of sources. So totals equal quotas, and all but the surplus is as drawn.
+    """
+    spark = plan.sparkSession
+    total, sources = plan.agg(F.max("all_slots"), F.count("*")).first()
+    cells = 4 * sources
+    upto = W.orderBy("sid")
+    share = plan.withColumn("hi", F.sum("quota").over(upto) / F.col("all_slots")).withColumn("lo", F.coalesce(F.lag("hi").over(upto), F.lit(0.0)))
+    each = spark.range(0, total, 1, parts(total, 1 << 19)).select(F.expr(f"id div {slots}").alias("shard"), _u(F.lit(seed).cast("long"), F.col("id")).alias("u"))
+    counts = _within(each, "u", share.select("lo", "hi", "sid", "n_blocks", "quota"), cells).groupBy("shard", "sid", "n_blocks", "quota").agg(F.count("*").alias("n"))
+    counts = written(_offsets(counts, "sid", F.col("shard"), F.expr("shard div 1024"), "n", "j0"), "draws")
+    kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("j0")))
+    held = counts.withColumn("kept", kept).repartition(parts(total, 1 << 19), "shard", "sid")
+    drawn = held.where("kept > 0").select("shard", "sid", "n_blocks", F.explode(F.sequence("j0", F.col("j0") + F.col("kept") - 1)).alias("j"))
+
+    got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
+    lack = plan.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).withColumn("lack", F.greatest(F.lit(0), F.col("quota") - F.col("got")))
+    lack = lack.withColumn("to", F.sum("lack").over(upto)).withColumn("from", F.col("to") - F.col("lack")).withColumn("all", F.sum("lack").over(W.partitionBy()))
+    over = held.withColumn("s", F.col("n") - F.col("kept")).groupBy("shard").agg(F.sum("s").alias("s")).where("s > 0").withColumn("k", F.lit(0))
+    free = _offsets(over, "k", F.col("shard"), F.expr("shard div 1024"), "s", "f0").select("shard", F.explode(F.sequence("f0", F.col("f0") + F.col("s") - 1)).alias("f"))
+    most = lack.agg(F.max("all")).first()[0]
+    # x is half a step up, so that rounding leaves every f inside its span
+    spans = lack.where("lack > 0").select((F.col("from") / most).alias("lo"), (F.col("to") / most).alias("hi"), "sid", "n_blocks", "got", "from") if most else None
+    if spans is None:
+        return drawn
+    settled = _within(free.withColumn("x", (F.col("f") + 0.5) / most), "x", spans, cells).select("shard", "sid", "n_blocks", (F.col("got") + F.col("f") - F.col("from")).alias("j"))
+    return drawn.unionAll(settled)
+
+
+def block_of(n: Column, j: Column, sid: Column, seed: int) -> Column:
+    """Use j of a source of n blocks reads this block: (a * j + c) mod n, c drawn for each pass over the source."""
+    prime = F.coalesce(*[F.when(n % p != 0, F.lit(p)) for p in PRIMES])
+    turn = F.floor(_u(F.lit(seed + 1).cast("long"), sid, F.floor(j / n).cast("long")) * n)
+    return ((prime % n).cast("decimal(19,0)") * (j % n).cast("decimal(18,0)") + turn.cast("decimal(19,0)")) % n.cast("decimal(19,0)")
+
+
 def mix_sources(docs: DataFrame, weights: list[float], block: int = 64, slots: int = 256, cap: int = 3, seed: int = 17) -> DataFrame:
     """(doc_id, size, source_size, target, taken): how many words of each document the mix takes, repeats counted.
 
     1. A source's documents are laid end to end in hash order and cut into blocks of `block` words; the last is short.
-    2. The output is cut into shards of `slots` blocks. Each shard draws multinomial source counts: the whole part of
-       slots * share is fixed, and only the remainder is drawn, slot by slot, by fractional share.
-    3. A source's slots are numbered over all shards; number j reads block (a * j + c) mod n of the source, where a is
+    2. The output is cut into shards of `slots` blocks, whose source counts are multinomial draws, see draw_slots. A
+       source's quota is its target in blocks, rounded by largest remainders.
+    3. A source's uses are numbered over all shards; use j reads block (a * j + c) mod n of the source, where a is
        a prime that does not divide n and c is drawn for the pass j div n, so every pass is a pseudorandom permutation.
     4. Slots join blocks by index, and uses of a block count for the words that each document has in it.
 
-    Slots beyond `cap` passes are left out, so that no document exceeds cap times its size. Null or wordless texts have
-    size 0 and take 0; null is a source of its own; rows that share a doc_id are separate documents. Reruns agree, as
-    all draws are hashes of seed and position. An empty table gives no rows.
+    Targets stop at `cap` times a source's size, so no block is used more than cap times and no document exceeds cap
+    times its size. Null or wordless texts have size 0 and take 0; null is a source of its own; rows that share a doc_id
+    are separate documents, and equal rows of one doc_id are laid in any order, as they are alike. Reruns agree, as all
+    draws are hashes of seed and position. Long texts span many blocks. Columns other than doc_id, text and source are
+    neither read nor returned. An empty table gives no rows. Sources are few enough to go through one task.
     """
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))).alias("h"), F.xxhash64("text").alias("t"))
-    sized = written(sized, "sizes")
-    targets = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, float(cap)), "targets")
-    total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    layout = written(_offsets(sized.where("size > 0"), "source", F.struct("h", "doc_id", "size", "t"), F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % max(1, rows // 4096 + 1), "size", "start"), "layout")
-
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("t"))
+    sized = written(sized.withColumn("h", F.xxhash64(F.lit(seed).cast("long"), F.col("doc_id").cast("long"), "t")), "sizes")
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("docs"))
+    targets = source_targets(sums.select("source", "source_size"), weights, float(cap)).join(sums.select(F.col("source").alias("_s"), "docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    plan = targets.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).cast("long")).withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
     # a source's share of slots is its target in blocks, as its blocks hold size / n_blocks words on average
-    plan = targets.where("target > 0").withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
-    plan = plan.withColumn("draws", F.col("target") * F.col("n_blocks") / F.col("source_size"))
-    plan = plan.withColumn("all_draws", F.sum("draws").over(W.partitionBy()))
-    plan = plan.withColumn("shards", F.greatest(F.lit(1), F.round(F.col("all_draws") / slots)).cast("long"))
-    plan = plan.withColumn("mean", F.col("draws") / F.col("shards")).withColumn("whole", F.floor("mean")).withColumn("frac", F.col("mean") - F.col("whole"))
-    upto = W.orderBy(F.col("source").asc_nulls_last())
-    plan = plan.withColumn("hi", F.sum("frac").over(upto)).withColumn("lo", F.col("hi") - F.col("frac")).withColumn("free", F.round(F.sum("frac").over(W.partitionBy()), 9))
-    plan = written(plan.withColumn("sid", F.row_number().over(upto)), "plan")
-    if not plan.take(1):
-        return sized.join(targets, sized.source.eqNullSafe(targets.source)).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    # one row for each source, so what the driver holds does not grow with documents or words
-    ladder = plan.select("sid", "whole", "hi", "shards", "free").orderBy("sid").collect()
-    shards, free = ladder[0]["shards"], ladder[0]["free"]
-    n_free = int(-(-free // 1))
-    shard = docs.sparkSession.range(shards).withColumnRenamed("id", "shard")
-    fixed = shard.select("shard", F.posexplode(F.array(*[F.lit(x["whole"]) for x in ladder])).alias("at", "n")).select("shard", (F.col("at") + 1).alias("sid"), "n")
-    if n_free:
-        # the remainder: each of n_free slots is taken with chance free / n_free, by a source of chance frac / free
-        steps = F.array(*[F.lit(float(x["hi"])) for x in ladder])
-        draw = lambda name: _u(F.lit(seed), F.lit(name), F.col("shard").cast("string"), F.col("slot").cast("string"))
-        drawn = shard.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n_free)))).where(draw("keep") < F.lit(free / n_free))
-        drawn = drawn.withColumn("u", draw("slot") * F.lit(float(ladder[-1]["hi"])))
-        drawn = drawn.select("shard", F.least(F.size(F.filter(steps, lambda hi: hi <= F.col("u"))) + 1, F.lit(len(ladder))).alias("sid"), F.lit(1).cast("long").alias("n"))
-        fixed = fixed.unionAll(drawn).groupBy("shard", "sid").agg(F.sum("n").alias("n"))
-    counts = _offsets(fixed.where("n > 0"), "sid", F.col("shard"), F.expr("shard div 1024").cast("int"), "n", "j0")
-    counts = counts.join(F.broadcast(plan.select("sid", "source", "n_blocks")), "sid")
-    slot = counts.select("sid", "n_blocks", F.explode(F.sequence("j0", F.col("j0") + F.col("n") - 1)).alias("j")).where(F.col("j") < F.lit(cap) * F.col("n_blocks"))
-    n, j = F.col("n_blocks"), F.col("j")
-    prime = F.coalesce(*[F.when(n % p != 0, F.lit(p)) for p in PRIMES])
-    turn = F.floor(_u(F.lit(seed), F.lit("turn"), F.col("sid").cast("string"), F.expr("j div n_blocks").cast("string")) * n)
-    index = ((prime % n).cast("decimal(19,0)") * (j % n).cast("decimal(18,0)") + turn.cast("decimal(19,0)")) % n.cast("decimal(19,0)")
-    uses = slot.select("sid", index.cast("long").alias("block")).groupBy("sid", "block").agg(F.count("*").alias("uses"))
-
-    ids = F.broadcast(plan.select(F.col("source").alias("_s"), "sid"))
-    spans = layout.join(ids, layout.source.eqNullSafe(F.col("_s"))).select("sid", "doc_id", "size", "start", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
+    plan = plan.withColumn("real", F.coalesce(F.try_divide(F.col("target") * F.col("n_blocks"), "source_size"), F.lit(0.0))).withColumn("whole", F.floor(F.col("real") + 1e-9))
+    plan = plan.withColumn("left", F.round(F.sum(F.col("real")).over(W.partitionBy()) - F.sum("whole").over(W.partitionBy())))
+    plan = plan.withColumn("quota", F.least(F.col("whole") + F.when(F.row_number().over(W.orderBy((F.col("real") - F.col("whole")).desc(), "sid")) <= F.col("left"), 1).otherwise(0), cap * F.col("n_blocks")))
+    plan = written(plan.withColumn("all_slots", F.sum("quota").over(W.partitionBy())), "plan")
+    named = small(plan.select(F.col("source").alias("_s"), "sid", "source_size", "target", "docs"))
+    layed = sized.join(named, F.col("source").eqNullSafe(F.col("_s"))).select("sid", "doc_id", "size", "source_size", "target", "h", "t", "docs")
+    none = layed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    if not plan.where("quota > 0").take(1):
+        return layed.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    # groups of about 1024 documents of a source
+    layout = _offsets(layed.where("size > 0"), "sid", F.struct("h", "doc_id", "size", "t"), F.floor(_u(F.col("h")) * F.expr("docs div 1024 + 1")), "size", "start").drop("h", "t", "docs")
+    slot = draw_slots(plan.where("quota > 0").select("sid", "n_blocks", "quota", "all_slots"), slots, seed)
+    uses = slot.select("sid", block_of(F.col("n_blocks"), F.col("j"), F.col("sid"), seed).cast("long").alias("block")).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    spans = layout.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     spans = spans.withColumn("part", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
-    taken = spans.join(uses, ["sid", "block"], "left").groupBy("sid", "doc_id", "size", "start").agg(F.sum(F.col("part") * F.coalesce("uses", F.lit(0))).alias("taken"))
-    some = taken.join(F.broadcast(plan.select("sid", "source_size", "target")), "sid").select("doc_id", "size", "source_size", "target", "taken")
-    none = sized.where("size = 0").join(targets, sized.source.eqNullSafe(targets.source)).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return some.unionAll(none)
+    taken = spans.join(uses, ["sid", "block"], "left").groupBy("sid", "doc_id", "size", "start", "source_size", "target").agg(F.sum(F.col("part") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken").unionAll(none)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), [5, 2, 1])
-
-
-#: Sizes and targets alone, which SQL can redo; tests hold `taken` against a brute-force mix.
-TARGETS_SQL = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
-s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
-k AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w FROM s)
-SELECT * FROM k
-"""
