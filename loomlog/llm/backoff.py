@@ -66,7 +66,7 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_
     """
     n_bytes, n_words, n_rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.size(words(F.col("text")))), F.lit(0)), F.count("*")).first()
     chunks, buckets = parts(n_bytes, CHUNK_BYTES), parts(2 * n_words, BUCKET_GRAMS)
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data"))
+    dealt = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("binary").alias("data"))  # pandas would turn ids beside a null into floats
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "data"), F.lit(chunks)))
 
     def request(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +93,7 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": sizes, "n_backoff": np.bincount(doc, back, len(sizes)).astype(np.int64), "log_score": np.bincount(doc, logs, len(sizes))})
 
     replies = counted(dealt, request)
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(score, "doc_id long, n_words long, n_backoff long, log_score double")
+    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(score, "doc_id string, n_words long, n_backoff long, log_score double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

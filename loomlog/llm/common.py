@@ -40,14 +40,45 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back, which cuts its lineage; `by` names a column to store it by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def marked() -> int:
+    """How many tables `written` has made; for `removed`."""
+    return len(_WRITTEN)
+
+
+def removed(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables that `written` has made since the mark, but for those that `keep` reads; call it when they have been used."""
+    held = tuple(f.rsplit("/", 1)[0].split(":", 1)[-1].rstrip("/") for f in keep.inputFiles()) if keep is not None else ()
+    for path in _WRITTEN[since:]:
+        name = path.rsplit("/", 1)[-1]
+        if not any(name in h for h in held):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _WRITTEN.remove(path)
+
+
+#: What a broadcast table may hold at most.
+SMALL_ROWS, SMALL_BYTES = 500_000, 64 << 20
+
+
+def small(df: DataFrame, text: str | None = None) -> DataFrame:
+    """df, marked for broadcast if it holds at most SMALL_ROWS rows and, in the string column `text`, SMALL_BYTES bytes."""
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)
+    few = df.limit(SMALL_ROWS + 1).agg(F.count("*").alias("n"), F.max(F.lit(0)) if not text else size.alias("size")).first()
+    return F.broadcast(df) if few[0] <= SMALL_ROWS and (few[1] or 0) <= SMALL_BYTES else df
+
+
 def parts(total: float, each: float) -> int:
     """How many groups of about `each` units hold `total` units."""
     return max(1, int(-(-total // each)))

@@ -5,16 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import read, written
+from loomlog.llm.common import read, small, written
 
 #: Words here are runs of letters and digits, lower-cased, so that punctuation around a quoted passage does not matter.
 TOKEN = r"[\p{L}\p{N}]+"
-#: Tables of up to so many rows are broadcast (at most about 30 MB); larger ones are joined by shuffle.
-SMALL_ROWS = 500_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
 def _tokens(text: Column) -> Column:
@@ -71,13 +65,13 @@ def find_contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: flo
     # explode_outer here and below: for explode Spark would test for empty arrays first, building each array once more
     # of a document only hashes up to the deepest sketch can meet one: most shingles end here, before any join
     probes = shingle_hashes(docs, k).select(F.col("id").alias("doc_id"), F.explode_outer(F.filter("s", lambda h: h <= top)).alias("h")).where("h is not null")
-    found = written(probes.join(_small(sketch.select("h", "item_id").distinct()), "h").select("doc_id", "item_id").distinct(), "candidates")
+    found = written(probes.join(small(sketch.select("h", "item_id").distinct()), "h").select("doc_id", "item_id").distinct(), "candidates")
     ids = found.select(F.col("doc_id").alias("c")).distinct()
-    some = docs.join(_small(ids), F.col("id").eqNullSafe(F.col("c")), "left_semi")
+    some = docs.join(small(ids), F.col("id").eqNullSafe(F.col("c")), "left_semi")
     parts = shingle_texts(items, k).withColumnRenamed("id", "item_id")
     sizes = parts.groupBy(F.col("item_id").alias("i")).agg(F.count("*").alias("n"))
-    hits = shingle_texts(some, k).withColumnRenamed("id", "doc_id").join(_small(parts), "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"))
-    out = hits.join(_small(sizes), F.col("item_id").eqNullSafe(F.col("i"))).where(F.col("hits") >= F.lit(threshold) * F.col("n") - 1e-9)
+    hits = shingle_texts(some, k).withColumnRenamed("id", "doc_id").join(small(parts, "s"), "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"))
+    out = hits.join(small(sizes), F.col("item_id").eqNullSafe(F.col("i"))).where(F.col("hits") >= F.lit(threshold) * F.col("n") - 1e-9)
     return out.select("doc_id", "item_id", (F.col("hits") / F.col("n")).alias("containment"))
 
 

@@ -12,10 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import LOWER, UPPER, read, written
+from loomlog.llm.common import LOWER, UPPER, parts, read, written
+
+#: Text of one batch of documents.
+BATCH_BYTES = 64 << 30
 
 #: What is stripped from both ends of a line before it is compared.
-_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"  # not $, which in Java also matches before a final line end of any kind
 
 
 def _lines(text: Column) -> Column:
@@ -42,22 +45,24 @@ class Runs:
             self.add(merged, level + 1)
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """(doc_id, n_drop, drop): positions of the lines to drop, for the documents that lose any.
+def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = 3) -> DataFrame:
+    """(doc_id, drop): positions of the lines to drop, for the documents that lose any.
 
     Null doc_ids sort before all others. Rows that share a doc_id are one document: none of them makes another's line
     a repeat. Keys are compared by 128 bits of hash. Null or empty texts have one empty line, which is too short to go.
+    A batch holds about BATCH_BYTES of text unless their number is given; no result depends on it. Line hashes are
+    stored by batch, so that a batch reads its own alone.
     """
-    keyed = docs.select("doc_id", F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
-    keyed = keyed.select("doc_id", "pos", F.translate(F.regexp_replace("line", _ENDS, ""), UPPER, LOWER).alias("key"))
-    keyed = keyed.where(F.char_length("key") >= min_chars)
-    hashed = keyed.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
-    lines = written(hashed, "lines")
-    at = lines.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
-    # a null doc_id compares as null with every edge and falls to batch 0
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    batches = batches or max(4, parts(n_bytes, BATCH_BYTES))
+    at = docs.select(F.col("doc_id").cast("long")).approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.5 / batches) if batches > 1 else []
     edges = sorted({int(x) for x in at})
-    batch = reduce(lambda c, i: F.when(F.col("doc_id") > edges[i], i + 1).otherwise(c), range(len(edges)), F.lit(0))
-    lines = lines.withColumn("batch", batch)
+    # a null doc_id falls to batch 0
+    batch = F.aggregate(F.array(*[F.lit(e) for e in edges]).cast("array<long>"), F.lit(0), lambda n, e: n + F.coalesce((F.col("doc_id") > e).cast("int"), F.lit(0)))
+    keyed = docs.select("doc_id", batch.alias("batch"), F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
+    keyed = keyed.select("doc_id", "batch", "pos", F.translate(F.regexp_replace("line", _ENDS, ""), UPPER, LOWER).alias("key"))
+    keyed = keyed.where(F.char_length("key") >= min_chars)
+    lines = written(keyed.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "batch"), "lines", by="batch")
     runs = Runs(fanout)
     for i in range(len(edges) + 1):
         mine = lines.where(F.col("batch") == i).groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nul"))
@@ -72,19 +77,21 @@ def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     """docs with text cut to the lines that stay, plus n_lines and n_dropped (these two replace columns of that name).
 
     A text that loses nothing is returned as it is (null stays null); empty tables give empty results. If all lines
-    go, the text is empty. Rows that share a doc_id lose the same line positions.
+    go, the text is empty. Rows that share a doc_id lose the same line positions. Other columns keep their name and
+    value, whatever it is. A long text costs time in proportion to its lines.
     """
-    drop = repeated_lines(docs, **params).withColumnRenamed("doc_id", "drop_id")
-    docs = docs.drop("n_lines", "n_dropped", "drop", "drop_id")
-    drops = F.coalesce("drop", F.array().cast("array<int>"))
-    kept = F.filter(_lines(F.col("text")), lambda line, i: ~F.array_contains(drops, i))
-    cut = F.size(kept) < F.size(_lines(F.col("text")))
-    out = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    drop = repeated_lines(docs, **params)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    out = docs.select(F.struct(*own).alias("d")).join(drop, F.col("d.doc_id").eqNullSafe(drop["doc_id"]), "left").select("d", "drop")
+    text = F.col("d.text")
+    out = out.select("d", "drop", _lines(text).alias("lines"))  # a column, so that it is split once
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop"), lambda i: F.get("lines", i))
+    out = out.select("d", F.size("lines").alias("n"), F.when(F.col("drop").isNotNull(), kept).alias("kept"))
+    cut = F.coalesce(F.size("kept") < F.col("n"), F.lit(False))
     return out.select(
-        *[F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.when(F.col("drop").isNull(), 0).otherwise(F.size(_lines(F.col("text"))) - F.size(kept)).cast("long").alias("n_dropped"),
-    )
+        *[F.when(cut, F.array_join("kept", "\n")).otherwise(text).alias("text") if c == "text" else F.col("d")[c].alias(c) for c in own],
+        F.col("n").cast("long").alias("n_lines"), F.when(cut, F.col("n") - F.size("kept")).otherwise(0).cast("long").alias("n_dropped"),
+    )
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import read, words, written
-from loomlog.llm.decontaminate import SMALL_ROWS
+from loomlog.llm.common import read, small, words, written
 
 #: Hash buckets of unigrams and bigrams together; also the length of the weight table that the plan carries.
 BUCKETS = 10_000
@@ -61,7 +60,7 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, p
     by `prior`. Rows of docs count one by one; null and wordless texts add nothing. Without target text all weights are 0.
     """
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("t_id")).distinct()
-    ids = F.broadcast(ids) if ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else ids
+    ids = small(ids)
     hashed = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("wh"))
     marked = _grams(hashed, buckets).join(ids, F.col("doc_id") == F.col("t_id"), "left")
     rows = marked.select(F.col("t_id").isNotNull().alias("good"), F.explode_outer("grams").alias("b"))  # _outer: else Spark tests for empty arrays below, building them twice

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +35,8 @@ ALLOW = (
     re.compile(r"(?i)abcdefghij" + "".join(f"(?:{c}" for c in "klmnopqrstuvwxyz") + ")?" * 16 + "|0123456789|qwertyuiop"),
     re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
 )
-#: What stands before a candidate that is a published digest, not a secret.
-ALLOW_BEFORE = re.compile(r"(?i)(?:sha(?:1|256|384|512)|md5)[-:= ]*$")
+#: What stands before a candidate, up to marks and blanks, that is a published digest, not a secret.
+ALLOW_BEFORE = ("sha1", "sha256", "sha384", "sha512", "md5")
 #: Host and path of an address, which are no secret; what stands before '@' or in the query may be.
 _URL = re.compile(r"""(?i)https?://(?:[^\s/?#"'<>,@]*@)?([^\s"'`<>(){}|,;@?=&#]*)""")
 
@@ -76,7 +76,8 @@ def hot_windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
 
 def _clear(s: str, at: int, urls: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Ranges of the candidate s, which starts at `at`, that no allow-list covers; a window that touches one is no secret."""
-    known = [m.span() for p in ALLOW for m in p.finditer(s)] + [(max(0, a - at), b - at) for a, b in urls if a < at + len(s) and b > at]
+    near = urls[max(0, bisect_left(urls, (at, at)) - 1) : bisect_left(urls, (at + len(s), 0))]  # urls are in order and apart
+    known = [m.span() for p in ALLOW for m in p.finditer(s)] + [(max(0, a - at), b - at) for a, b in near if b > at]
     last = 0
     for a, b in sorted(known):
         if a > last:
@@ -90,7 +91,10 @@ def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int, str]]
     """Spans the entropy method adds: windows of candidates that touch nothing on the allow-lists."""
     spans, urls = [], [m.span(1) for m in _URL.finditer(text)]
     for m in _CANDIDATE.finditer(text):
-        if ALLOW_BEFORE.search(text, max(0, m.start() - 200), m.start()):
+        before = m.start()
+        while before and text[before - 1] in "-:= ":
+            before -= 1
+        if text[max(0, before - 6) : before].lower().endswith(ALLOW_BEFORE):
             continue
         for s, e in _clear(m[0], m.start(), urls):
             if e - s < window:
@@ -118,9 +122,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans: array of kind, start, end): a row for each row of docs, in one pass without a shuffle.
 
-    Documents without a finding have an empty array. Other columns are not read; an empty table gives no rows.
+    Documents without a finding have an empty array, and null texts count as empty. Texts are scanned whole, in time in
+    proportion to their length; repeated rows are scanned one by one. Other columns are not read; an empty table gives
+    no rows.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_scan, "doc_id long, spans array<struct<kind: string, start: int, end: int>>")
+    ids = docs.select(F.col("doc_id").cast("string"), "text")  # pandas would turn ids beside a null into floats
+    return ids.mapInPandas(_scan, "doc_id string, spans array<struct<kind: string, start: int, end: int>>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def redact(text: str | None, mask: str = "[secret]") -> str | None:
@@ -147,9 +154,3 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, count = F.col("spans"), lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter(spans, lambda x: x["kind"] != "entropy")
     return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
-
-
-def digest_by_hand(text: str | None) -> str:
-    """For tests: base_sha256 from the base spans alone."""
-    spans = sorted(base_spans(text or ""), key=lambda x: (x[0], KINDS.index(x[2])))
-    return sha256(",".join(f"{k}:{s}:{e}" for s, e, k in spans).encode()).hexdigest()

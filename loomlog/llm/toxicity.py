@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import read
+from loomlog.llm.common import read, written
 
 _TOKEN = re.compile(r"\w+")
 BITS = 20
+EVERY = 1 << BITS
 
 
 def terms(word: str) -> list[int]:
@@ -91,32 +92,40 @@ def fit_fm(docs: list[np.ndarray], y: np.ndarray, ids: np.ndarray, factors: int
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents of each class that hold a term, added up in the task."""
-    n = np.zeros((2, 1 << BITS), np.int32)
+    """Documents of each class that hold a term, added up in the task; the term EVERY stands for all documents."""
+    n = np.zeros((2, EVERY + 1), np.int32)
     for pdf in batches:
         for text, y in zip(pdf["text"], pdf["y"], strict=True):
             hits = term_set(text)
             n[int(y), np.fromiter(hits, np.int64, len(hits))] += 1
+            n[int(y), EVERY] += 1
     some = np.flatnonzero(n.sum(axis=0))
     yield pd.DataFrame({"term": some, "neg": n[0, some], "pos": n[1, some]})
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, kept: int = 4096, min_docs: int = 3, least_chi: float = 15.0) -> Model:
-    """Fit on at most `rows` labelled documents, those of least hash; `kept` terms of highest chi-square stay,
-    if it reaches `least_chi`, so that terms of no bearing on the label add no noise to long texts.
+def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, kept: int = 4096, frequent: int = 1024, min_docs: int = 3, least_chi: float = 15.0) -> Model:
+    """Fit on at most `rows` labelled documents, those of least hash.
 
-    labels: (doc_id, y). Null ids and labels are left out; an id that is labelled twice trains twice. The bound makes
-    the model's cost the same at every size of corpus; it is the only sample in this module.
+    Terms that enter: up to `kept` of highest chi-square, if it reaches `least_chi`, and the `frequent` most frequent
+    others, whatever they say alone, so that pairs of them can tell; decay keeps those of no bearing near zero.
+
+    labels: (doc_id, y). Null ids and labels are left out; an id that is labelled twice trains twice, and so does one
+    that several documents share; a label without a document does not count. The bound makes the model's cost the same
+    at every size of corpus; it is the only sample in this module. Without labelled documents every score is 0.
     """
     picked = labels.where("doc_id is not null and y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("y").cast("int"))
     df = sample.mapInPandas(_counts, "term int, neg int, pos int").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    total = {r["y"]: r["count"] for r in picked.groupBy(F.col("y").cast("int").alias("y")).count().collect()}
-    npos, nneg = float(total.get(1, 0)), float(total.get(0, 0))
+    df = written(df, "terms")
+    whole = df.where(F.col("term") == EVERY).first()
+    npos, nneg = (float(whole["pos"]), float(whole["neg"])) if whole else (0.0, 0.0)
     n = npos + nneg
     both = F.col("pos") + F.col("neg")
     chi = n * F.pow(F.col("pos") * nneg - F.col("neg") * npos, 2) / (both * F.greatest(F.lit(1.0), n - both) * F.lit(max(1.0, npos * nneg)))
-    ids = np.array([r["term"] for r in df.where(both >= min_docs).where(chi >= least_chi).orderBy(chi.desc(), "term").limit(kept).select("term").collect()], np.int64)
+    terms = df.where(F.col("term") != EVERY).where(both >= min_docs).withColumn("chi", chi)
+    telling = terms.where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(kept).select("term")
+    common = terms.where(F.col("chi") < least_chi).orderBy(both.desc(), "term").limit(frequent).select("term")
+    ids = np.array([r["term"] for r in telling.collect() + common.collect()], np.int64)
     bare = Model(ids, 0.0, np.zeros(len(ids)), np.zeros((len(ids), 1)))
 
     def active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +150,11 @@ def score_column(model: Model, text: F.Column) -> F.Column:
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) from the text alone: a row for each row of docs, none for an empty table."""
+    """(doc_id, score) from the text alone: a row for each row of docs, none for an empty table.
+
+    Null and empty texts get the model's base score. A term counts once a text, so long texts cost time in proportion
+    to their length and equal texts score alike. Columns other than doc_id and text are neither read nor returned.
+    """
     return docs.select(F.col("doc_id").cast("long"), score_column(model, F.col("text")).alias("score"))
 
 
