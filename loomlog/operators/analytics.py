@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,20 +45,14 @@ class Filter:
 
     def whole_days(self) -> Filter:
         """since floored to its UTC day, a mid-day until ceiled."""
-        day = lambda t, up: t if t is None or t.endswith("00:00:00") else str((_day(t) + (1 if up else 0)))
+        day = lambda t, up: t if t is None else str(date.fromisoformat(t[:10]) + timedelta(days=int(up and not t.endswith("00:00:00"))))
         return replace(self, since=day(self.since, False), until=day(self.until, True))
 
 
-def _day(t: str):
-    import numpy as np
-
-    return np.datetime64(t[:10], "D")
-
-
 def window(x: Inputs, f: Filter) -> DataFrame:
-    """The dated ledger rows of the filter, with their session's columns."""
+    """The dated rows of the daily rollup in the filter's whole days, with their session's columns."""
     cols = ["session_id", "user_id", "project_id", "agent", "machine", "relationship_type", "started_at"]
-    return x.ledger.where(f.inside(F.col("occurred_at"))).join(f.sessions(x).select(*cols), "session_id")
+    return x.usage_daily.where(f.whole_days().inside(F.col("day"))).join(f.sessions(x).select(*cols), "session_id")
 
 
 def _sums() -> list[Column]:
@@ -70,7 +65,7 @@ def _cost(c: str = "cost") -> Column:
 
 def daily_series(x: Inputs, f: Filter = Filter()) -> DataFrame:
     """G1: cost and token classes by UTC day; days without usage are absent."""
-    return window(x, f).groupBy(F.to_date("occurred_at").alias("day")).agg(*_sums(), _cost())
+    return window(x, f).groupBy("day").agg(*_sums(), _cost())
 
 
 def breakdown(x: Inputs, label: Column, f: Filter = Filter(), df: DataFrame | None = None) -> DataFrame:
@@ -93,7 +88,7 @@ def by_user(x: Inputs, f: Filter = Filter()) -> DataFrame:
 
 def cache_stats(x: Inputs, f: Filter = Filter()) -> DataFrame:
     """Cache volume by (model, day), priced after grouping so that a rate change splits no sum; then one row."""
-    by = window(x, f).groupBy("model", F.to_date("occurred_at").cast("timestamp").alias("occurred_at")).agg(*_sums())
+    by = window(x, f).groupBy("model", F.col("day").cast("timestamp").alias("occurred_at")).agg(*_sums())
     saved = F.coalesce(F.expr("cache_read * (r_in - r_cr) + cache_write * (r_in - r_cw)"), F.lit(0.0)) / 1e6
     out = with_rates(by).withColumn("savings", saved).agg(*_sums(), _cost("savings"))
     return out.withColumn("hit_rate", F.round(F.coalesce(F.try_divide("cache_read", F.expr("input + cache_read + cache_write")), F.lit(0.0)), 6))
@@ -101,13 +96,13 @@ def cache_stats(x: Inputs, f: Filter = Filter()) -> DataFrame:
 
 def session_cache(x: Inputs) -> DataFrame:
     """Cache savings of every session, undated rows at the earliest rate."""
-    return x.ledger.groupBy("session_id").agg(_cost("savings"))
+    return x.usage_daily.groupBy("session_id").agg(_cost("savings"))
 
 
 def sparklines(x: Inputs, until: str, days: int = 14) -> DataFrame:
     """The last days of every project as a dense array, oldest first."""
     end = F.to_date(F.lit(until))
-    df = window(x, Filter()).withColumn("i", F.datediff(F.to_date("occurred_at"), end) + days - 1).where(f"i BETWEEN 0 AND {days - 1}")
+    df = window(x, Filter()).withColumn("i", F.datediff("day", end) + days - 1).where(f"i BETWEEN 0 AND {days - 1}")
     per = df.groupBy("project_id", "i").agg(F.sum(F.expr("input + output + cache_read + cache_write")).alias("n"))
     got = per.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))  # at most one entry a day
     dense = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))

@@ -9,9 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlog.functions import quality
-from loomlog.functions.pricing import priced
-from loomlog.operators import rollups, signals
-from loomlog.operators.analytics import CLASSES
+from loomlog.operators import signals
 from loomlog.sources.views import Inputs, as_of
 
 MAX_BUCKETS = 120
@@ -46,12 +44,12 @@ def archetype_distribution(x: Inputs) -> DataFrame:
 def running(spans: DataFrame, by: list[str]) -> DataFrame:
     """Open spans at each instant, with all that start there counted before any that end.
 
-    Deltas are summed by instant first. The prefix sum has two levels, by day and within a day, so that no task holds
-    more than one day of instants or one row a day, also where there is no key to partition by.
+    Deltas are summed by instant first. The prefix sum has two levels, by hour and within an hour, so that no task holds
+    more than one hour of instants or one row an hour, also where there is no key to partition by.
     """
     starts = spans.select(*by, F.col("started_at").alias("t"), F.lit(1).alias("up"), F.lit(0).alias("down"))
     ends = spans.select(*by, F.col("ended_at").alias("t"), F.lit(0).alias("up"), F.lit(1).alias("down"))
-    at = starts.unionAll(ends).groupBy(*by, "t").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).withColumn("day", F.to_date("t"))
+    at = starts.unionAll(ends).groupBy(*by, "t").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).withColumn("day", F.date_trunc("hour", "t"))
     days = at.groupBy(*by, "day").agg(F.sum(F.expr("up - down")).alias("net"))
     base = days.select(*by, "day", (F.sum("net").over(W.partitionBy(*by).orderBy("day")) - F.col("net")).alias("base"))
     inner = W.partitionBy(*by, "day").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -73,19 +71,21 @@ def concurrency(x: Inputs) -> DataFrame:
 
 def velocity(x: Inputs) -> DataFrame:
     """H6: exact latency percentiles, opening replies apart, and rates by active minute."""
-    t = rollups.turns(x.messages).agg(
+    t = x.turns.agg(
         F.round(F.expr("percentile(response_secs, 0.5)") * 1000).cast("long").alias("response_p50"), F.round(F.expr("percentile(response_secs, 0.9)") * 1000).cast("long").alias("response_p90"),
         F.round(F.expr("percentile(CASE WHEN turn = 1 THEN response_secs END, 0.5)") * 1000).cast("long").alias("first_response_p50"), F.count("*").alias("turns"), F.countDistinct("session_id").alias("sessions"),
     )
-    a = rollups.activity_hourly(x.messages, x.tool_calls).agg(F.sum("active_seconds").alias("active_seconds"), F.sum("messages").alias("m"), F.sum("tool_calls").alias("c"))
+    a = x.activity_hourly.agg(F.sum("active_seconds").alias("active_seconds"), F.sum("messages").alias("m"), F.sum("tool_calls").alias("c"))
     a = a.select("active_seconds", rate(F.col("m") * 60, F.col("active_seconds")).alias("msgs_per_min"), rate(F.col("c") * 60, F.col("active_seconds")).alias("tools_per_min"))
     return t.withColumn("_1", F.lit(1)).join(F.broadcast(a.withColumn("_1", F.lit(1))), "_1").drop("_1")
 
 
 def top_tools(x: Inputs, n: int = 10) -> DataFrame:
-    """H7: the most called tools; the share is of all calls, listed or not."""
-    by = rollups.tool_rollup(x.tool_calls).groupBy("tool_name").agg(F.sum("calls").alias("calls"), F.sum("failures").alias("failures"))
-    return by.withColumn("share", rate(F.col("calls"), F.sum("calls").over(W.partitionBy()))).orderBy(F.desc("calls"), "tool_name").limit(n)
+    """H7: the most called tools; share and totals are of all calls, listed or not, and `clipped` tells whether some are not listed."""
+    by = x.tool_rollup.groupBy("tool_name").agg(F.sum("calls").alias("calls"), F.sum("failures").alias("failures"))
+    every = by.agg(F.sum("calls").alias("total_calls"), F.sum("failures").alias("total_failures"), (F.count("*") > n).alias("clipped"))  # one row
+    top = by.orderBy(F.desc("calls"), "tool_name").limit(n).withColumn("_1", F.lit(1))
+    return top.join(F.broadcast(every.withColumn("_1", F.lit(1))), "_1").drop("_1").withColumn("share", rate(F.col("calls"), F.col("total_calls")))
 
 
 def prompt_hygiene(x: Inputs) -> DataFrame:
@@ -95,15 +95,19 @@ def prompt_hygiene(x: Inputs) -> DataFrame:
 
 
 def hot_files(x: Inputs, n: int | None = 10) -> DataFrame:
-    """H9: paths edited more than once in a project, the most edited first."""
-    c = rollups.file_churn(x.calls, x.sessions).join(x.sessions.select("session_id", "project_id"), "session_id")
+    """H9: paths edited more than once in a project, the most edited first, with its name and whether some are not listed."""
+    c = x.file_churn.join(x.sessions.select("session_id", "project_id"), "session_id")
     by = c.groupBy("project_id", F.col("churn_path").alias("path")).agg(F.sum("edits").alias("edits"), F.countDistinct("session_id").alias("sessions")).where("edits > 1")
-    return by if n is None else by.orderBy(F.desc("edits"), "project_id", "path").limit(n)
+    if n is None:
+        return by
+    many = by.agg((F.count("*") > n).alias("clipped")).withColumn("_1", F.lit(1))  # one row
+    top = by.orderBy(F.desc("edits"), "project_id", "path").limit(n).withColumn("_1", F.lit(1)).join(F.broadcast(many), "_1").drop("_1")
+    return top.join(x.projects.select("project_id", F.col("display_name").alias("project")), "project_id")
 
 
 def context_distribution(x: Inputs) -> DataFrame:
     """Discrete percentiles of peak context, and resets."""
-    return signals.context_health(x.ledger).agg(
+    return x.context_health.agg(
         F.count("*").alias("sessions"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY peak_context)").alias("p50"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY peak_context)").alias("p90"),
         F.max("peak_context").alias("max"), F.sum("context_resets").alias("resets"), F.count_if(F.col("context_resets") > 0).alias("sessions_with_reset"),
     )
@@ -144,9 +148,9 @@ def _on_grid(x: Inputs, df: DataFrame, zero: list[str]) -> DataFrame:
 
 
 def dated_usage(x: Inputs) -> DataFrame:
-    """Ledger rows of whole days on the grid, with their bucket and day."""
+    """Rows of the daily rollup on the grid, with their bucket."""
     g = grid(x).agg(F.min("bucket").alias("lo"))
-    df = x.ledger.where(F.col("occurred_at") < as_of()).withColumn("bucket", _week("occurred_at"))
+    df = x.usage_daily.where(F.col("day") < as_of()).withColumn("bucket", _week("day"))
     return df.join(F.broadcast(g), F.col("bucket") >= F.col("lo")).drop("lo")
 
 
@@ -171,7 +175,7 @@ def fleet_mix(x: Inputs) -> DataFrame:
 
 def newest_model(x: Inputs) -> DataFrame:
     """The model whose first day in the whole history is latest, if that falls after the grid's first bucket."""
-    first = x.ledger.where("occurred_at IS NOT NULL AND model <> ''").groupBy("model").agg(F.min(F.to_date("occurred_at")).alias("first"), F.sum(F.expr("input + output + cache_read + cache_write")).alias("toks"))
+    first = x.usage_daily.where("day IS NOT NULL AND model <> ''").groupBy("model").agg(F.min("day").alias("first"), F.sum(F.expr("input + output + cache_read + cache_write")).alias("toks"))
     lo = grid(x).agg(F.min("bucket").alias("lo"))
     later = first.where(F.col("first").cast("timestamp") < as_of()).join(F.broadcast(lo), F.col("first") >= F.date_add("lo", 7))
     return later.orderBy(F.desc("first"), F.desc("toks"), "model").limit(1).select("model", "first")
@@ -208,13 +212,13 @@ def hygiene_trend(x: Inputs) -> DataFrame:
 
 def context_trend(x: Inputs) -> DataFrame:
     """I8."""
-    df = cohort(x).select("session_id", "bucket").join(signals.context_health(x.ledger), "session_id").groupBy("bucket").agg(F.sum("context_resets").alias("resets"))
+    df = cohort(x).select("session_id", "bucket").join(x.context_health, "session_id").groupBy("bucket").agg(F.sum("context_resets").alias("resets"))
     return _on_grid(x, df, ["resets"])
 
 
 def context_histogram(x: Inputs) -> DataFrame:
     """Peak context by octave from 8k to 1.024M tokens, both tails folded in."""
-    c = cohort(x).select("session_id").join(signals.context_health(x.ledger), "session_id")
+    c = cohort(x).select("session_id").join(x.context_health, "session_id")
     octave = F.least(F.lit(6), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col("peak_context"), F.lit(1)) / 8000)))).cast("int")
     got = c.groupBy(octave.alias("i")).agg(F.count("*").alias("n"))
     spine = x.spark.range(7).select(F.col("id").cast("int").alias("i"), F.expr("8000 * shiftleft(1L, CAST(id AS INT))").alias("lo"))
@@ -232,21 +236,20 @@ def economics(x: Inputs) -> DataFrame:
 
 
 def savings_trend(x: Inputs) -> DataFrame:
-    """Priced at (day, model), then by bucket."""
-    by = dated_usage(x).groupBy("bucket", "model", F.to_date("occurred_at").cast("timestamp").alias("occurred_at")).agg(*[F.sum(c).alias(c) for c in CLASSES])
-    return _on_grid(x, priced(by).groupBy("bucket").agg(F.round(F.sum("savings"), 9).alias("savings")), ["savings"])
+    """As priced by row, by bucket."""
+    return _on_grid(x, dated_usage(x).groupBy("bucket").agg(F.round(F.sum("savings"), 9).alias("savings")), ["savings"])
 
 
 def latency_trend(x: Inputs) -> DataFrame:
     """Exact percentiles by the prompt's bucket."""
-    t = rollups.turns(x.messages).withColumn("bucket", _week("prompt_at"))
+    t = x.turns.withColumn("bucket", _week("prompt_at"))
     df = t.groupBy("bucket").agg(*[F.round(F.expr(f"percentile(response_secs, {p})"), 6).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])
     return _on_grid(x, df, ["p50", "p90", "p99"])
 
 
 def active_trend(x: Inputs) -> DataFrame:
     """I13."""
-    h = rollups.activity_hourly(x.messages, x.tool_calls).withColumn("bucket", _week("day"))
+    h = x.activity_hourly.withColumn("bucket", _week("day"))
     df = h.groupBy("bucket").agg(F.round(F.sum("active_seconds") / 3600, 9).alias("active_hours"), rate(60 * F.sum("messages"), F.sum("active_seconds")).alias("msgs_per_min"), rate(60 * F.sum("tool_calls"), F.sum("active_seconds")).alias("tools_per_min"))
     return _on_grid(x, df, ["active_hours", "msgs_per_min", "tools_per_min"])
 
@@ -257,7 +260,7 @@ def wall_trend(x: Inputs) -> DataFrame:
 
 
 def _tools(x: Inputs) -> DataFrame:
-    return rollups.tool_rollup(x.tool_calls).join(cohort(x).select("session_id", "bucket"), "session_id")
+    return x.tool_rollup.join(cohort(x).select("session_id", "bucket"), "session_id")
 
 
 def tool_scatter(x: Inputs, n: int = 60) -> DataFrame:
@@ -285,7 +288,7 @@ def worst_tools(x: Inputs, n: int = 3, least_calls: int = 50) -> DataFrame:
 
 def churn_trend(x: Inputs) -> DataFrame:
     """Edits and files by bucket, of files edited more than once in the window."""
-    c = rollups.file_churn(x.calls, x.sessions).join(cohort(x).select("session_id", "bucket", "project_id"), "session_id")
+    c = x.file_churn.join(cohort(x).select("session_id", "bucket", "project_id"), "session_id")
     by = c.groupBy("bucket", "project_id", "churn_path").agg(F.sum("edits").alias("edits")).withColumn("all", F.sum("edits").over(W.partitionBy("project_id", "churn_path"))).where("all > 1")
     return _on_grid(x, by.groupBy("bucket").agg(F.sum("edits").alias("edits"), F.count("*").alias("files")), ["edits", "files"])
 
@@ -301,7 +304,7 @@ def churn_tree(x: Inputs, n: int = 150) -> DataFrame:
 
 def gallery(x: Inputs) -> DataFrame:
     """Every session with a span."""
-    cost = x.ledger.groupBy("session_id").agg(F.sum("cost").alias("cost"))
+    cost = x.usage_daily.groupBy("session_id").agg(F.sum("cost").alias("cost"))
     df = cohort(x).where("ended_at >= started_at").join(cost, "session_id", "left")
     return df.select("session_id", F.round(F.col("minutes") * 60, 3).alias("duration_s"), F.round(F.coalesce("cost", F.lit(0.0)), 9).alias("cost"), "archetype", F.coalesce("sig_grade", F.lit("")).alias("grade"), F.coalesce("sig_outcome", F.lit("unknown")).alias("outcome"))
 
@@ -315,7 +318,7 @@ def gallery_summary(x: Inputs) -> DataFrame:
 
 def rhythm(x: Inputs) -> DataFrame:
     """Messages and tool calls by weekday (Monday 0) and hour, all 168 cells."""
-    h = rollups.activity_hourly(x.messages, x.tool_calls).groupBy(F.weekday("day").alias("weekday"), "hour").agg(F.sum(F.expr("messages + tool_calls")).alias("n"))
+    h = x.activity_hourly.groupBy(F.weekday("day").alias("weekday"), "hour").agg(F.sum(F.expr("messages + tool_calls")).alias("n"))
     spine = x.spark.range(168).select(F.expr("CAST(id DIV 24 AS INT)").alias("weekday"), F.expr("CAST(id % 24 AS INT)").alias("hour"))
     return spine.join(F.broadcast(h), ["weekday", "hour"], "left").fillna(0, ["n"])
 
@@ -361,4 +364,22 @@ PANELS = {
 
 def insights(x: Inputs, panels: tuple[str, ...] = tuple(PANELS)) -> dict[str, DataFrame]:
     """The quality core and the panels asked for, lazily, all over the same snapshot and clock."""
+    if unknown := set(panels) - set(PANELS):
+        raise ValueError(f"unknown panels {sorted(unknown)}, known are {sorted(PANELS)}")
     return {f.__name__: f(x) for name in dict.fromkeys(("quality", *panels)) for f in PANELS[name]}
+
+
+#: What is laid on the grid, so has a row for each bucket.
+ON_GRID = [f for fs in PANELS.values() for f in fs if f not in (fleet_mix, tool_scatter, category_mix, churn_tree)]
+
+
+def every_panel(x: Inputs) -> DataFrame:
+    """(panel, buckets, first, last) of all panels on the grid, out of one pass over one snapshot."""
+    out = insights(x)
+    return reduce(DataFrame.unionAll, [out[f.__name__].agg(F.count("*").alias("buckets"), F.min("bucket").alias("first"), F.max("bucket").alias("last")).select(F.lit(f.__name__).alias("panel"), "*") for f in ON_GRID])
+
+
+def selected(x: Inputs) -> DataFrame:
+    """The outputs of a selection, repeated names once, the quality core always."""
+    names = list(insights(x, ("mix", "churn", "mix")))
+    return x.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, panel string")

@@ -10,13 +10,12 @@ from loomlog.functions import quality
 
 
 def dedup_usage(usage: DataFrame) -> DataFrame:
-    """The first row in source order of each non-empty dedup_key of a session; rows without a key all stay.
+    """The first row in source order of each non-empty dedup_key of a session; rows whose key is empty or null all stay.
 
-    Rows of one source position are ordered by their content, so that reruns keep the same one.
+    Rows of one source position are ordered by their content, so that reruns keep the same one. One scan, one window.
     """
     rank = F.row_number().over(W.partitionBy("session_id", "dedup_key").orderBy("source_offset", "source_index", "model", "input", "output", F.col("occurred_at").asc_nulls_first()))
-    keyed = usage.where("dedup_key <> ''").withColumn("_n", rank).where("_n = 1").drop("_n")
-    return keyed.unionByName(usage.where("dedup_key = ''"))
+    return usage.withColumn("_n", rank).where("coalesce(dedup_key, '') = '' OR _n = 1").drop("_n")
 
 
 def dedup_calls(calls: DataFrame) -> DataFrame:

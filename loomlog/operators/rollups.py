@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ IDLE_GAP = 300
 
 
 def usage_daily(ledger: DataFrame) -> DataFrame:
-    """Tokens and cost by (session, UTC day or null, model)."""
-    sums = [F.sum(c).alias(c) for c in ("input", "output", "cache_write", "cache_read")]
-    return ledger.groupBy("session_id", F.to_date("occurred_at").alias("day"), "model").agg(*sums, F.round(F.sum("cost"), 9).alias("cost"))
+    """Tokens, cost and savings by (session, UTC day or null, model)."""
+    sums = [F.sum(c).alias(c) for c in ("input", "output", "cache_write", "cache_read", "reasoning", "cost", "savings")]
+    return ledger.groupBy("session_id", F.to_date("occurred_at").alias("day"), "model").agg(*sums)
 
 
 def tool_rollup(tool_calls: DataFrame) -> DataFrame:
@@ -52,6 +54,42 @@ def activity_hourly(messages: DataFrame, tool_calls: DataFrame) -> DataFrame:
     return a.join(b, ["session_id", "day", "hour"], "left").fillna(0, ["tool_calls"])
 
 
-def overwrite(rollup: DataFrame, path: str, by: str) -> None:
-    """Replace exactly the partitions that the re-derived rows fall in."""
-    rollup.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+class RollupStore:
+    """The five rollups at session grain, stored by slots of sessions, re-derived for the sessions that changed.
+
+    A slot is a hash of the session; refreshing derives the slots of the changed sessions and replaces exactly these,
+    so it is idempotent, and a slot whose sessions have no rows any more becomes empty. Slots are a fixed number, so the
+    driver holds at most that many.
+    """
+
+    TABLES = ("usage_daily", "tool_rollup", "file_churn", "turns", "activity_hourly")
+
+    def __init__(self, spark: SparkSession, path: str, slots: int = 64):
+        self.spark, self.path, self.slots = spark, path, slots
+
+    def slot(self) -> Column:
+        return F.pmod(F.xxhash64("session_id"), F.lit(self.slots)).cast("int")
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{table}").where("session_id IS NOT NULL").drop("slot")
+
+    def refresh(self, changed: DataFrame, derive: Callable[[Callable[[DataFrame], DataFrame]], dict[str, DataFrame]], tables: tuple[str, ...] = TABLES) -> list[int]:
+        """Re-derive `tables` for the slots of changed(session_id). derive gets a filter that cuts a table to these slots."""
+        touched = sorted(r["slot"] for r in changed.select(self.slot().alias("slot")).distinct().collect())
+        if touched:
+            spine = self.spark.createDataFrame([(s,) for s in touched], "slot int")  # a slot without rows is replaced by an empty one
+            fresh = derive(lambda df: df.where(self.slot().isin(touched)))
+            for t in tables:
+                rows = fresh[t].withColumn("slot", self.slot()).unionByName(spine, allowMissingColumns=True)
+                rows.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(f"{self.path}/{t}")
+        return touched
+
+    def refresh_churn(self, moved: DataFrame, derive) -> list[int]:
+        """A new working directory changes relative paths alone, so only the churn of these sessions is derived again."""
+        return self.refresh(moved, derive, ("file_churn",))
+
+
+def derived(ledger: DataFrame, calls: DataFrame, messages: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
+    """D1-D5 of the given rows."""
+    own = dedup_calls(calls)
+    return {"usage_daily": usage_daily(ledger), "tool_rollup": tool_rollup(own), "file_churn": file_churn(calls, sessions), "turns": turns(messages), "activity_hourly": activity_hourly(messages, own)}

@@ -65,15 +65,19 @@ def snippets(x: Inputs, text: str) -> DataFrame:
     return hit.select("session_id", F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(start + SNIPPET <= F.char_length("content"), "…").otherwise("")).alias("snippet"))
 
 
-def titles(x: Inputs) -> DataFrame:
-    """The session's own title, else its first user message without a leading <...>...</...> wrapper, 240 letters."""
-    first = x.messages.where("role = 'user' AND content <> ''").groupBy("session_id").agg(F.min_by("content", "ordinal").alias("c"))
+def titles(x: Inputs, of: DataFrame | None = None) -> DataFrame:
+    """The session's own title, else its first user message without a leading <...>...</...> wrapper, 240 letters.
+
+    of: (session_id) of the few sessions that are asked for; their messages alone are read into the aggregate.
+    """
+    messages, asked = (x.messages, x.sessions) if of is None else (t.join(F.broadcast(of.select("session_id")), "session_id", "left_semi") for t in (x.messages, x.sessions))
+    first = messages.where("role = 'user' AND content <> ''").groupBy("session_id").agg(F.min_by("content", "ordinal").alias("c"))
     text = F.left(F.trim(F.regexp_replace(F.regexp_replace("c", r"^\s*<([a-z-]+)>[^<]*</[a-z-]+>\s*", ""), r"\s+", " ")), F.lit(240))
-    return x.sessions.select("session_id", "title").join(first, "session_id", "left").select("session_id", F.coalesce("title", text, F.lit("")).alias("title"))
+    return asked.select("session_id", "title").join(first, "session_id", "left").select("session_id", F.coalesce("title", text, F.lit("")).alias("title"))
 
 
 def with_totals(x: Inputs, s: DataFrame) -> DataFrame:
-    t = x.ledger.groupBy("session_id").agg(F.sum(F.expr("input + output + cache_read + cache_write")).alias("tokens"), F.round(F.sum("cost"), 9).alias("cost"))
+    t = x.usage_daily.groupBy("session_id").agg(F.sum(F.expr("input + output + cache_read + cache_write")).alias("tokens"), F.round(F.sum("cost"), 9).alias("cost"))
     return s.join(t, "session_id", "left").fillna(0, ["tokens", "cost"])
 
 
@@ -94,7 +98,7 @@ def feed(x: Inputs, f: Feed = Feed(), **paging) -> DataFrame:
     """The global feed; titles are joined to the page's rows only."""
     rows = page(with_totals(x, matching(x, f)), **paging)
     cols = ["session_id", "project_id", "user_id", "agent", "message_count", "tokens", "cost", "ended_at"]
-    return F.broadcast(rows.select(*cols)).join(titles(x), "session_id")
+    return rows.select(*cols).join(titles(x, rows), "session_id")
 
 
 def id_feed(x: Inputs, before: int | None = None, limit: int = 100) -> DataFrame:
@@ -128,7 +132,7 @@ def tree_rollup(x: Inputs, levels: int = 100) -> DataFrame:
         pairs = pairs.unionAll(at)
     else:
         raise ValueError(f"sessions nest deeper than {levels} levels")
-    cost = x.ledger.groupBy("session_id").agg(F.sum("cost").alias("cost"))
+    cost = x.usage_daily.groupBy("session_id").agg(F.sum("cost").alias("cost"))
     return pairs.join(cost, "session_id", "left").groupBy(F.col("root").alias("session_id")).agg(F.count("*").alias("sessions"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 9).alias("cost"))
 
 

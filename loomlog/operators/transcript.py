@@ -76,7 +76,7 @@ def audit(x: Inputs) -> DataFrame:
     """Messages, calls, cost and verdict of every session in one row, all from one snapshot."""
     m = x.messages.groupBy("session_id").agg(F.count("*").alias("messages"))
     c = x.calls.groupBy("session_id").agg(F.count("*").alias("calls"))
-    u = x.ledger.groupBy("session_id").agg(F.round(F.sum("cost"), 9).alias("cost"))
+    u = x.usage_daily.groupBy("session_id").agg(F.round(F.sum("cost"), 9).alias("cost"))
     s = current(x).select("session_id", F.coalesce("sig_grade", F.lit("")).alias("grade"))
     return s.join(m, "session_id", "left").join(c, "session_id", "left").join(u, "session_id", "left").fillna(0, ["messages", "calls", "cost"])
 
@@ -96,8 +96,9 @@ _SHA = "(SELECT sha256(content) FROM messages ORDER BY session_id, ordinal LIMIT
 
 
 def _first_hash(x: Inputs) -> DataFrame:
-    first = x.messages.orderBy("session_id", "ordinal").limit(1).select(content_hash(F.col("content")).alias("s")).first()
-    return by_hash(x.messages, first["s"])
+    """Messages with the text of the very first one."""
+    first = x.messages.agg(F.min_by(content_hash(F.col("content")), F.struct("session_id", "ordinal")).alias("s"))  # one row
+    return x.messages.join(F.broadcast(first), content_hash(F.col("content")) == F.col("s")).select("session_id", "ordinal", "content")
 
 
 QUERIES = {

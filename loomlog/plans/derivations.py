@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions import pricing, quality
 from loomlog.operators import project, rollups, signals
-from loomlog.sources.views import MODELS
+from loomlog.sources.shared import shared_dir
+from loomlog.streaming import rederive
 
 
 def _models(x):
-    df = x.spark.createDataFrame([(m,) for m in [*MODELS, "Claude-Haiku-4-5", " gpt-5 ", "gpt-5-20250807"]], "model string")
-    return df.select("model", pricing.normalize_model(F.col("model")).alias("normal"))
+    df = x.usage.groupBy("model").agg(F.count("*").alias("n"))
+    return df.select("model", "n", pricing.normalize_model(F.concat(F.lit(" "), F.upper("model"), F.when(F.col("n") % 2 == 0, "-20250807").otherwise(""))).alias("normal"))
 
 
 def _rates(x):
@@ -46,6 +51,33 @@ def _announced(x):
     return project.latest_announced(df)
 
 
+def _sanitized(x):
+    """Texts with a NUL and a byte that is no UTF-8."""
+    dirty = F.concat(F.col("content").cast("binary"), F.lit(bytearray(b"\x00x\xffy"))).cast("string")
+    return x.messages.select("session_id", "ordinal", F.sha2(project.sanitized(dirty).cast("binary"), 256).alias("sha"))
+
+
+def _incremental(x):
+    """Rollups of all sessions but those of slots 0 to 2, then these come in, then some move; counts and sums at the end."""
+    store = rollups.RollupStore(x.spark, f"{shared_dir(x.spark)}/rollups-{uuid.uuid4().hex}", slots=12)
+    tables = {"ledger": x.ledger, "calls": x.calls, "messages": x.messages, "sessions": x.sessions}
+    ids = x.sessions.select("session_id").union(x.calls.select("session_id")).union(x.messages.select("session_id")).distinct()
+    late = store.slot() < 3
+    moved = x.sessions.withColumn("cwd", F.when(F.col("session_id") % 50 == 0, "/home/u").otherwise(F.col("cwd")))
+    derive = lambda cut, rows, **new: rollups.derived(**{k: rows(cut(v)) for k, v in (tables | new).items()})
+    store.refresh(ids, lambda cut: derive(cut, lambda df: df.where(~late)))
+    store.refresh(ids.where(late), lambda cut: derive(cut, lambda df: df))
+    store.refresh_churn(ids.where("session_id % 50 = 0"), lambda cut: derive(cut, lambda df: df, sessions=moved))
+    sums = {"usage_daily": F.sum("input"), "tool_rollup": F.sum("calls"), "file_churn": F.sum(F.char_length("churn_path") * F.col("edits")), "turns": F.sum("turn"), "activity_hourly": F.sum("messages")}
+    each = [store.read(t).agg(F.lit(t).alias("name"), F.count("*").alias("n"), v.cast("long").alias("total")) for t, v in sums.items()]
+    return functools.reduce(DataFrame.unionAll, each)
+
+
+def _due(x):
+    s = x.sessions.select("session_id", F.col("message_count").alias("raw_bytes"), F.expr("message_count - session_id % 2 AS parsed_bytes"), F.expr("20 - session_id % 3 AS epoch"), F.when(F.col("session_id") % 5 == 0, 20).alias("failed_epoch"), F.when(F.col("session_id") % 5 == 0, F.col("message_count")).alias("failed_bytes"), F.when(F.col("session_id") % 7 == 0, F.col("ended_at")).alias("retry_at"))
+    return rederive.due(s, 20, F.lit("2026-01-01 00:00:00").cast("timestamp")).select("session_id", "raw_bytes")
+
+
 def _bands(x):
     return signals.thinking(x.messages).groupBy("band").agg(F.count("*").alias("sessions"))
 
@@ -88,7 +120,7 @@ QUERIES = {
     "C2_result_patch": (_patched, """, r AS (SELECT session_id, call_uid, arg_min(status, message_ordinal * 10 + call_index) AS result_status FROM calls WHERE status IS NOT NULL AND call_uid IS NOT NULL GROUP BY 1, 2)
       SELECT c.session_id, c.call_uid, c.message_ordinal, c.call_index, result_status FROM calls c LEFT JOIN r USING (session_id, call_uid)"""),
     "C3_cost": (lambda x: x.ledger.select("session_id", "source_offset", "source_index", F.round("cost", 9).alias("cost")), " SELECT session_id, source_offset, source_index, round(cost, 9) AS cost FROM ledger"),
-    "C4_model_normalize": (_models, " SELECT model, regexp_replace(lower(trim(model)), '-(?:[0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2})$', '') AS normal FROM (VALUES " + ", ".join(f"('{m}')" for m in [*MODELS, "Claude-Haiku-4-5", " gpt-5 ", "gpt-5-20250807"]) + ") t(model)"),
+    "C4_model_normalize": (_models, ", m AS (SELECT model, count(*) AS n FROM usage GROUP BY 1), d AS (SELECT *, lower(trim(concat(' ', upper(model), CASE n % 2 WHEN 0 THEN '-20250807' ELSE '' END))) AS low FROM m) SELECT model, n, regexp_replace(low, '-(?:[0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2})$', '') AS normal FROM d"),
     "C5_cache_savings": (lambda x: x.ledger.groupBy("model").agg(F.round(F.sum("savings"), 9).alias("savings")), " SELECT model, round(sum(savings), 9) AS savings FROM ledger GROUP BY 1"),
     "C6_rate_windows": (_rates, """, a AS (SELECT DISTINCT model, occurred_at FROM usage) SELECT a.model, round(avg(r_in), 6) AS r_in, round(avg(r_out), 6) AS r_out, round(avg(r_cw), 6) AS r_cw, round(avg(r_cr), 6) AS r_cr, count(*) AS n
       FROM a LEFT JOIN rates r ON regexp_replace(lower(trim(a.model)), '-(?:[0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2})$', '') = r.model AND coalesce(a.occurred_at >= r.from_ts, true) AND (a.occurred_at IS NOT NULL OR r.from_ts IS NULL) AND coalesce(a.occurred_at < r.until_ts, true) GROUP BY 1"""),
@@ -101,19 +133,25 @@ QUERIES = {
     "C13_subagent_links": (_links, """, k AS (SELECT session_id, user_id % 7 AS u, agent, CASE session_id % 3 WHEN 1 THEN concat('src-', session_id - 1) WHEN 2 THEN concat('src-', session_id - 2) END AS p,
       CASE WHEN session_id % 3 <> 2 THEN source_session_id ELSE concat('src-', session_id - 2, '/subagents/x') END AS src FROM sessions)
       SELECT a.session_id, b.session_id AS parent_session_id FROM k a JOIN k b ON a.u = b.u AND a.agent = b.agent AND a.p = b.src WHERE a.session_id <> b.session_id"""),
-    "C14_sanitize": (lambda x: x.messages.select("session_id", "ordinal", F.length(project.sanitized(F.concat("content", F.lit("\0x")))).alias("n")), " SELECT session_id, ordinal, length(content) + 2 AS n FROM messages"),
+    "C14_sanitize": (_sanitized, " SELECT session_id, ordinal, sha256(concat(content, chr(65533), 'x', chr(65533), 'y')) AS sha FROM messages"),
     "C15_facet_counts": (lambda x: project.facet_counts(x.sessions), " " + " UNION ALL ".join(f"SELECT '{c}' AS kind, {c}::VARCHAR AS key, count(*) AS sessions FROM sessions GROUP BY 2" for c in ("agent", "machine", "user_id", "project_id"))),
     "A12_session_announce": (_announced, """ SELECT user_id AS session_id, bool_or(terminal) AS terminal, arg_max(cwd, session_id) FILTER (cwd IS NOT NULL) AS cwd, arg_max(git_branch, session_id) AS git_branch, arg_max(machine, session_id) AS machine FROM sessions GROUP BY 1"""),
-    "D1_usage_daily": (lambda x: rollups.usage_daily(x.ledger), f" SELECT session_id, occurred_at::DATE::VARCHAR AS day, model, {_SUM4}, round(sum(cost), 9) AS cost FROM ledger GROUP BY 1, 2, 3"),
-    "D2_tool_rollup": (lambda x: rollups.tool_rollup(x.tool_calls), " SELECT session_id, tool_name, CASE category WHEN '' THEN 'other' ELSE category END AS category, count(*) AS calls, count(*) FILTER (status = 'error') AS failures FROM tool_calls GROUP BY 1, 2, 3"),
-    "D3_file_churn": (lambda x: rollups.file_churn(x.calls, x.sessions), CHURN_SQL + " SELECT * FROM churn"),
-    "D4_session_turns": (lambda x: rollups.turns(x.messages), TURNS_SQL + " SELECT * FROM session_turns"),
-    "D5_activity_hourly": (lambda x: rollups.activity_hourly(x.messages, x.tool_calls), HOURLY_SQL + " SELECT * REPLACE (day::VARCHAR AS day) FROM hourly"),
+    "D1_usage_daily": (lambda x: x.usage_daily.select("session_id", "day", "model", "input", "output", "cache_write", "cache_read", F.round("cost", 9).alias("cost")), f" SELECT session_id, occurred_at::DATE::VARCHAR AS day, model, {_SUM4}, round(sum(cost), 9) AS cost FROM ledger GROUP BY 1, 2, 3"),
+    "D2_tool_rollup": (lambda x: x.tool_rollup, " SELECT session_id, tool_name, CASE category WHEN '' THEN 'other' ELSE category END AS category, count(*) AS calls, count(*) FILTER (status = 'error') AS failures FROM tool_calls GROUP BY 1, 2, 3"),
+    "D3_file_churn": (lambda x: x.file_churn, CHURN_SQL + " SELECT * FROM churn"),
+    "D4_session_turns": (lambda x: x.turns, TURNS_SQL + " SELECT * FROM session_turns"),
+    "D5_activity_hourly": (lambda x: x.activity_hourly, HOURLY_SQL + " SELECT * REPLACE (day::VARCHAR AS day) FROM hourly"),
+    "D6_incremental": (_incremental, TURNS_SQL + HOURLY_SQL + CHURN_SQL.replace("LEFT JOIN sessions USING (session_id)", "LEFT JOIN (SELECT session_id, CASE session_id % 50 WHEN 0 THEN '/home/u' ELSE cwd END AS cwd FROM sessions) USING (session_id)") + """,
+      da AS (SELECT session_id, sum(input) AS input FROM ledger GROUP BY session_id, occurred_at::DATE, model), ta AS (SELECT count(*) AS calls FROM tool_calls GROUP BY session_id, tool_name, CASE category WHEN '' THEN 'other' ELSE category END)
+      SELECT 'usage_daily' AS name, count(*) AS n, sum(input)::BIGINT AS total FROM da UNION ALL SELECT 'tool_rollup', count(*), sum(calls)::BIGINT FROM ta UNION ALL SELECT 'file_churn', count(*), sum(length(churn_path) * edits)::BIGINT FROM churn
+      UNION ALL SELECT 'turns', count(*), sum(turn)::BIGINT FROM session_turns UNION ALL SELECT 'activity_hourly', count(*), sum(messages)::BIGINT FROM hourly"""),
+    "L2_due": (_due, " SELECT session_id, raw_bytes FROM (SELECT session_id, message_count AS raw_bytes, message_count - session_id % 2 AS parsed_bytes, 20 - session_id % 3 AS epoch, CASE session_id % 5 WHEN 0 THEN 20 END AS failed_epoch, CASE session_id % 7 WHEN 0 THEN ended_at END AS retry_at FROM sessions) WHERE coalesce(retry_at <= TIMESTAMP '2026-01-01', false) OR (failed_epoch IS NULL AND retry_at IS NULL AND (raw_bytes > parsed_bytes OR epoch < 20))"),
+    "L4_backoff": (lambda x: x.sessions.select("session_id", rederive.backoff_seconds(F.col("session_id") % 12 + 1).alias("wait")), " SELECT session_id, least(3600, 30 * (1 << (session_id % 12)::INT))::BIGINT AS wait FROM sessions"),
     "E1_replay_dedup": (lambda x: x.tool_calls.groupBy("session_id").agg(F.count("*").alias("calls")), " SELECT session_id, count(*) AS calls FROM tool_calls GROUP BY 1"),
     "E2_tool_health": (lambda x: signals.tool_health(x.tool_calls), " SELECT session_id, tool_calls, tool_failures, tool_retries, edit_churn, coalesce(longest, 0) AS streak, pending, tail_failures FROM tagg LEFT JOIN streak USING (session_id)"),
     "E8_last_words": (lambda x: signals.last_words(x.messages), " SELECT session_id, last_user, last_assistant FROM magg"),
     "E9_hygiene": (lambda x: signals.hygiene(x.messages), HYGIENE_SQL + " SELECT * FROM hyg"),
-    "E10_context_health": (lambda x: signals.context_health(x.ledger), CONTEXT_SQL + " SELECT * FROM ctxh"),
+    "E10_context_health": (lambda x: x.context_health, CONTEXT_SQL + " SELECT * FROM ctxh"),
     "E11_thinking": (lambda x: signals.thinking(x.messages), _THINK + " SELECT * FROM th"),
     "E12_thinking_bands": (_bands, _THINK + " SELECT band, count(*) AS sessions FROM th GROUP BY 1"),
     "E13_outcome": (lambda x: x.signals.select("session_id", "outcome", "confidence"), " SELECT session_id, outcome, confidence FROM signals"),

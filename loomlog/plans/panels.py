@@ -49,9 +49,9 @@ QUERIES = {
     "H6_velocity": (I.velocity, TURNS_SQL + HOURLY_SQL + """ SELECT round(quantile_cont(response_secs, 0.5) * 1000)::BIGINT AS response_p50, round(quantile_cont(response_secs, 0.9) * 1000)::BIGINT AS response_p90,
       round(quantile_cont(response_secs, 0.5) FILTER (turn = 1) * 1000)::BIGINT AS first_response_p50, count(*) AS turns, count(DISTINCT session_id) AS sessions, (SELECT sum(active_seconds) FROM hourly) AS active_seconds,
       (SELECT round(sum(messages) * 60 / sum(active_seconds), 9) FROM hourly) AS msgs_per_min, (SELECT round(sum(tool_calls) * 60 / sum(active_seconds), 9) FROM hourly) AS tools_per_min FROM session_turns"""),
-    "H7_top_tools": (I.top_tools, ", t AS (SELECT tool_name, count(*) AS calls, count(*) FILTER (status = 'error') AS failures FROM tool_calls GROUP BY 1) SELECT *, round(calls / (SELECT sum(calls) FROM t), 9) AS share FROM t ORDER BY calls DESC, tool_name LIMIT 10"),
+    "H7_top_tools": (I.top_tools, ", t AS (SELECT tool_name, count(*) AS calls, count(*) FILTER (status = 'error') AS failures FROM tool_calls GROUP BY 1) SELECT *, (SELECT sum(calls) FROM t)::BIGINT AS total_calls, (SELECT sum(failures) FROM t)::BIGINT AS total_failures, (SELECT count(*) FROM t) > 10 AS clipped, round(calls / (SELECT sum(calls) FROM t), 9) AS share FROM t ORDER BY calls DESC, tool_name LIMIT 10"),
     "H8_prompt_hygiene": (I.prompt_hygiene, HYGIENE_SQL + " SELECT sum(prompts)::BIGINT AS prompts, sum(short)::BIGINT AS short, sum(no_code)::BIGINT AS no_code, sum(duplicate)::BIGINT AS duplicate, count(*) AS sessions, count(*) FILTER (unstructured) AS unstructured FROM hyg JOIN sessions USING (session_id) WHERE NOT signals_stale"),
-    "H9_hot_files": (I.hot_files, _HOT + " SELECT * FROM hot ORDER BY edits DESC, project_id, path LIMIT 10"),
+    "H9_hot_files": (I.hot_files, _HOT + " SELECT project_id, path, edits, sessions, (SELECT count(*) FROM hot) > 10 AS clipped, display_name AS project FROM hot JOIN projects USING (project_id) ORDER BY edits DESC, project_id, path LIMIT 10"),
     "H10_context": (I.context_distribution, CONTEXT_SQL + " SELECT count(*) AS sessions, quantile_disc(peak_context, 0.5) AS p50, quantile_disc(peak_context, 0.9) AS p90, max(peak_context) AS max, sum(context_resets)::BIGINT AS resets, count(*) FILTER (context_resets > 0) AS sessions_with_reset FROM ctxh"),
     "I1_grid": (I.grid, _GRID + " SELECT bucket::VARCHAR AS bucket, strftime(bucket, '%b %-d') AS label FROM grid"),
     "I2_fleet_mix": (I.fleet_mix, _GRID + _folded(f"SELECT bucket, CASE model WHEN '' THEN 'unknown' ELSE model END AS model, sum({_TOKS}) AS toks FROM du GROUP BY 1, 2 HAVING sum({_TOKS}) > 0", "model", "toks", "~")),
@@ -81,5 +81,6 @@ QUERIES = {
     "I25_subagent_cost": (I.subagent_cost, _trend("SELECT bucket, round(100.0 * sum(CASE WHEN relationship_type = 'subagent' THEN cost ELSE 0 END) / sum(cost), 6) AS share FROM du JOIN sessions USING (session_id) GROUP BY 1", ["share"])),
     "I26_tree_depth": (I.deepest_tree, ", z AS (SELECT session_id, 1 AS depth FROM sessions WHERE parent_session_id IS NULL UNION ALL SELECT s2.session_id, 2 FROM sessions s2 JOIN sessions s1 ON s2.parent_session_id = s1.session_id WHERE s1.parent_session_id IS NULL UNION ALL SELECT s3.session_id, 3 FROM sessions s3 JOIN sessions s2 ON s3.parent_session_id = s2.session_id JOIN sessions s1 ON s2.parent_session_id = s1.session_id) SELECT depth, count(*) AS sessions FROM z GROUP BY 1"),
     "I1_days": (lambda x: I.grid(x, "30d"), f" SELECT strftime(t, '%Y-%m-%d') AS bucket, strftime(t, '%b %-d') AS label FROM (SELECT unnest(generate_series(TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY, TIMESTAMP '{AS_OF}', INTERVAL 1 DAY)) AS t)"),
-    "I27_panels": (lambda x: I.insights(x, ("economics",))["economics"].agg(F.count("*").alias("buckets"), F.round(F.sum("cost"), 9).alias("cost")), _GRID + " SELECT (SELECT count(*) FROM grid) AS buckets, round(sum(c), 9) AS cost FROM (SELECT round(sum(cost), 9) AS c FROM du GROUP BY bucket)"),
+    "I27_panels": (I.every_panel, _GRID + ", p AS (SELECT unnest([" + ", ".join(f"'{f.__name__}'" for f in I.ON_GRID) + "]) AS panel) SELECT panel, count(*) AS buckets, min(bucket)::VARCHAR AS first, max(bucket)::VARCHAR AS last FROM p, grid GROUP BY 1"),
+    "I28_selection": (I.selected, " SELECT (row_number() OVER () - 1)::INT AS place, panel FROM (SELECT unnest(['grade_trend', 'outcome_trend', 'archetype_trend', 'fleet_mix', 'churn_trend', 'churn_tree']) AS panel)"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomlog.sources.views import Inputs, read
 
-_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"  # not $, which in Java also matches before a final line end
 #: Hosts whose paths do not tell upper from lower case, and the default port of each URL scheme. Fixed values.
 CASELESS_HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
 DEFAULT_PORTS = {"ssh": "22", "git": "9418", "http": "80", "https": "443"}
@@ -99,12 +99,89 @@ def _of(x: Inputs, table: str, text: str) -> DataFrame:
     return blobs(read(x.spark, x.sf_dir, table), text)
 
 
+def broken(x: Inputs) -> DataFrame:
+    """Chunks of which some are missing and some come twice."""
+    kept = chunks(x.messages).where("(session_id + ordinal) % 7 <> 3")
+    return kept.unionAll(kept.where("(session_id + ordinal) % 5 = 1"))
+
+
+def append(stored: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A3: chunks (session_id, seq, byte_offset, data) with `accepted` and `length`, what the log holds after each.
+
+    stored: (session_id, length) of the logs so far. In the order of byte_offset and seq, a chunk is taken if it ends its last
+    line and starts where the log ends; else it is refused, with the true length for the sender to go on from. A replay
+    is refused, so appending is idempotent.
+    """
+    c = chunks.withColumn("c", F.struct("byte_offset", "seq", F.octet_length("data").cast("long").alias("bytes"), F.endswith("data", F.lit("\n")).alias("whole")))
+    by = c.groupBy("session_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).join(stored, "session_id", "left")
+    start = F.struct(F.coalesce("length", F.lit(0).cast("long")).alias("length"), F.array().cast("array<struct<byte_offset: bigint, seq: bigint, accepted: boolean, length: bigint>>").alias("out"))
+
+    def step(s, x):
+        ok = x["whole"] & (x["byte_offset"] == s["length"])
+        now = s["length"] + F.when(ok, x["bytes"]).otherwise(0)
+        return F.struct(now.alias("length"), F.concat(s["out"], F.array(F.struct(x["byte_offset"].alias("byte_offset"), x["seq"].cast("long").alias("seq"), ok.alias("accepted"), now.alias("length")))).alias("out"))
+
+    return by.select("session_id", F.inline(F.aggregate("cs", start, step, lambda s: s["out"])))
+
+
+def local_project(machine: Column, cwd: Column, root: Column) -> Column:
+    """(key, display_name) of a project without a remote: by machine and its root, or else the working directory."""
+    place = F.coalesce(F.nullif(root, F.lit("")), cwd, F.lit(""))
+    name = F.regexp_extract(F.regexp_replace(place, r"[/\\]+\z", ""), r"([^/\\]*)\z", 1)
+    return F.struct(F.concat(F.lit("local:"), F.coalesce(machine, F.lit("")), F.lit(":"), place).alias("key"), F.when(name == "", "(unknown location)").otherwise(name).alias("display_name"))
+
+
+def discover(spark, root: str, agent: str) -> DataFrame:
+    """A1: (path, bytes, modified) of an agent's log files below root, in any folder; format B's are named rollout-*."""
+    glob = "rollout-*.jsonl" if agent == "format_b" else "*.jsonl"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+    return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def file_lines(spark, root: str, agent: str) -> DataFrame:
+    """A1/A2: (session_id, agent, byte_offset, line) of the files of discover; a file is a session, named by its path."""
+    glob = "rollout-*.jsonl" if agent == "format_b" else "*.jsonl"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+    text = files.select(F.col("path").alias("session_id"), F.col("content").cast("string").alias("text"))
+    return lines_with_offsets(text, "session_id", "text").withColumn("agent", F.lit(agent))
+
+
+def _sent(x: Inputs) -> DataFrame:
+    """Chunks, some sent again later and some with a false offset or a cut line."""
+    c = chunks(x.messages).select("session_id", F.col("ordinal").alias("seq"), "byte_offset", "data")
+    again = c.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 1000)
+    false = c.where("seq % 4 = 1").withColumns({"seq": F.col("seq") + 2000, "byte_offset": F.col("byte_offset") + 1})
+    cut = c.where("seq % 5 = 2").withColumns({"seq": F.col("seq") - 1000, "data": F.lit("no end of line")})
+    return c.unionAll(again).unionAll(false).unionAll(cut)
+
+
+def _appended(x: Inputs) -> DataFrame:
+    out = append(x.spark.createDataFrame([], "session_id long, length long"), _sent(x))
+    return out.groupBy("session_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"), F.max("length").alias("length"))
+
+
+_REMOTES = {0: "git@GitHub.com:Team/R{}.git", 1: "https://user:pw@example.org:443/Team/R{}/", 2: "ssh://git@Example.org:2222/a/b/R{}.git", 3: "/local/r{}"}
+_KEYS = {0: "github.com/team/r{}", 1: "example.org/Team/R{}", 2: "example.org:2222/a/b/R{}", 3: None}
+
+
+def _remotes(x: Inputs) -> DataFrame:
+    n = F.col("session_id").cast("string")
+    made = F.coalesce(*[F.when(F.col("session_id") % 4 == i, F.concat(F.lit(a), n, F.lit(b))) for i, (a, b) in ((i, t.split("{}")) for i, t in _REMOTES.items())])
+    return x.sessions.select("session_id", canonical_remote(made).alias("remote"))
+
+
 QUERIES = {
     "A2_line_offsets": (lambda x: lines_with_offsets(_docs(x), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("byte_offset").alias("offsets"), F.max("byte_offset").alias("last"), F.sum(F.octet_length("line")).alias("bytes")),
         """, w AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents),
  o AS (SELECT *, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_offset, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM w)
  SELECT doc_id, count(*) AS n, sum(byte_offset)::BIGINT AS offsets, max(byte_offset)::BIGINT AS last, sum(strlen(line))::BIGINT AS bytes FROM o WHERE line <> '' GROUP BY 1"""),
-    "A4_gaps": (lambda x: gaps(chunks(x.messages)), _CHUNK_SQL + " SELECT session_id, count(*) AS chunks, sum(bytes)::BIGINT AS bytes, 0 AS gaps FROM lg GROUP BY 1"),
+    # a chunk in seven is missing, and one in five comes twice
+    "A4_gaps": (lambda x: gaps(broken(x)), _CHUNK_SQL + """, kept AS (SELECT *, ordinal AS o FROM lg WHERE (session_id + ordinal) % 7 <> 3), twice AS (SELECT *, 0 AS again FROM kept UNION ALL SELECT *, 1 FROM kept WHERE (session_id + ordinal) % 5 = 1)
+      SELECT session_id, count(*) AS chunks, sum(bytes)::BIGINT AS bytes, count(*) FILTER (CASE WHEN again = 1 THEN true WHEN o = 0 THEN false ELSE (session_id + o - 1) % 7 = 3 END)::BIGINT AS gaps FROM twice GROUP BY 1"""),
+    "A3_append": (_appended, _CHUNK_SQL + """ SELECT session_id, count(*) AS accepted, (count(*) FILTER (ordinal % 3 = 0) + count(*) FILTER (ordinal % 4 = 1) + count(*) FILTER (ordinal % 5 = 2))::BIGINT AS refused, sum(bytes)::BIGINT AS length FROM lg GROUP BY 1"""),
+    "A13_remotes": (_remotes, " SELECT session_id, CASE session_id % 4 " + " ".join(f"WHEN {i} THEN concat('{k.split('{}')[0]}', session_id, '{k.split('{}')[1]}')" for i, k in _KEYS.items() if k) + " END AS remote FROM sessions"),
+    "A14_local_projects": (lambda x: x.sessions.select("session_id", local_project(F.col("machine"), F.col("cwd"), F.when(F.col("session_id") % 3 == 0, F.concat("cwd", F.lit("/sub\\x/")))).alias("p")).select("session_id", "p.*"),
+        """ SELECT session_id, concat('local:', machine, ':', coalesce(CASE session_id % 3 WHEN 0 THEN cwd || '/sub\\x/' END, cwd, '')) AS key, CASE WHEN cwd IS NULL THEN '(unknown location)' WHEN session_id % 3 = 0 THEN 'x' ELSE replace(cwd, '/home/u/', '') END AS display_name FROM sessions"""),
     "A5_export": (lambda x: export(chunks(x.messages), LIMIT), _CHUNK_SQL + f" SELECT session_id, sha256(coalesce(string_agg(data, '' ORDER BY byte_offset) FILTER (byte_offset + bytes <= {LIMIT}), '')) AS sha256, sum(bytes)::BIGINT AS total, sum(bytes) > {LIMIT} AS truncated FROM lg GROUP BY 1"),
     "A6_blobs": (lambda x: _of(x, "documents", "text"), ", b AS (" + _SHA.format("text", "documents") + ") SELECT sha256, max(bytes) AS bytes, count(*) AS holders FROM b GROUP BY 1"),
     "A7_missing_blobs": (lambda x: missing(_of(x, "conversations", "text"), _of(x, "documents", "text")), " SELECT DISTINCT sha256(text) AS sha256 FROM conversations WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)"),
