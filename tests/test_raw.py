@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomlog.operators import insights, project, rollups
 from loomlog.sources import raw
+from loomlog.sources.views import Inputs
 from loomlog.streaming import rederive
 
 
@@ -53,3 +55,56 @@ def test_late_and_repeated_lines_rederive_whole_sessions(spark, tmp_path):
         rederive.rederive(stream, derive, str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "ck"), slots=8).awaitTermination()
         got.append({r["session_id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()})
     assert got == [{1: "ab", 2: "x"}, {1: "abc", 2: "x"}, {1: "abc", 2: "xy", 3: "z"}]
+
+
+def test_null_keys_stay_in_usage_dedup(spark):
+    schema = "session_id long, dedup_key string, source_offset long, source_index long, model string, input long, output long, occurred_at timestamp"
+    df = spark.createDataFrame([(1, None, 0, 0, "m", 1, 1, None), (1, None, 0, 0, "m", 1, 1, None), (1, "", 1, 0, "m", 1, 1, None), (1, "k", 2, 0, "m", 1, 1, None), (1, "k", 3, 0, "m", 2, 1, None)], schema)
+    assert sorted((r["dedup_key"] or "", r["source_offset"]) for r in project.dedup_usage(df).collect()) == [("", 0), ("", 0), ("", 1), ("k", 2)]
+
+
+def test_append_takes_what_fits_and_refuses_the_rest(spark):
+    sent = [(1, 0, 5, "ab\n"), (1, 1, 8, "c\n"), (1, 2, 8, "again\n"), (1, 3, 12, "gap\n"), (2, 0, 0, "cut"), (2, 1, 0, "whole\n")]
+    df = spark.createDataFrame(sent, "session_id long, seq long, byte_offset long, data string")
+    out = raw.append(spark.createDataFrame([(1, 5)], "session_id long, length long"), df)
+    assert sorted((r["session_id"], r["seq"], r["accepted"], r["length"]) for r in out.collect()) == [(1, 0, True, 8), (1, 1, True, 10), (1, 2, False, 10), (1, 3, False, 10), (2, 0, False, 0), (2, 1, True, 6)]
+
+
+def test_discovery_and_lines_of_files(spark, tmp_path):
+    for name, text in (("a/rollout-1.jsonl", '{"n":1}\n\n{"n":2}\n'), ("a/b/rollout-2.jsonl", "y\n"), ("a/other.jsonl", "x\n"), ("a/rollout-3.txt", "x\n")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in raw.discover(spark, str(tmp_path), "format_b").collect()) == ["rollout-1.jsonl", "rollout-2.jsonl"]
+    assert raw.discover(spark, str(tmp_path), "format_a").count() == 3
+    assert sorted((r["byte_offset"], r["line"]) for r in raw.file_lines(spark, str(tmp_path), "format_b").collect()) == [(0, '{"n":1}'), (0, "y"), (9, '{"n":2}')]
+
+
+def test_lines_are_stripped_of_ascii_blanks_alone(spark):
+    df = spark.createDataFrame([(1, " a \x85\n b \u2028"), (2, "c \r\n")], "k int, text string")
+    assert sorted(r["line"] for r in raw.lines_with_offsets(df, "k", "text").collect()) == ["a \x85", "b \u2028", "c"]
+
+
+def test_rollups_are_replaced_for_touched_sessions_alone(spark, tmp_path):
+    """An append rewrites the partitions of its sessions only; a slot that loses all rows becomes empty."""
+    store = rollups.RollupStore(spark, str(tmp_path / "rollups"), slots=8)
+    rows = lambda data: spark.createDataFrame(data, "session_id long, n long")
+    derive = lambda df: lambda cut: {t: cut(df) for t in store.TABLES}
+    first = rows([(i, 1) for i in range(20)])
+    assert len(store.refresh(first.select("session_id"), derive(first))) > 4
+    when = lambda: {f.name: max(p.stat().st_mtime_ns for p in f.iterdir()) for f in (tmp_path / "rollups" / "turns").glob("slot=*")}
+    before = when()
+    touched = store.refresh(rows([(3, 0)]), derive(rows([(i, 2) for i in range(20) if i != 3])))
+    after = when()
+    assert [k for k in before if before[k] != after[k]] == [f"slot={touched[0]}"] and len(touched) == 1
+    got = {r["session_id"]: r["n"] for r in store.read("turns").collect()}
+    assert 3 not in got and len(got) == 19 and set(got.values()) <= {1, 2}
+    assert store.refresh(rows([]), derive(first)) == []
+    churn = store.refresh_churn(rows([(4, 0)]), derive(rows([(4, 9)])))
+    assert len(churn) == 1 and store.read("file_churn").where("n = 9").count() == 1 and store.read("turns").where("n = 9").count() == 0
+
+
+def test_panel_selection(spark, tiny):
+    x = Inputs(spark, tiny)
+    assert list(insights.insights(x, ("mix", "mix"))) == ["grade_trend", "outcome_trend", "archetype_trend", "fleet_mix"]
+    with pytest.raises(ValueError, match="nope"):
+        insights.insights(x, ("nope",))
