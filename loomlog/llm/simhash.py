@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import connected_components, read, written
+from loomlog.llm.common import connected_components, read, small, written
 
 
 def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -113,8 +113,15 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     else stay once for each distinct text.
     """
     groups = groups.select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c"))
-    named = groups.where(F.col("_id").eqNullSafe(F.col("_c"))).select("_id").distinct()
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    named = small(groups.where(F.col("_id").eqNullSafe(F.col("_c"))).select("_id").distinct())
+    kept = docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]), "left_semi")
+    # only rows that share a doc_id are compared as wholes
+    many = written(docs.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated")
+    if many.isEmpty():
+        return kept
+    many = small(many)
+    alone = kept.join(many, kept["doc_id"].eqNullSafe(many["_id"]), "left_anti")
+    return alone.unionByName(kept.join(many, kept["doc_id"].eqNullSafe(many["_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_near_copies(docs: DataFrame, **params) -> DataFrame:

@@ -55,22 +55,27 @@ def lowered(t):
     return (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def test_backoff(docs, empty):
+@pytest.mark.parametrize("order", [2, 3])
+def test_backoff(docs, empty, order):
     every = [toks(lowered(t)) for _, t, *_ in corpus()]
-    one, two = Counter(w for ws in every for w in ws), Counter(p for ws in every for p in zip(ws, ws[1:]))
-    n, want = sum(one.values()), []
-    for (i, *_), ws in zip(corpus(), every, strict=True):
-        total, back = 0.0, 0
-        for k, w in enumerate(ws):
-            if k and two[ws[k - 1], w] >= 2:
-                total += math.log(two[ws[k - 1], w] / one[ws[k - 1]])
-            else:
-                back += k > 0
-                total += math.log(one[w] / n) + (math.log(0.4) if k else 0)
-        want.append((i, len(ws), back, round(total, 4)))
-    got = backoff.score_documents(docs).withColumn("s", F.round("log_score", 4))
+    runs = lambda ws, n: [tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)]
+    all_, own = Counter(), [Counter(g for n in range(1, order + 1) for g in runs(ws, n)) for ws in every]
+    for c in own:
+        all_.update(c)
+    total, want = sum(map(len, every)), []
+    for (i, *_), ws, mine in zip(corpus(), every, own, strict=True):
+        logs, back = 0.0, 0
+        for k in range(len(ws)):
+            n = most = min(order, k + 1)
+            while n > 1 and all_[tuple(ws[k - n + 1 : k + 1])] == mine[tuple(ws[k - n + 1 : k + 1])]:
+                n -= 1
+            g = tuple(ws[k - n + 1 : k + 1])
+            logs += math.log(all_[g] / (all_[g[:-1]] if n > 1 else total)) + (most - n) * math.log(0.4)
+            back += n < most
+        want.append((i, len(ws), back, round(logs, 3)))
+    got = backoff.score_documents(docs, order=order).withColumn("s", F.round("log_score", 3))
     assert rows(got, "doc_id", "n_words", "n_backoff", "s") == sorted(want, key=repr)
-    assert backoff.score_documents(empty).count() == 0
+    assert backoff.score_documents(empty, order=order).count() == 0
 
 
 def by_hand_fingerprint(t):
