@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import quality
 from loomlog.operators import signals
+from loomlog.operators.quantiles import quantiles
 from loomlog.sources.views import Inputs, as_of
 
 MAX_BUCKETS = 120
@@ -65,19 +66,24 @@ def concurrency(x: Inputs) -> DataFrame:
     secs = lambda a, b: (F.unix_micros(b) - F.unix_micros(a)) / 1e6
     avg = spans.agg(F.sum(secs("started_at", "ended_at")).alias("total"), F.min("started_at").alias("lo"), F.max("ended_at").alias("hi"), F.count("*").alias("sessions"))
     avg = avg.select(F.when(F.col("hi") > F.col("lo"), F.round(F.col("total") / secs("lo", "hi"), 9)).otherwise(F.col("sessions").cast("double")).alias("avg_concurrent"), "sessions")
-    one = [df.withColumn("_1", F.lit(1)) for df in (peak, busiest, avg)]  # one row each
-    return reduce(lambda a, b: a.join(F.broadcast(b), "_1"), one).drop("_1")
+    return _one_row(avg, peak, busiest)
+
+
+def _one_row(*dfs: DataFrame) -> DataFrame:
+    """Frames of at most one row each, side by side."""
+    one = [df.withColumn("_1", F.lit(1)) for df in dfs]
+    return reduce(lambda a, b: a.join(F.broadcast(b), "_1", "left"), one).drop("_1")
 
 
 def velocity(x: Inputs) -> DataFrame:
     """H6: exact latency percentiles, opening replies apart, and rates by active minute."""
-    t = x.turns.agg(
-        F.round(F.expr("percentile(response_secs, 0.5)") * 1000).cast("long").alias("response_p50"), F.round(F.expr("percentile(response_secs, 0.9)") * 1000).cast("long").alias("response_p90"),
-        F.round(F.expr("percentile(CASE WHEN turn = 1 THEN response_secs END, 0.5)") * 1000).cast("long").alias("first_response_p50"), F.count("*").alias("turns"), F.countDistinct("session_id").alias("sessions"),
-    )
+    millis = lambda df: df.select(*[F.round(F.col(c) * 1000).cast("long").alias(c) for c in df.columns])
+    every = millis(quantiles(x.turns, "response_secs", {"response_p50": 0.5, "response_p90": 0.9}))
+    first = millis(quantiles(x.turns.where("turn = 1"), "response_secs", {"first_response_p50": 0.5}))
+    n = x.turns.groupBy("session_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("turns"), F.count("*").alias("sessions"))
     a = x.activity_hourly.agg(F.sum("active_seconds").alias("active_seconds"), F.sum("messages").alias("m"), F.sum("tool_calls").alias("c"))
     a = a.select("active_seconds", rate(F.col("m") * 60, F.col("active_seconds")).alias("msgs_per_min"), rate(F.col("c") * 60, F.col("active_seconds")).alias("tools_per_min"))
-    return t.withColumn("_1", F.lit(1)).join(F.broadcast(a.withColumn("_1", F.lit(1))), "_1").drop("_1")
+    return _one_row(n, every, first, a)
 
 
 def top_tools(x: Inputs, n: int = 10) -> DataFrame:
@@ -107,10 +113,9 @@ def hot_files(x: Inputs, n: int | None = 10) -> DataFrame:
 
 def context_distribution(x: Inputs) -> DataFrame:
     """Discrete percentiles of peak context, and resets."""
-    return x.context_health.agg(
-        F.count("*").alias("sessions"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY peak_context)").alias("p50"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY peak_context)").alias("p90"),
-        F.max("peak_context").alias("max"), F.sum("context_resets").alias("resets"), F.count_if(F.col("context_resets") > 0).alias("sessions_with_reset"),
-    )
+    c = x.context_health
+    ranks = quantiles(c, "peak_context", {"p50": 0.5, "p90": 0.9}, discrete=True)
+    return _one_row(c.agg(F.count("*").alias("sessions"), F.max("peak_context").alias("max"), F.sum("context_resets").alias("resets"), F.count_if(F.col("context_resets") > 0).alias("sessions_with_reset")), ranks)
 
 
 # Trends ------------------------------------------------------------------------------------------------------------
@@ -243,8 +248,8 @@ def savings_trend(x: Inputs) -> DataFrame:
 def latency_trend(x: Inputs) -> DataFrame:
     """Exact percentiles by the prompt's bucket."""
     t = x.turns.withColumn("bucket", _week("prompt_at"))
-    df = t.groupBy("bucket").agg(*[F.round(F.expr(f"percentile(response_secs, {p})"), 6).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])
-    return _on_grid(x, df, ["p50", "p90", "p99"])
+    df = quantiles(t, "response_secs", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, ("bucket",))
+    return _on_grid(x, df.select("bucket", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")]), ["p50", "p90", "p99"])
 
 
 def active_trend(x: Inputs) -> DataFrame:
@@ -312,8 +317,9 @@ def gallery(x: Inputs) -> DataFrame:
 def gallery_summary(x: Inputs) -> DataFrame:
     """Medians, and the priciest session with its duration."""
     g = gallery(x)
-    med = lambda c, test="true": F.round(F.expr(f"percentile(CASE WHEN {test} THEN {c} END, 0.5)"), 6)
-    return g.agg(F.count("*").alias("sessions"), med("duration_s").alias("median_duration"), med("cost").alias("median_cost"), med("duration_s", "outcome = 'completed'").alias("median_completed"), F.max(F.struct("cost", "duration_s")).alias("p")).select("*", F.col("p.cost").alias("priciest"), F.col("p.duration_s").alias("priciest_duration")).drop("p")
+    med = lambda df, c, name: quantiles(df, c, {name: 0.5}).select(F.round(name, 6).alias(name))
+    top = g.agg(F.count("*").alias("sessions"), F.max(F.struct("cost", "duration_s")).alias("p")).select("sessions", F.col("p.cost").alias("priciest"), F.col("p.duration_s").alias("priciest_duration"))
+    return _one_row(top, med(g, "duration_s", "median_duration"), med(g, "cost", "median_cost"), med(g.where("outcome = 'completed'"), "duration_s", "median_completed"))
 
 
 def rhythm(x: Inputs) -> DataFrame:

@@ -1,12 +1,18 @@
 """Raw lines, remotes, retries and incremental derivation on hand-made cases."""
 
+import math
+import random
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomlog.operators import insights, project, rollups
 from loomlog.sources import raw
 from loomlog.sources.views import Inputs
-from loomlog.streaming import rederive
+from loomlog.operators.quantiles import quantiles
+from loomlog.streaming import rederive, settle
 
 
 def test_lines_keep_byte_offsets(spark):
@@ -108,3 +114,37 @@ def test_panel_selection(spark, tiny):
     assert list(insights.insights(x, ("mix", "mix"))) == ["grade_trend", "outcome_trend", "archetype_trend", "fleet_mix"]
     with pytest.raises(ValueError, match="nope"):
         insights.insights(x, ("nope",))
+
+
+def test_quiet_sessions_settle_and_new_lines_arm_again(spark, tmp_path):
+    src = str(tmp_path / "in")
+    add = lambda *ids: spark.createDataFrame([(i,) for i in ids], "session_id long").coalesce(1).write.mode("append").parquet(src)
+    add(1, 1, 2)
+    out = settle.settled(spark.readStream.schema("session_id long").parquet(src), quiet_ms=1500)
+    query = out.writeStream.format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").start()
+
+    def wait(n):
+        end = time.time() + 90
+        while spark.table("settled").count() < n and time.time() < end:
+            time.sleep(0.5)
+        return sorted(map(tuple, spark.table("settled").collect()))
+
+    try:
+        assert wait(2) == [(1, 2), (2, 1)]
+        add(1)
+        assert wait(3) == [(1, 1), (1, 2), (2, 1)]
+    finally:
+        query.stop()
+
+
+def test_quantiles_by_hand(spark):
+    rng = random.Random(6)
+    data = [(k, round(rng.choice([0, 1e-6, 0.5, 3.25, 900]) * rng.random() ** 3, 6)) for k in range(3) for _ in range(50 + k)] + [(3, 7.0), (4, None)]
+    df = spark.createDataFrame(data, "k int, v double")
+    got = {r["k"]: r for r in quantiles(df, "v", {"a": 0.0, "m": 0.5, "z": 0.97, "e": 1.0}, ("k",)).collect()}
+    disc = {r["k"]: r for r in quantiles(df, "v", {"m": 0.5, "z": 0.97}, ("k",), discrete=True).collect()}
+    assert set(got) == set(disc) == {0, 1, 2, 3}
+    for k in got:
+        v = sorted(x for i, x in data if i == k)
+        assert [got[k][c] for c in "amze"] == pytest.approx([np.quantile(v, p) for p in (0, 0.5, 0.97, 1)], abs=1e-12)
+        assert [disc[k]["m"], disc[k]["z"]] == [v[math.ceil(p * len(v)) - 1] for p in (0.5, 0.97)]
