@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlog.operators import insights, project, rollups
+from loomlog.operators.quantiles import quantiles
 from loomlog.sources import raw
 from loomlog.sources.views import Inputs
-from loomlog.operators.quantiles import quantiles
 from loomlog.streaming import rederive, settle
 
 
@@ -82,7 +82,7 @@ def test_discovery_and_lines_of_files(spark, tmp_path):
         (tmp_path / name).write_text(text)
     assert sorted(r["path"].rsplit("/", 1)[1] for r in raw.discover(spark, str(tmp_path), "format_b").collect()) == ["rollout-1.jsonl", "rollout-2.jsonl"]
     assert raw.discover(spark, str(tmp_path), "format_a").count() == 3
-    assert sorted((r["byte_offset"], r["line"]) for r in raw.file_lines(spark, str(tmp_path), "format_b").collect()) == [(0, '{"n":1}'), (0, "y"), (9, '{"n":2}')]
+    assert sorted((r["byte_offset"], r["line"]) for r in raw.file_lines(spark, str(tmp_path), "format_b").collect()) == [(0, "y"), (0, '{"n":1}'), (9, '{"n":2}')]
 
 
 def test_lines_are_stripped_of_ascii_blanks_alone(spark):
