@@ -44,7 +44,7 @@ class Model:
         for word in set(_TOKEN.findall((text or "").lower())):
             hit = cache.get(word)
             if hit is None:
-                if len(cache) > 400_000:
+                if len(cache) > 100_000:
                     cache.clear()
                 hit = cache[word] = tuple(at[t] for t in terms(word) if t in at)
             out.update(hit)
