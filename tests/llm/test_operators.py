@@ -185,23 +185,24 @@ def test_pipeline_by_hand(spark):
     assert rows(corpus_pipeline.run(spark, sf), "doc_id", "size") == sorted(want, key=repr) and 10 < len(want) < len(kept) < len(data)
 
 
-def test_stages_take_odd_rows_and_clashing_names(spark, docs, empty):
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_clashing_names(spark, docs, empty, name):
     """Nulls, empty and long texts, ties, repeats, empty tables and foreign columns: nothing crashes, nothing foreign is lost."""
-    sf = f"{spark.conf.get('spark.checkpoint.dir')}/odd"
+    sf, stage = f"{spark.conf.get('spark.checkpoint.dir')}/odd", dict(corpus_pipeline.STAGES)[name]
     spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(12)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([(1, "word for word. It goes on for long enough to be found."), (None, None)], "item_id long, text string").write.mode("overwrite").parquet(f"{sf}/benchmark.parquet")
     clash = {c: F.lit(f"mine {c}") for c in ("_id", "_c", "_gone", "key", "h", "n", "fp", "component_id", "drop", "batch", "sid", "y", "size", "start")}
-    odd, none = docs.withColumns(clash), empty.withColumns(clash)
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, odd, sf)
-        assert stage(spark, none, sf).count() == 0
-        if name == corpus_pipeline.STAGES[-1][0]:
-            assert out.count() == len(corpus())
-            continue
+    odd = docs.withColumns(clash)
+    out = stage(spark, odd, sf)
+    got = out.toPandas()
+    if name == "mix_sources":
+        assert len(got) == len(corpus())
+    else:
         assert out.columns == odd.columns
-        got = out.toPandas()
         assert 0 < len(got) <= len(corpus()) and all((got[c] == f"mine {c}").all() for c in clash)
         assert len(got) == len(corpus()) or name != "line_dedup"
+    if name != "simhash_dedup":  # its empty tables are in the test of near copies
+        assert stage(spark, empty.withColumns(clash), sf).count() == 0
 
 
 def test_components_of_a_long_chain(spark):
