@@ -132,7 +132,7 @@ def local_project(machine: Column, cwd: Column, root: Column) -> Column:
 
 
 def discover(spark, root: str, agent: str) -> DataFrame:
-    """A1: (path, bytes, modified) of an agent's log files below root, in any folder; format B's are named rollout-*."""
+    """A1: (path, bytes, modified) of an agent's log files below root, in any folder; format B's are named rollout-*. Empty files are left out."""
     glob = "rollout-*.jsonl" if agent == "format_b" else "*.jsonl"
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
     return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
