@@ -33,11 +33,11 @@ def words(text: Column) -> Column:
 _WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, which cuts its lineage; `by` names a column to store it by."""
+def written(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back, which cuts its lineage; `by` names a column to store it by, options are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

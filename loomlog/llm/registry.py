@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomlog.llm import backoff, decontaminate, line_dedup, mixing, quality, secrets, simhash, span_dedup, suffixes, toxicity
+from loomlog.llm import align, backoff, decontaminate, line_dedup, mixing, quality, resample, secrets, sharding, simhash, span_dedup, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_interleaved_shards": sharding.op11_interleaved_shards,
+        "op12_target_resample": resample.op12_target_resample,
+        "op13_token_alignment": align.op13_token_alignment,
         "pipeline": run,
     }
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_dedup": suffixes.OP5_SQL,
         "op7_decontaminate": decontaminate.OP7_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
+        "op11_interleaved_shards": sharding.OP11_SQL,
+        "op12_target_resample": resample.OP12_SQL,
     }
