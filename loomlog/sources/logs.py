@@ -33,7 +33,7 @@ def _format_a() -> list[Column]:
     head = {"timestamp": at, "cwd": F.concat(F.lit("/home/u/p"), F.col("conv_id") % 7), "gitBranch": "main"}
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     pasted = F.array(F.to_json(_obj(type="text", text=said)), F.to_json(_obj(type="image", source=_obj(data=F.concat(F.lit(_PNG), F.when(turn % 2 == 0, "A").otherwise("E"))))))
-    listed = F.struct(F.lit(0).alias("sub"), F.concat(F.lit('{"type":"user","timestamp":"'), at, F.lit('","message":{"content":['), F.array_join(pasted, ","), F.lit("]}}")).alias("line"))
+    listed = F.struct(F.lit(0).alias("sub"), F.concat(F.lit('{"type":"user","timestamp":"'), at, F.lit('","cwd":"'), head["cwd"], F.lit('","gitBranch":"main","message":{"content":['), F.array_join(pasted, ","), F.lit("]}}")).alias("line"))
     tokens = {"input_tokens": F.char_length(said), "output_tokens": turn, "cache_creation_input_tokens": F.lit(20), "cache_read_input_tokens": turn * 10}
     fell = assistant & (turn % 3 == 1)
     iterations = F.when(fell, F.array(_obj(type="message", model="claude-fable-5", input_tokens=turn + 1, output_tokens=2), _obj(type="fallback_message", model="claude-opus-4-8", input_tokens=turn, output_tokens=9)))
