@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import read, small, words
+from loomlog.llm.common import read, small, words, written
 
 #: Hash buckets of unigrams and bigrams together; also the length of the weight table that the plan carries.
 BUCKETS = 10_000
@@ -18,11 +18,21 @@ FOLDS, MISS = 5, 0.03
 STEP = 0.001
 
 
-def form_counts(docs: DataFrame, window: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, wh): counts of each row's whole text.
+def form_counts(docs: DataFrame, window: int = 8) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words): counts of each row's whole text.
 
-    Null texts count as empty. wh holds the hashes of the words in order. A word is repeated if a window of `window`
-    words that covers it occurs twice or more in the text. Columns in `keep` are passed on. Windows are compared by 64-bit hash within one text.
+    Null texts count as empty. A word is repeated if a window of `window` words that covers it occurs twice or more in
+    the text. Windows are compared by 64-bit hash within one text. The counts are written, so that a filter on them
+    is one over a table.
+    """
+    return written(_form(docs, window).drop("wh"), "form")
+
+
+def _form(docs: DataFrame, window: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of form_counts, those in `keep`, and wh, the hashes of the words in order.
+
+    A filter on the result would be pushed through these projections and split the text once for each use of its words
+    in every window; so results that are given away are written first.
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -115,7 +125,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float | None =
     """(doc_id, counts of form_counts, base_failed, llr, kept): a row for each row of docs.
 
     llr is the mean of the weights of a text's n-grams, so long and short texts compare; none: 0. A row is kept if it
-    passes the base rules and llr >= threshold, by default that of least_ratio. Rows that share a doc_id are judged one
+    passes the base rules and llr >= threshold, by default that of least_ratio. Counts and llr are written, one narrow row
+    a document, so that filters on the result are cheap. Rows that share a doc_id are judged one
     by one, equal texts outside the trusted ones alike. Texts are taken whole, in time in proportion to their length, but
     for sorting the repeated windows. Empty tables give no rows; columns other than doc_id and text are neither read nor
     returned.
@@ -123,7 +134,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float | None =
     marked = _trusted(docs.select("doc_id", "text"), trusted)
     weights = ratio_weights(marked, buckets)
     threshold = least_ratio(marked, weights, MISS, buckets) if threshold is None else threshold
-    df = _grams(form_counts(marked, keep=("fold",)), buckets).withColumn("llr", _ratio(weights)).drop("grams", "fold")
+    df = _grams(_form(marked, keep=("fold",)), buckets).withColumn("llr", _ratio(weights)).drop("grams", "fold")
+    df = written(df, "form")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return df.select("*", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"))
 

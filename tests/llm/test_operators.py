@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from functools import reduce
 
 import duckdb
 import numpy as np
@@ -570,3 +572,13 @@ def test_hot_anchors_are_split_without_loss():
         for x in range(s, e - 99):
             seen[texts[d][x : x + 100]].add(int(k))
     assert sum(len(t) - 99 for t in texts) == sum(stop - start) and all(len(k) == 1 for k in seen.values())
+
+
+@pytest.mark.parametrize("name", sorted(n for n in registry.queries() if n != "pipeline"))
+def test_results_take_filters(spark, tiny, name):
+    """A filter on every column that Spark may push down: it must neither change rows nor take the time of many runs."""
+    df = registry.queries()[name](spark, tiny)
+    kept = [F.col(c).isNull() | (F.col(c) >= F.lit("" if t == "string" else False if t == "boolean" else -1e18)) for c, t in df.dtypes if t in ("string", "boolean", "double", "int", "bigint")]
+    began = time.time()
+    n = df.where(reduce(lambda a, b: a & b, kept)).count()
+    assert n == (spark.read.parquet(f"{tiny}/documents.parquet").count() if "doc_id" in df.columns else n) and time.time() - began < 60
