@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomlog.sources.appendlog import AppendLog
+from loomlog.sources.shared import shared_dir
 from loomlog.sources.views import Inputs, read
 
 _ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"  # not $, which in Java also matches before a final line end
@@ -87,6 +91,9 @@ def canonical_remote(remote: Column) -> Column:
 
 _CHUNK_SQL = """, ck AS (SELECT session_id, ordinal, content || chr(10) AS data, strlen(content || chr(10)) AS bytes FROM messages),
  lg AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY session_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM ck)"""
+# the digest of whole logs, by blocks of 512 bytes
+_DIGEST_SQL = """, hx AS (SELECT session_id, hex(encode(string_agg(data, '' ORDER BY ordinal))) AS x FROM lg GROUP BY 1),
+ dg AS (SELECT session_id, list_reduce([''] || list_transform(range(0, len(x), 1024), lambda i: sha256(unhex(substr(x, i + 1, 1024)))), lambda a, b: sha256(a || b)) AS digest FROM hx)"""
 _SHA = "SELECT sha256({0}) AS sha256, strlen({0})::BIGINT AS bytes FROM {1} WHERE {0} IS NOT NULL"
 LIMIT = 600
 
@@ -105,25 +112,6 @@ def broken(x: Inputs) -> DataFrame:
     return kept.unionAll(kept.where("(session_id + ordinal) % 5 = 1"))
 
 
-def append(stored: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A3: chunks (session_id, seq, byte_offset, data) with `accepted` and `length`, what the log holds after each.
-
-    stored: (session_id, length) of the logs so far. In the order of byte_offset and seq, a chunk is taken if it ends its last
-    line and starts where the log ends; else it is refused, with the true length for the sender to go on from. A replay
-    is refused, so appending is idempotent.
-    """
-    c = chunks.withColumn("c", F.struct("byte_offset", "seq", F.octet_length("data").cast("long").alias("bytes"), F.endswith("data", F.lit("\n")).alias("whole")))
-    by = c.groupBy("session_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).join(stored, "session_id", "left")
-    start = F.struct(F.coalesce("length", F.lit(0).cast("long")).alias("length"), F.array().cast("array<struct<byte_offset: bigint, seq: bigint, accepted: boolean, length: bigint>>").alias("out"))
-
-    def step(s, x):
-        ok = x["whole"] & (x["byte_offset"] == s["length"])
-        now = s["length"] + F.when(ok, x["bytes"]).otherwise(0)
-        return F.struct(now.alias("length"), F.concat(s["out"], F.array(F.struct(x["byte_offset"].alias("byte_offset"), x["seq"].cast("long").alias("seq"), ok.alias("accepted"), now.alias("length")))).alias("out"))
-
-    return by.select("session_id", F.inline(F.aggregate("cs", start, step, lambda s: s["out"])))
-
-
 def local_project(machine: Column, cwd: Column, root: Column) -> Column:
     """(key, display_name) of a project without a remote: by machine and its root, or else the working directory."""
     place = F.coalesce(F.nullif(root, F.lit("")), cwd, F.lit(""))
@@ -155,9 +143,29 @@ def _sent(x: Inputs) -> DataFrame:
     return c.unionAll(again).unionAll(false).unionAll(cut)
 
 
+def _log(x: Inputs, block: int = 512) -> AppendLog:
+    return AppendLog(x.spark, f"{shared_dir(x.spark)}/log-{uuid.uuid4().hex}", block)
+
+
 def _appended(x: Inputs) -> DataFrame:
-    out = append(x.spark.createDataFrame([], "session_id long, length long"), _sent(x))
-    return out.groupBy("session_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"), F.max("length").alias("length"))
+    """A3: what a log takes of chunks sent in one call, and the digest of what it then holds."""
+    log = _log(x)
+    out = log.append(_sent(x)).groupBy("session_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"), F.max("length").alias("length"))
+    return out.join(log.heads().select("session_id", "digest"), "session_id")
+
+
+def _replayed(x: Inputs) -> DataFrame:
+    """The first three chunks of each log, then all from the start again: what was there is refused, the rest goes on."""
+    log, all_ = _log(x), chunks(x.messages).select("session_id", F.col("ordinal").alias("seq"), "byte_offset", "data")
+    first = log.append(all_.where("seq < 3")).groupBy("session_id").agg(F.count_if("accepted").alias("first"))
+    again = log.append(all_).groupBy("session_id").agg(F.count_if("accepted").alias("then"), F.count_if(~F.col("accepted")).alias("refused"))
+    return first.join(again, "session_id").join(log.heads(), "session_id")
+
+
+def _regions(x: Inputs) -> DataFrame:
+    log = _log(x)
+    log.append(chunks(x.messages).select("session_id", F.col("ordinal").alias("seq"), "byte_offset", "data"))
+    return log.regions(1024)
 
 
 _REMOTES = {0: "git@GitHub.com:Team/R{}.git", 1: "https://user:pw@example.org:443/Team/R{}/", 2: "ssh://git@Example.org:2222/a/b/R{}.git", 3: "/local/r{}"}
@@ -178,7 +186,9 @@ QUERIES = {
     # a chunk in seven is missing, and one in five comes twice
     "A4_gaps": (lambda x: gaps(broken(x)), _CHUNK_SQL + """, kept AS (SELECT *, ordinal AS o FROM lg WHERE (session_id + ordinal) % 7 <> 3), twice AS (SELECT *, 0 AS again FROM kept UNION ALL SELECT *, 1 FROM kept WHERE (session_id + ordinal) % 5 = 1)
       SELECT session_id, count(*) AS chunks, sum(bytes)::BIGINT AS bytes, count(*) FILTER (CASE WHEN again = 1 THEN true WHEN o = 0 THEN false ELSE (session_id + o - 1) % 7 = 3 END)::BIGINT AS gaps FROM twice GROUP BY 1"""),
-    "A3_append": (_appended, _CHUNK_SQL + """ SELECT session_id, count(*) AS accepted, (count(*) FILTER (ordinal % 3 = 0) + count(*) FILTER (ordinal % 4 = 1) + count(*) FILTER (ordinal % 5 = 2))::BIGINT AS refused, sum(bytes)::BIGINT AS length FROM lg GROUP BY 1"""),
+    "A3_append": (_appended, _CHUNK_SQL + _DIGEST_SQL + """ SELECT session_id, count(*) AS accepted, (count(*) FILTER (ordinal % 3 = 0) + count(*) FILTER (ordinal % 4 = 1) + count(*) FILTER (ordinal % 5 = 2))::BIGINT AS refused, sum(bytes)::BIGINT AS length, any_value(digest) AS digest FROM lg JOIN dg USING (session_id) GROUP BY 1"""),
+    "A4_regions": (_regions, _CHUNK_SQL + " SELECT session_id, byte_offset // 1024 AS region, min(byte_offset) AS byte_offset, sum(bytes)::BIGINT AS bytes, count(*) AS chunks FROM lg GROUP BY 1, 2"),
+    "L7_replay": (_replayed, _CHUNK_SQL + _DIGEST_SQL + """ SELECT session_id, count(*) FILTER (ordinal < 3) AS first, count(*) FILTER (ordinal >= 3) AS then, count(*) FILTER (ordinal < 3) AS refused, sum(bytes)::BIGINT AS length, any_value(digest) AS digest FROM lg JOIN dg USING (session_id) GROUP BY 1"""),
     "A13_remotes": (_remotes, " SELECT session_id, CASE session_id % 4 " + " ".join(f"WHEN {i} THEN concat('{k.split('{}')[0]}', session_id, '{k.split('{}')[1]}')" for i, k in _KEYS.items() if k) + " END AS remote FROM sessions"),
     "A14_local_projects": (lambda x: x.sessions.select("session_id", local_project(F.col("machine"), F.col("cwd"), F.when(F.col("session_id") % 3 == 0, F.concat("cwd", F.lit("/sub\\x/")))).alias("p")).select("session_id", "p.*"),
         """ SELECT session_id, concat('local:', machine, ':', coalesce(CASE session_id % 3 WHEN 0 THEN cwd || '/sub\\x/' END, cwd, '')) AS key, CASE WHEN cwd IS NULL THEN '(unknown location)' WHEN session_id % 3 = 0 THEN 'x' ELSE replace(cwd, '/home/u/', '') END AS display_name FROM sessions"""),

@@ -69,13 +69,6 @@ def test_null_keys_stay_in_usage_dedup(spark):
     assert sorted((r["dedup_key"] or "", r["source_offset"]) for r in project.dedup_usage(df).collect()) == [("", 0), ("", 0), ("", 1), ("k", 2)]
 
 
-def test_append_takes_what_fits_and_refuses_the_rest(spark):
-    sent = [(1, 0, 5, "ab\n"), (1, 1, 8, "c\n"), (1, 2, 8, "again\n"), (1, 3, 12, "gap\n"), (2, 0, 0, "cut"), (2, 1, 0, "whole\n")]
-    df = spark.createDataFrame(sent, "session_id long, seq long, byte_offset long, data string")
-    out = raw.append(spark.createDataFrame([(1, 5)], "session_id long, length long"), df)
-    assert sorted((r["session_id"], r["seq"], r["accepted"], r["length"]) for r in out.collect()) == [(1, 0, True, 8), (1, 1, True, 10), (1, 2, False, 10), (1, 3, False, 10), (2, 0, False, 0), (2, 1, True, 6)]
-
-
 def test_discovery_and_lines_of_files(spark, tmp_path):
     for name, text in (("a/rollout-1.jsonl", '{"n":1}\n\n{"n":2}\n'), ("a/b/rollout-2.jsonl", "y\n"), ("a/other.jsonl", "x\n"), ("a/rollout-3.txt", "x\n")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
