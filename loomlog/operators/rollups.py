@@ -1,14 +1,15 @@
-"""Session-grain rollups, derived from the projection and overwritten whole."""
+"""Session-grain rollups, derived from the projection, and the store that keeps them by session."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlog.operators.project import dedup_calls, relative_path
+from loomlog.sources.versions import Version, Versions
 
 IDLE_GAP = 300
 
@@ -54,39 +55,74 @@ def activity_hourly(messages: DataFrame, tool_calls: DataFrame) -> DataFrame:
     return a.join(b, ["session_id", "day", "hour"], "left").fillna(0, ["tool_calls"])
 
 
-class RollupStore:
-    """The five rollups at session grain, stored by slots of sessions, re-derived for the sessions that changed.
+class SessionStore:
+    """Tables of rows derived from sessions; deriving sessions again writes the rows of these alone.
 
-    A slot is a hash of the session; refreshing derives the slots of the changed sessions and replaces exactly these,
-    so it is idempotent, and a slot whose sessions have no rows any more becomes empty. Slots are a fixed number, so the
-    driver holds at most that many.
+    An upsert adds a small folder of rows and a list of the sessions they stand for, even those that have no rows any
+    more. Readers take, for each session, the rows of the upsert that saw most of it (`seen`, say the bytes of its log;
+    the later one of equals), and the base's for all others. After `fold` upserts of a table they are folded into a new
+    base, sorted by session, so that a session lies in few files. Versions are published whole: a reader never sees
+    half of an upsert, and of two writers at a time none is lost.
     """
 
-    TABLES = ("usage_daily", "tool_rollup", "file_churn", "turns", "activity_hourly")
-
-    def __init__(self, spark: SparkSession, path: str, slots: int = 64):
-        self.spark, self.path, self.slots = spark, path, slots
-
-    def slot(self) -> Column:
-        return F.pmod(F.xxhash64("session_id"), F.lit(self.slots)).cast("int")
-
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}").where("session_id IS NOT NULL").drop("slot")
-
-    def refresh(self, changed: DataFrame, derive: Callable[[Callable[[DataFrame], DataFrame]], dict[str, DataFrame]], tables: tuple[str, ...] = TABLES) -> list[int]:
-        """Re-derive `tables` for the slots of changed(session_id). derive gets a filter that cuts a table to these slots."""
-        touched = sorted(r["slot"] for r in changed.select(self.slot().alias("slot")).distinct().collect())
-        if touched:
-            spine = self.spark.createDataFrame([(s,) for s in touched], "slot int")  # a slot without rows is replaced by an empty one
-            fresh = derive(lambda df: df.where(self.slot().isin(touched)))
-            for t in tables:
-                rows = fresh[t].withColumn("slot", self.slot()).unionByName(spine, allowMissingColumns=True)
-                rows.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(f"{self.path}/{t}")
-        return touched
-
-    def refresh_churn(self, moved: DataFrame, derive) -> list[int]:
-        """A new working directory changes relative paths alone, so only the churn of these sessions is derived again."""
-        return self.refresh(moved, derive, ("file_churn",))
+    SPINE = "session_id long, seen long"
+
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str], fold: int = 8):
+        self.spark, self.schemas, self.fold = spark, schemas, fold
+        self.versions = Versions(spark, path, {**schemas, "sessions": self.SPINE, **{f"{t}@": self.SPINE for t in schemas}})
+
+    def _latest(self, table: str, version: Version) -> DataFrame | None:
+        """(session_id, seen, k): which upsert after the base counts for a session; none if the base has seen more."""
+        deltas = [p for p in version.parts.get(f"{table}@", []) if p[0] == 0]
+        spines = [self.versions.read(f"{table}@", Version(0, {f"{table}@": [p]})).withColumn("k", F.lit(i)) for i, p in enumerate(deltas)]
+        if not spines:
+            return None
+        best = reduce(DataFrame.unionAll, spines).groupBy("session_id").agg(F.max(F.struct("seen", "k")).alias("x")).select("session_id", "x.*")
+        base = self.versions.read(f"{table}@", version, level=1).withColumnRenamed("seen", "held")
+        return best.join(base, "session_id", "left").where("seen >= coalesce(held, 0)").drop("held")
+
+    def read(self, table: str, version: Version | None = None) -> DataFrame:
+        version = version or self.versions.current()
+        base, latest = self.versions.read(table, version, level=1), self._latest(table, version)
+        if latest is None:
+            return base
+        parts = [p for p in version.parts[table] if p[0] == 0]
+        rows = reduce(DataFrame.unionAll, [self.versions.read(table, Version(0, {table: [p]})).withColumn("k", F.lit(i)) for i, p in enumerate(parts)])
+        own = base.columns
+        return base.join(latest, "session_id", "left_anti").select(own).unionByName(rows.join(latest, ["session_id", "k"], "left_semi").select(own))
+
+    def _folded(self, table: str, parts: dict) -> dict:
+        """Rows and sessions of a table as one base."""
+        version = Version(0, parts)
+        rows = self.read(table, version).repartitionByRange("session_id").sortWithinPartitions("session_id")
+        spine = self.versions.read(f"{table}@", version).groupBy("session_id").agg(F.max("seen").alias("seen"))
+        return {table: [(1, self.versions.write(table, rows))], f"{table}@": [(1, self.versions.write("sessions", spine))]}
+
+    def upsert(self, changed: DataFrame, derived: dict[str, DataFrame], attempts: int = 50) -> Version:
+        """Make derived rows count for the sessions of changed(session_id, and seen if it has it), in the tables that derived names."""
+        seen = F.col("seen") if "seen" in changed.columns else F.lit(0)
+        spine = self.versions.write("sessions", changed.groupBy("session_id").agg(F.max(seen.cast("long")).alias("seen")))
+        fresh = {t: self.versions.write(t, df.selectExpr(*self._columns(t))) for t, df in derived.items()}
+        for _ in range(attempts):
+            version = self.versions.current()
+            parts = {}
+            for t, folder in fresh.items():
+                old, spines = version.parts.get(t, []), version.parts.get(f"{t}@", [])
+                parts |= {t: [*old, (0, folder)], f"{t}@": [*spines, (0, spine)]} if old else {t: [(1, folder)], f"{t}@": [(1, spine)]}
+                if len(parts[f"{t}@"]) > self.fold:
+                    parts |= self._folded(t, parts)
+            new = self.versions.publish(version, parts)
+            if new:
+                return new
+        raise RuntimeError(f"other writers published first {attempts} times")
+
+    def _columns(self, table: str) -> list[str]:
+        fields = self.spark.createDataFrame([], self.schemas[table]).schema.fields
+        return [f"cast(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in fields]
+
+    def last_written(self, table: str) -> int:
+        """Rows in the folder that the last upsert of a table added; for proof."""
+        return self.versions.read(table, Version(0, {table: self.versions.current().parts[table][-1:]})).count()
 
 
 def derived(ledger: DataFrame, calls: DataFrame, messages: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:

@@ -58,18 +58,21 @@ def _sanitized(x):
 
 
 def _incremental(x):
-    """Rollups of all sessions but those of slots 0 to 2, then these come in, then some move; counts and sums at the end."""
-    store = rollups.RollupStore(x.spark, f"{shared_dir(x.spark)}/rollups-{uuid.uuid4().hex}", slots=12)
+    """Rollups of all sessions but every 97th, then of these, then the churn of those that moved; rows, sums and what the second step wrote."""
     tables = {"ledger": x.ledger, "calls": x.calls, "messages": x.messages, "sessions": x.sessions}
     ids = x.sessions.select("session_id").union(x.calls.select("session_id")).union(x.messages.select("session_id")).distinct()
-    late = store.slot() < 3
     moved = x.sessions.withColumn("cwd", F.when(F.col("session_id") % 50 == 0, "/home/u").otherwise(F.col("cwd")))
-    derive = lambda cut, rows, **new: rollups.derived(**{k: rows(cut(v)) for k, v in (tables | new).items()})
-    store.refresh(ids, lambda cut: derive(cut, lambda df: df.where(~late)))
-    store.refresh(ids.where(late), lambda cut: derive(cut, lambda df: df))
-    store.refresh_churn(ids.where("session_id % 50 = 0"), lambda cut: derive(cut, lambda df: df, sessions=moved))
+    derive = lambda keep, **new: rollups.derived(**{k: v.where(keep) for k, v in (tables | new).items()})
+    late, gone = "session_id % 97 = 0", "session_id % 50 = 0"
+    first = derive(f"NOT {late}")
+    schemas = {t: ", ".join(f"`{n}` {k}" for n, k in df.dtypes) for t, df in first.items()}
+    store = rollups.SessionStore(x.spark, f"{shared_dir(x.spark)}/rollups-{uuid.uuid4().hex}", schemas)
+    store.upsert(ids.where(f"NOT {late}"), first)
+    store.upsert(ids.where(late), derive(late))
+    wrote = {t: store.last_written(t) for t in schemas}
+    store.upsert(ids.where(gone), {"file_churn": derive(gone, sessions=moved)["file_churn"]})
     sums = {"usage_daily": F.sum("input"), "tool_rollup": F.sum("calls"), "file_churn": F.sum(F.char_length("churn_path") * F.col("edits")), "turns": F.sum("turn"), "activity_hourly": F.sum("messages")}
-    each = [store.read(t).agg(F.lit(t).alias("name"), F.count("*").alias("n"), v.cast("long").alias("total")) for t, v in sums.items()]
+    each = [store.read(t).agg(F.lit(t).alias("name"), F.count("*").alias("n"), v.cast("long").alias("total"), F.lit(wrote[t]).cast("long").alias("written")) for t, v in sums.items()]
     return functools.reduce(DataFrame.unionAll, each)
 
 
@@ -141,10 +144,12 @@ QUERIES = {
     "D3_file_churn": (lambda x: x.file_churn, CHURN_SQL + " SELECT * FROM churn"),
     "D4_session_turns": (lambda x: x.turns, TURNS_SQL + " SELECT * FROM session_turns"),
     "D5_activity_hourly": (lambda x: x.activity_hourly, HOURLY_SQL + " SELECT * REPLACE (day::VARCHAR AS day) FROM hourly"),
-    "D6_incremental": (_incremental, TURNS_SQL + HOURLY_SQL + CHURN_SQL.replace("LEFT JOIN sessions USING (session_id)", "LEFT JOIN (SELECT session_id, CASE session_id % 50 WHEN 0 THEN '/home/u' ELSE cwd END AS cwd FROM sessions) USING (session_id)") + """,
-      da AS (SELECT session_id, sum(input) AS input FROM ledger GROUP BY session_id, occurred_at::DATE, model), ta AS (SELECT count(*) AS calls FROM tool_calls GROUP BY session_id, tool_name, CASE category WHEN '' THEN 'other' ELSE category END)
-      SELECT 'usage_daily' AS name, count(*) AS n, sum(input)::BIGINT AS total FROM da UNION ALL SELECT 'tool_rollup', count(*), sum(calls)::BIGINT FROM ta UNION ALL SELECT 'file_churn', count(*), sum(length(churn_path) * edits)::BIGINT FROM churn
-      UNION ALL SELECT 'turns', count(*), sum(turn)::BIGINT FROM session_turns UNION ALL SELECT 'activity_hourly', count(*), sum(messages)::BIGINT FROM hourly"""),
+    "D6_incremental": (_incremental, TURNS_SQL + HOURLY_SQL + CHURN_SQL.replace("LEFT JOIN sessions USING (session_id)", "LEFT JOIN (SELECT session_id, CASE session_id % 50 WHEN 0 THEN '/home/u' ELSE cwd END AS cwd FROM sessions) USING (session_id)") + f""",
+      old AS (SELECT session_id FROM calls c LEFT JOIN sessions s USING (session_id) WHERE category = 'edit' AND file_path IS NOT NULL AND session_id % 97 = 0 GROUP BY session_id, coalesce({_REL}, file_path)),
+      da AS (SELECT session_id, sum(input) AS input FROM ledger GROUP BY session_id, occurred_at::DATE, model), ta AS (SELECT session_id, count(*) AS calls FROM tool_calls GROUP BY session_id, tool_name, CASE category WHEN '' THEN 'other' ELSE category END)
+      SELECT 'usage_daily' AS name, count(*) AS n, sum(input)::BIGINT AS total, count(*) FILTER (session_id % 97 = 0) AS written FROM da UNION ALL SELECT 'tool_rollup', count(*), sum(calls)::BIGINT, count(*) FILTER (session_id % 97 = 0) FROM ta
+      UNION ALL SELECT 'file_churn', count(*), sum(length(churn_path) * edits)::BIGINT, (SELECT count(*) FROM old) FROM churn UNION ALL SELECT 'turns', count(*), sum(turn)::BIGINT, count(*) FILTER (session_id % 97 = 0) FROM session_turns
+      UNION ALL SELECT 'activity_hourly', count(*), sum(messages)::BIGINT, count(*) FILTER (session_id % 97 = 0) FROM hourly"""),
     "L2_due": (_due, " SELECT session_id, raw_bytes FROM (SELECT session_id, message_count AS raw_bytes, message_count - session_id % 2 AS parsed_bytes, 20 - session_id % 3 AS epoch, CASE session_id % 5 WHEN 0 THEN 20 END AS failed_epoch, CASE session_id % 7 WHEN 0 THEN ended_at END AS retry_at FROM sessions) WHERE coalesce(retry_at <= TIMESTAMP '2026-01-01', false) OR (failed_epoch IS NULL AND retry_at IS NULL AND (raw_bytes > parsed_bytes OR epoch < 20))"),
     "L4_backoff": (lambda x: x.sessions.select("session_id", rederive.backoff_seconds(F.col("session_id") % 12 + 1).alias("wait")), " SELECT session_id, least(3600, 30 * (1 << (session_id % 12)::INT))::BIGINT AS wait FROM sessions"),
     "E1_replay_dedup": (lambda x: x.tool_calls.groupBy("session_id").agg(F.count("*").alias("calls")), " SELECT session_id, count(*) AS calls FROM tool_calls GROUP BY 1"),

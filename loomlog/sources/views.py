@@ -6,13 +6,14 @@ queries something to run on. Each table is one SELECT with two spellings, Spark'
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.sources.shared import stored
+from loomlog.sources.shared import listing, stored
 
 #: The instant that stands for now().
 AS_OF = "2027-01-01 00:00:00"
@@ -79,13 +80,16 @@ class Inputs:
 
     spark: SparkSession
     sf_dir: str
+    #: Only the rows of these sessions, if given.
+    only: DataFrame | None = None
 
     def _view(self, name: str) -> DataFrame:
         tables = {t: read(self.spark, self.sf_dir, t) for t in _FROM[name]}
         sql = _SPARK[name]
         for t in tables:
             sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-        return self.spark.sql(sql, **tables)
+        df = self.spark.sql(sql, **tables)
+        return df.join(self.only, "session_id", "left_semi") if self.only is not None and "session_id" in df.columns else df
 
     users = cached_property(lambda self: self._view("users"))
     projects = cached_property(lambda self: self._view("projects"))
@@ -94,52 +98,58 @@ class Inputs:
     messages = cached_property(lambda self: self._view("messages"))
     calls = cached_property(lambda self: self._view("calls"))
 
-    def _stored(self, name: str, build) -> DataFrame:
-        """A table that a deployment keeps: derived once for these inputs, then read."""
-        return stored(self.spark, (self.sf_dir, name), build)
+    def _stored(self, name: str, sources: tuple[str, ...], build: Callable[[Inputs], DataFrame]) -> DataFrame:
+        """A session-grained table that a deployment keeps: derived once, then read; sessions whose sources change are derived again."""
+        from loomlog.operators.rollups import SessionStore
+
+        if self.only is not None:
+            return build(self)
+        seen = listing(self.spark, *sorted({f"{self.sf_dir}/{t}.parquet" for s in sources for t in _FROM[s]}))
+        views = lambda: {s: getattr(self, s) for s in sources}
+        return stored(self.spark, (self.sf_dir, name), seen, views, lambda these: build(self if these is None else Inputs(self.spark, self.sf_dir, these)), SessionStore)
 
     @cached_property
     def ledger(self) -> DataFrame:
         from loomlog.functions.pricing import priced
         from loomlog.operators.project import dedup_usage
 
-        return self._stored("ledger", lambda: priced(dedup_usage(self.usage)))
+        return self._stored("ledger", ("usage",), lambda x: priced(dedup_usage(x.usage)))
 
     @cached_property
     def usage_daily(self) -> DataFrame:
         from loomlog.operators.rollups import usage_daily
 
-        return self._stored("usage_daily", lambda: usage_daily(self.ledger))
+        return self._stored("usage_daily", ("usage",), lambda x: usage_daily(x.ledger))
 
     @cached_property
     def tool_rollup(self) -> DataFrame:
         from loomlog.operators.rollups import tool_rollup
 
-        return self._stored("tool_rollup", lambda: tool_rollup(self.tool_calls))
+        return self._stored("tool_rollup", ("calls",), lambda x: tool_rollup(x.tool_calls))
 
     @cached_property
     def file_churn(self) -> DataFrame:
         from loomlog.operators.rollups import file_churn
 
-        return self._stored("file_churn", lambda: file_churn(self.calls, self.sessions))
+        return self._stored("file_churn", ("calls", "sessions"), lambda x: file_churn(x.calls, x.sessions))
 
     @cached_property
     def turns(self) -> DataFrame:
         from loomlog.operators.rollups import turns
 
-        return self._stored("turns", lambda: turns(self.messages))
+        return self._stored("turns", ("messages",), lambda x: turns(x.messages))
 
     @cached_property
     def activity_hourly(self) -> DataFrame:
         from loomlog.operators.rollups import activity_hourly
 
-        return self._stored("activity_hourly", lambda: activity_hourly(self.messages, self.tool_calls))
+        return self._stored("activity_hourly", ("messages", "calls"), lambda x: activity_hourly(x.messages, x.tool_calls))
 
     @cached_property
     def context_health(self) -> DataFrame:
         from loomlog.operators.signals import context_health
 
-        return self._stored("context_health", lambda: context_health(self.ledger))
+        return self._stored("context_health", ("usage",), lambda x: context_health(x.ledger))
 
     @cached_property
     def tool_calls(self) -> DataFrame:
@@ -151,7 +161,7 @@ class Inputs:
     def signals(self) -> DataFrame:
         from loomlog.operators.signals import session_signals
 
-        return self._stored("signals", lambda: session_signals(self))
+        return self._stored("signals", ("sessions", "calls", "messages"), session_signals)
 
 
 def as_of() -> F.Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlog.operators import insights, project, rollups
 from loomlog.operators.quantiles import quantiles
-from loomlog.sources import raw
+from loomlog.sources import raw, shared
 from loomlog.sources.views import Inputs
 from loomlog.streaming import rederive, settle
 
@@ -83,23 +83,53 @@ def test_lines_are_stripped_of_ascii_blanks_alone(spark):
     assert sorted(r["line"] for r in raw.lines_with_offsets(df, "k", "text").collect()) == ["a \x85", "b \u2028", "c"]
 
 
-def test_rollups_are_replaced_for_touched_sessions_alone(spark, tmp_path):
-    """An append rewrites the partitions of its sessions only; a slot that loses all rows becomes empty."""
-    store = rollups.RollupStore(spark, str(tmp_path / "rollups"), slots=8)
+def test_upserts_write_their_sessions_alone(spark, tmp_path):
+    store = rollups.SessionStore(spark, str(tmp_path / "rollups"), {"turns": "session_id long, n long", "file_churn": "session_id long, n long"}, fold=3)
     rows = lambda data: spark.createDataFrame(data, "session_id long, n long")
-    derive = lambda df: lambda cut: {t: cut(df) for t in store.TABLES}
-    first = rows([(i, 1) for i in range(20)])
-    assert len(store.refresh(first.select("session_id"), derive(first))) > 4
-    when = lambda: {f.name: max(p.stat().st_mtime_ns for p in f.iterdir()) for f in (tmp_path / "rollups" / "turns").glob("slot=*")}
-    before = when()
-    touched = store.refresh(rows([(3, 0)]), derive(rows([(i, 2) for i in range(20) if i != 3])))
-    after = when()
-    assert [k for k in before if before[k] != after[k]] == [f"slot={touched[0]}"] and len(touched) == 1
-    got = {r["session_id"]: r["n"] for r in store.read("turns").collect()}
-    assert 3 not in got and len(got) == 19 and set(got.values()) <= {1, 2}
-    assert store.refresh(rows([]), derive(first)) == []
-    churn = store.refresh_churn(rows([(4, 0)]), derive(rows([(4, 9)])))
-    assert len(churn) == 1 and store.read("file_churn").where("n = 9").count() == 1 and store.read("turns").where("n = 9").count() == 0
+    both = lambda df: {"turns": df, "file_churn": df}
+    got = lambda t="turns": sorted(map(tuple, store.read(t).collect()))
+    assert got() == []
+    store.upsert(rows([(i, 0) for i in range(20)]).select("session_id"), both(rows([(i, 1) for i in range(20)] * 2)))
+    store.upsert(rows([(3, 0), (4, 0)]).select("session_id"), both(rows([(3, 2)])))  # 4 has no rows any more
+    assert store.last_written("turns") == 1 and got() == sorted([(i, 1) for i in range(20) if i not in (3, 4)] * 2 + [(3, 2)])
+    store.upsert(rows([(3, 9)]).withColumnRenamed("n", "seen"), {"turns": rows([(3, 5)])})  # churn is left as it is
+    store.upsert(rows([(3, 8), (5, 8)]).withColumnRenamed("n", "seen"), {"turns": rows([(3, 4), (5, 4)])})  # 3 has seen less than the one before
+    assert (3, 5) in got() and (5, 4) in got() and (3, 2) in got("file_churn") and (5, 1) in got("file_churn")
+    assert [at for at, _ in store.versions.current().parts["turns"]] == [at for at, _ in store.versions.current().parts["turns@"]] == [1]  # folded
+    store.upsert(rows([(3, 8)]).withColumnRenamed("n", "seen"), {"turns": rows([(3, 6)])})
+    assert (3, 5) in got() and (3, 6) not in got()  # the base has seen more
+    store.upsert(rows([(40, 0)]).select("session_id"), both(rows([(40, 7)])))
+    assert (40, 7) in got() and len(got()) == 37 and (40, 7) in got("file_churn")
+
+
+def test_of_two_upserts_at_a_time_none_is_lost(spark, tmp_path):
+    one, two = (rollups.SessionStore(spark, str(tmp_path / "s"), {"t": "session_id long, n long"}) for _ in range(2))
+    rows = lambda data: spark.createDataFrame(data, "session_id long, n long")
+    one.upsert(rows([(1, 0)]).select("session_id"), {"t": rows([(1, 1), (2, 1)])})
+    real, met = one.versions.publish, []
+    one.versions.publish = lambda *a: (met.append(two.upsert(rows([(2, 0)]).select("session_id"), {"t": rows([(2, 2)])})) if not met else None) or real(*a)
+    one.upsert(rows([(1, 0)]).select("session_id"), {"t": rows([(1, 3)])})
+    assert sorted(map(tuple, one.read("t").collect())) == [(1, 3), (2, 2)]
+
+
+def test_stored_tables_follow_their_inputs(spark, tiny, tmp_path):
+    """Rows appended to an input show in the next query, and only the sessions that they touch are derived."""
+    sf = str(tmp_path / "sf")
+    for t in ("events", "orders", "customer", "conversations", "lineitem"):
+        spark.read.parquet(f"{tiny}/{t}.parquet").write.parquet(f"{sf}/{t}.parquet")
+    before = Inputs(spark, sf)
+    calls, churn, signals = before.tool_rollup.count(), before.file_churn.count(), {r["session_id"]: r for r in before.signals.collect()}
+    assert calls == Inputs(spark, sf).tool_rollup.count()
+    late = spark.read.parquet(f"{tiny}/events.parquet").where("event_id < 12").selectExpr("event_id + 6000000000 AS event_id", "* EXCEPT (event_id)")
+    late.select(spark.read.parquet(f"{sf}/events.parquet").columns).write.mode("append").parquet(f"{sf}/events.parquet")
+    x = Inputs(spark, sf)
+    got = x.tool_rollup
+    assert got.count() > calls and got.where("session_id >= 1000000000").count() == got.count() - calls
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rollups.tool_rollup(x.tool_calls).collect()))
+    assert x.file_churn.count() > churn
+    touched = [k for k in shared._STORED if k[-1] == "tool_rollup" and k[1] == sf]
+    assert shared._STORED[touched[0]][1].last_written("tool_rollup") == got.count() - calls
+    assert {r["session_id"]: r for r in x.signals.collect()} == signals  # no session of the feed has changed
 
 
 def test_panel_selection(spark, tiny):
