@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,67 +24,125 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BATCH_BYTES, CHUNK_BYTES = 1 << 19, 16 << 20
 #: Pairs whose counts may be broadcast (17 bytes each); beyond that, chunks fetch theirs by a join.
 SMALL_PAIRS = 4_000_000
-#: Characters of parts that a worker keeps the tokens of.
-MEMO_CHARS = 4_000_000
+#: Characters of parts that a worker keeps the alignment of.
+MEMO_CHARS = 1_500_000
 
-# How byte-level BPE splits a text before merging, and the bytes that it writes as themselves.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# What byte-level BPE takes for white space, and the bytes that it writes as themselves.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PLAIN = [(33, 126), (161, 172), (174, 255)]
-
-
-class Memo:
-    """Tokens of texts by way of their parts: no merge crosses the border of parts, so equal parts have equal tokens."""
-
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list]):
-        self.split, self.encode, self.known, self.chars = split, encode, {}, 0
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if self.chars > MEMO_CHARS:
-            self.known, self.chars = {}, 0
-        pieces = [self.split(t) for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in self.known})
-        self.known.update(zip(new, self.encode(new), strict=True))
-        self.chars += sum(map(len, new))
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, ps)), np.int64) for ps in pieces]
+#: A part ends before a space that follows something else than white space, or with the text.
+PART = re.compile(f"[{BLANKS}]*[^{BLANKS}]+(?:(?! )[{BLANKS}]+[^{BLANKS}]*)*|[{BLANKS}]+")
 
 
 class Coder:
-    """Both tokenizers: ids of texts, and the bytes of each id."""
+    """Both tokenizers, and the alignment of every part of a text that a worker has met.
+
+    Byte-level BPE never joins what comes before white space with it, and the pieces of the other model hold spaces in
+    front alone. So the tokens of both end where a part ends, neither they nor their groups depend on the parts around,
+    and a text's alignment is that of its parts in a row. Parts are mostly words, so only new ones are encoded and
+    aligned, many at a time. A model whose pieces do cross spaces gets whole texts as parts.
+    """
 
     def __init__(self, byte_bpe: bytes, piece_bpe: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        a, b = Tokenizer.from_str(byte_bpe.decode()), SentencePieceProcessor(model_proto=piece_bpe)
-        a.encode_special_tokens = True
+        self.a, self.b = Tokenizer.from_str(byte_bpe.decode()), SentencePieceProcessor(model_proto=piece_bpe)
+        self.a.encode_special_tokens = True
         plain = [x for s, t in PLAIN for x in range(s, t + 1)]
         other = [x for x in range(256) if x not in set(plain)]
         byte_of = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(other)}
-        size = a.get_vocab_size()
-        names = [a.id_to_token(i) or "" for i in range(size)]
+        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         self.a_bytes = [bytes(byte_of[c] for c in t) if set(t) <= byte_of.keys() else t.encode() for t in names]
-        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a = Memo(regex.compile(SPLIT).findall, lambda xs: [e.ids for e in a.encode_batch_fast(xs, add_special_tokens=False)])
-        # a part is some spaces and what follows; the model puts the first one there by itself, and gives nothing for it alone
-        blank = [b.piece_to_id("▁")]
-        apart = not any(re.search("[^▁]▁", p) for p in pieces)
-        split = re.compile(" +[^ ]*").findall if apart else lambda t: [t]
-        self.b = Memo(split, lambda xs: [ids if x != " " else blank for x, ids in zip(xs, b.encode([x[1:] for x in xs], num_threads=1), strict=True)] if xs else [])
-        self.sizes = len(self.a_bytes), len(self.b_bytes)
-        comma, last = lambda n, end: [f"{i}," for i in range(n)], lambda n, end: [f"{i}{end}" for i in range(n)]
-        self.a_text, self.b_text = (np.array(comma(n, e) + last(n, e), object) for n, e in zip(self.sizes, "|;", strict=True))
-
-    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids by both for each text that is not empty; none where the tokens' bytes are not those of the text."""
-        led = [" " + t for t in texts]
-        out = []
-        for text, a, b in zip(led, self.a.ids(led), self.b.ids(led), strict=True):
-            data = text.encode()
-            whole = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
-            out.append((a, b) if whole and len(text) > 1 else (a[:0], b[:0]))
-        return out
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.lens_a, self.lens_b = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.blank = [self.b.piece_to_id("▁")]
+        self.split = (lambda t: [t]) if any(re.search("[^▁]▁", p) for p in pieces) else PART.findall
+        self.code = "<u8" if len(self.a_bytes) * len(self.b_bytes) > 1 << 32 else "<u4"
+        self.forget()
+
+    def forget(self) -> None:
+        self.index, self.chars, self.text = Index(), 0, []
+        self.n_a, self.n_b, self.n_groups, self.n_links = (np.empty(0, np.int64) for _ in range(4))
+        self.links, self.whole = np.empty(0, np.int64), np.empty(0, bool)
+
+    def tokens(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids by both of parts that begin with a space; none where the tokens' bytes are not those of the part."""
+        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        # the model puts the first space there by itself, and gives nothing for it alone
+        b = [self.blank if p == " " else ids for p, ids in zip(parts, self.b.encode([p[1:] for p in parts], num_threads=1), strict=True)]
+        same = [b"".join(map(self.a_bytes.__getitem__, x)) == p.encode() == b"".join(map(self.b_bytes.__getitem__, y)) for p, x, y in zip(parts, a, b, strict=True)]
+        return [(x, y) if ok else ([], []) for x, y, ok in zip(a, b, same, strict=True)]
+
+    def learn(self) -> None:
+        """Align the parts that have been met for the first time, all at once: the end of a part is an end of both."""
+        new, self.index.new = self.index.new, []
+        if not new:
+            return
+        self.chars += sum(map(len, new))
+        ids = self.tokens(new)
+        n_a, n_b = (np.array([len(x[i]) for x in ids], np.int64) for i in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable(x[i] for x in ids), np.int64) for i in (0, 1))
+        ends_a, ends_b = np.cumsum(self.lens_a[a]), np.cumsum(self.lens_b[b])
+        to = terminals(ends_a, ends_b)
+        last = to[: len(a)] == np.arange(len(a))  # terminal tokens, one a group
+        order = np.cumsum(last) - 1
+        of_a, of_b = order[to[: len(a)]].tolist(), order[to[len(a) :]].tolist()
+        groups = [([], []) for _ in range(int(last.sum()))]
+        for side, tokens, of in ((0, a.tolist(), of_a), (1, b.tolist(), of_b)):
+            for t, g in zip(tokens, of, strict=True):
+                groups[g][side].append(str(t))
+        said = [f"{','.join(x)}|{','.join(y)}" for x, y in groups]
+        # a segment between neighbouring ends of either lies in one token of each: that is a link
+        cuts = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        cuts = cuts[np.append(cuts[1:] != cuts[:-1], True)] if len(cuts) else cuts
+        links = a[np.searchsorted(ends_a, cuts)] * len(self.b_bytes) + b[np.searchsorted(ends_b, cuts)]
+        upto = lambda x: np.concatenate([[0], x])[np.cumsum(n_a)]
+        n_groups, n_links = np.diff(upto(order + 1), prepend=0), np.diff(np.searchsorted(cuts, upto(ends_a), "right"), prepend=0)
+        stop = np.cumsum(n_groups)
+        self.text += [";".join(said[t - n : t]) for t, n in zip(stop.tolist(), n_groups.tolist(), strict=True)]
+        self.whole = np.append(self.whole, n_a > 0)
+        self.n_a, self.n_b, self.n_groups, self.n_links = (np.append(x, y) for x, y in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.n_links, n_links)))
+        self.links = np.append(self.links, links)
+
+    def align(self, texts: list[str]) -> dict[str, list]:
+        """Columns of align_groups for some texts."""
+        if self.chars > MEMO_CHARS:
+            self.forget()
+        parts = [self.split(f" {t}") if t else [] for t in texts]
+        stop = np.cumsum([len(p) for p in parts])
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(stop[-1]) if len(stop) else 0)
+        self.learn()
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[at])])[stop], prepend=0)
+        lost = total(~self.whole) > 0
+        sums = {c: np.where(lost, 0, total(getattr(self, c))).tolist() for c in ("n_a", "n_b", "n_groups", "n_links")}
+        each = self.n_links[at]
+        ends = np.cumsum(each)
+        links = self.links[np.repeat((np.cumsum(self.n_links) - self.n_links)[at] - (ends - each), each) + np.arange(int(each.sum()))]
+        bounds = np.concatenate([[0], np.concatenate([[0], ends])[stop]]).tolist()
+        at, stop, lost = at.tolist(), [0, *stop.tolist()], lost.tolist()
+        groups, pairs, times = [], [], []
+        for i in range(len(texts)):
+            groups.append("" if lost[i] else ";".join(map(self.text.__getitem__, at[stop[i] : stop[i + 1]])))
+            code, n = np.unique(links[bounds[i] : bounds[i] if lost[i] else bounds[i + 1]], return_counts=True)
+            pairs.append(code.astype(self.code).tobytes())
+            times.append(n.astype("<u4").tobytes())
+        return sums | {"groups": groups, "pairs": pairs, "times": times}
+
+
+class Index(dict):
+    """Numbers of parts in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.new.append(part)
+        return n
 
 
 @lru_cache(maxsize=1)
@@ -111,44 +168,6 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         to = further
 
 
-def _align(coder: Coder, texts: list[str]) -> dict[str, list]:
-    """Columns of align_groups for some texts; all of them are aligned at once, as a text's end is an end of both."""
-    lens_a, lens_b = (np.array([len(x) for x in t], np.int64) for t in (coder.a_bytes, coder.b_bytes))
-    ids = coder.tokens(texts)
-    n_a, n_b = (np.array([len(x[i]) for x in ids], np.int64) for i in (0, 1))
-    a, b = (np.concatenate([x[i] for x in ids]) if ids else np.empty(0, np.int64) for i in (0, 1))
-    out = {"n_a": n_a.tolist(), "n_b": n_b.tolist()}
-    if not len(a):
-        zero = [0] * len(texts)
-        return out | {"n_groups": zero, "n_links": zero, "groups": [""] * len(texts), "pairs": [b""] * len(texts), "times": [b""] * len(texts)}
-    ends_a, ends_b = np.cumsum(lens_a[a]), np.cumsum(lens_b[b])
-    to = terminals(ends_a, ends_b)
-    last = to[: len(a)] == np.arange(len(a))  # terminal tokens, one a group
-    order = np.cumsum(last) - 1
-    of_a, of_b = order[to[: len(a)]], order[to[len(a) :]]
-    size_a, size_b = np.bincount(of_a), np.bincount(of_b)
-    # groups as text: the A tokens of a group, then its B tokens
-    parts = np.empty(len(a) + len(b), object)
-    parts[np.arange(len(a)) + (np.cumsum(size_b) - size_b)[of_a]] = coder.a_text[a + last * coder.sizes[0]]
-    last_b = np.append(of_b[1:] != of_b[:-1], True)
-    parts[np.arange(len(b)) + np.cumsum(size_a)[of_b]] = coder.b_text[b + last_b * coder.sizes[1]]
-    # links: a segment between neighbouring ends of either lies in one token of each
-    cuts = np.union1d(ends_a, ends_b)
-    link = a[np.searchsorted(ends_a, cuts)] * coder.sizes[1] + b[np.searchsorted(ends_b, cuts)]
-    stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
-    stop = np.concatenate([[0], ends_a])[stop_a]
-    stop_links = np.searchsorted(cuts, stop, "right")
-    stop_groups = np.concatenate([[0], order + 1])[stop_a]
-    n_links, n_groups = np.diff(stop_links, prepend=0), np.diff(stop_groups, prepend=0)
-    groups, pairs, times = [], [], []
-    for i in range(len(texts)):
-        groups.append("".join(parts[stop_a[i] - n_a[i] + stop_b[i] - n_b[i] : stop_a[i] + stop_b[i]].tolist())[:-1])
-        code, n = np.unique(link[stop_links[i] - n_links[i] : stop_links[i]], return_counts=True)
-        pairs.append(code.astype("<u8" if coder.sizes[0] * coder.sizes[1] > 1 << 32 else "<u4").tobytes())
-        times.append(n.astype("<u4").tobytes())
-    return out | {"n_groups": n_groups.tolist(), "n_links": n_links.tolist(), "groups": groups, "pairs": pairs, "times": times}
-
-
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "chunk", "n_a", "n_b", "n_groups", "n_links")] + [("groups", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())])
 
 
@@ -175,7 +194,7 @@ def align_groups(docs: DataFrame, folder: str = TOKENIZERS, byte_bpe: str = BYTE
             start = 0
             while start < len(texts):
                 end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BATCH_BYTES)))
-                some = _align(coder, [x.as_py() or "" for x in texts[start:end]])
+                some = coder.align([x.as_py() or "" for x in texts[start:end]])
                 read_ += int(sizes[end - 1] - (sizes[start - 1] if start else 0))
                 some |= {"doc_id": ids[start:end], "chunk": [task + read_ // CHUNK_BYTES] * (end - start)}
                 yield pa.RecordBatch.from_arrays([pa.array(some[f.name], f.type) if isinstance(some[f.name], list) else some[f.name] for f in SCHEMA], schema=SCHEMA)

@@ -190,9 +190,13 @@ def test_parts_encode_as_whole_texts(tokenizers, monkeypatch):
     monkeypatch.setattr(align, "BATCH_BYTES", 64)
     coder = align.Coder(*(open(f"{align.TOKENIZERS}/{f}", "rb").read() for f in (align.BYTE_BPE, align.PIECE_BPE)))
     for k in range(0, len(texts), 50):
-        for t, (a, b) in zip(texts[k : k + 50], coder.tokens(texts[k : k + 50]), strict=True):
+        got = coder.align(texts[k : k + 50])
+        for i, t in enumerate(texts[k : k + 50]):
             x, y = by_hand_tokens(tokenizers, t)
-            assert (a.tolist(), b.tolist()) == ([i for i, _ in x], [j for j, _ in y])
+            links, text, n = by_hand_groups(x, y)
+            assert (got["n_a"][i], got["n_b"][i], got["n_groups"][i], got["n_links"][i], got["groups"][i]) == (len(x), len(y), n if x else 0, len(links), text)
+            code, times = (np.frombuffer(got[c][i], "<u4").tolist() for c in ("pairs", "times"))
+            assert dict(zip(code, times, strict=True)) == Counter(p * len(coder.b_bytes) + q for p, q in links)
 
 
 def test_chains_of_overlaps_end_in_one_group():
