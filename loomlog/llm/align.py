@@ -11,6 +11,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,9 +26,10 @@ BATCH_BYTES, CHUNK_BYTES = 1 << 19, 16 << 20
 #: Pairs whose counts may be broadcast (17 bytes each); beyond that, chunks fetch theirs by a join.
 SMALL_PAIRS = 4_000_000
 #: Characters of parts that a worker keeps the alignment of.
-MEMO_CHARS = 1_500_000
+MEMO_CHARS = 4_000_000
 
-# What byte-level BPE takes for white space, and the bytes that it writes as themselves.
+# How byte-level BPE splits a text before merging, its white space, and the bytes that it writes as themselves.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PLAIN = [(33, 126), (161, 172), (174, 255)]
 #: A part ends before a space that follows something else than white space, or with the text.
@@ -61,20 +63,31 @@ class Coder:
         self.blank = [self.b.piece_to_id("▁")]
         self.split = (lambda t: [t]) if any(re.search("[^▁]▁", p) for p in pieces) else PART.findall
         self.code = "<u8" if len(self.a_bytes) * len(self.b_bytes) > 1 << 32 else "<u4"
+        said = lambda n, end: np.array([*(f"{i}," for i in range(n)), *(f"{i}{end}" for i in range(n))], object)
+        self.a_text, self.b_text = said(len(self.a_bytes), "|"), said(len(self.b_bytes), ";")
         self.forget()
 
     def forget(self) -> None:
+        none = lambda: np.empty(0, np.int64)
         self.index, self.chars, self.text = Index(), 0, []
-        self.n_a, self.n_b, self.n_groups, self.n_links = (np.empty(0, np.int64) for _ in range(4))
-        self.links, self.whole = np.empty(0, np.int64), np.empty(0, bool)
-
-    def tokens(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids by both of parts that begin with a space; none where the tokens' bytes are not those of the part."""
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        # the model puts the first space there by itself, and gives nothing for it alone
-        b = [self.blank if p == " " else ids for p, ids in zip(parts, self.b.encode([p[1:] for p in parts], num_threads=1), strict=True)]
-        same = [b"".join(map(self.a_bytes.__getitem__, x)) == p.encode() == b"".join(map(self.b_bytes.__getitem__, y)) for p, x, y in zip(parts, a, b, strict=True)]
-        return [(x, y) if ok else ([], []) for x, y, ok in zip(a, b, same, strict=True)]
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.links, self.whole = none(), none(), none(), none(), none(), np.empty(0, bool)
+        self.words, self.word_ids, self.word_n = Index(), none(), none()  # pieces of parts, as byte-level BPE splits them
+
+    def _a(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Byte-level ids of parts in a row, and how many each has."""
+        words = [SPLIT.findall(p) for p in parts]
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64)
+        new, self.words.new = self.words.new, []
+        ids = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        self.word_ids = np.append(self.word_ids, np.fromiter(chain.from_iterable(ids), np.int64))
+        self.word_n = np.append(self.word_n, np.array([len(x) for x in ids], np.int64))
+        n = np.concatenate([[0], np.cumsum(self.word_n[at])])[np.cumsum([len(w) for w in words])]
+        return _spread(self.word_ids, self.word_n, at), np.diff(n, prepend=0)
+
+    def _b(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The other model's ids; it puts the first space of a part there by itself, and gives nothing for it alone."""
+        ids = [self.blank if p == " " else x for p, x in zip(parts, self.b.encode([p[1:] for p in parts], num_threads=1), strict=True)]
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.array([len(x) for x in ids], np.int64)
 
     def learn(self) -> None:
         """Align the parts that have been met for the first time, all at once: the end of a part is an end of both."""
@@ -82,30 +95,35 @@ class Coder:
         if not new:
             return
         self.chars += sum(map(len, new))
-        ids = self.tokens(new)
-        n_a, n_b = (np.array([len(x[i]) for x in ids], np.int64) for i in (0, 1))
-        a, b = (np.fromiter(chain.from_iterable(x[i] for x in ids), np.int64) for i in (0, 1))
+        (a, n_a), (b, n_b) = self._a(new), self._b(new)
+        # parts that the tokens of either do not give back byte by byte have none
+        data = [p.encode() for p in new]
+        same = np.ones(len(new), bool)
+        for tokens, n, held in ((a, n_a, self.a_bytes), (b, n_b, self.b_bytes)):
+            octets, stop = list(map(held.__getitem__, tokens.tolist())), np.cumsum(n).tolist()
+            same &= np.fromiter((b"".join(octets[s:t]) == d for s, t, d in zip([0, *stop], stop, data, strict=False)), bool, len(new))
+        a, b, n_a, n_b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)], n_a * same, n_b * same
         ends_a, ends_b = np.cumsum(self.lens_a[a]), np.cumsum(self.lens_b[b])
         to = terminals(ends_a, ends_b)
         last = to[: len(a)] == np.arange(len(a))  # terminal tokens, one a group
         order = np.cumsum(last) - 1
-        of_a, of_b = order[to[: len(a)]].tolist(), order[to[len(a) :]].tolist()
-        groups = [([], []) for _ in range(int(last.sum()))]
-        for side, tokens, of in ((0, a.tolist(), of_a), (1, b.tolist(), of_b)):
-            for t, g in zip(tokens, of, strict=True):
-                groups[g][side].append(str(t))
-        said = [f"{','.join(x)}|{','.join(y)}" for x, y in groups]
+        of_a, of_b = order[to[: len(a)]], order[to[len(a) :]]
+        # groups as text: the A tokens of a group, then its B tokens
+        size_a, size_b = np.bincount(of_a), np.bincount(of_b)
+        said = np.empty(len(a) + len(b), object)
+        said[np.arange(len(a)) + (np.cumsum(size_b) - size_b)[of_a]] = self.a_text[a + last * len(self.a_bytes)]
+        last_b = np.append(of_b[1:] != of_b[:-1], True)[: len(b)]
+        said[np.arange(len(b)) + np.cumsum(size_a)[of_b]] = self.b_text[b + last_b * len(self.b_bytes)]
+        said, stop = said.tolist(), np.cumsum(n_a + n_b).tolist()
+        self.text += ["".join(said[s:t])[:-1] for s, t in zip([0, *stop], stop, strict=False)]
         # a segment between neighbouring ends of either lies in one token of each: that is a link
         cuts = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
-        cuts = cuts[np.append(cuts[1:] != cuts[:-1], True)] if len(cuts) else cuts
+        cuts = cuts[np.append(cuts[1:] != cuts[:-1], True)[: len(cuts)]]
         links = a[np.searchsorted(ends_a, cuts)] * len(self.b_bytes) + b[np.searchsorted(ends_b, cuts)]
         upto = lambda x: np.concatenate([[0], x])[np.cumsum(n_a)]
         n_groups, n_links = np.diff(upto(order + 1), prepend=0), np.diff(np.searchsorted(cuts, upto(ends_a), "right"), prepend=0)
-        stop = np.cumsum(n_groups)
-        self.text += [";".join(said[t - n : t]) for t, n in zip(stop.tolist(), n_groups.tolist(), strict=True)]
-        self.whole = np.append(self.whole, n_a > 0)
+        self.whole, self.links = np.append(self.whole, same), np.append(self.links, links)
         self.n_a, self.n_b, self.n_groups, self.n_links = (np.append(x, y) for x, y in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.n_links, n_links)))
-        self.links = np.append(self.links, links)
 
     def align(self, texts: list[str]) -> dict[str, list]:
         """Columns of align_groups for some texts."""
@@ -118,9 +136,7 @@ class Coder:
         total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[at])])[stop], prepend=0)
         lost = total(~self.whole) > 0
         sums = {c: np.where(lost, 0, total(getattr(self, c))).tolist() for c in ("n_a", "n_b", "n_groups", "n_links")}
-        each = self.n_links[at]
-        ends = np.cumsum(each)
-        links = self.links[np.repeat((np.cumsum(self.n_links) - self.n_links)[at] - (ends - each), each) + np.arange(int(each.sum()))]
+        links, ends = _spread(self.links, self.n_links, at), np.cumsum(self.n_links[at])
         bounds = np.concatenate([[0], np.concatenate([[0], ends])[stop]]).tolist()
         at, stop, lost = at.tolist(), [0, *stop.tolist()], lost.tolist()
         groups, pairs, times = [], [], []
@@ -132,6 +148,13 @@ class Coder:
         return sums | {"groups": groups, "pairs": pairs, "times": times}
 
 
+def _spread(values: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs number at[0], at[1], ... of values, in a row; run i has n[i] values."""
+    each = n[at]
+    begin = (np.cumsum(n) - n)[at] - (np.cumsum(each) - each)
+    return values[np.repeat(begin, each) + np.arange(int(each.sum()))]
+
+
 class Index(dict):
     """Numbers of parts in the order in which they are first asked for."""
 
