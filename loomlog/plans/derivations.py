@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import pricing, quality
 from loomlog.operators import project, rollups, signals
+from loomlog.sources import raw
+from loomlog.sources.appendlog import AppendLog
 from loomlog.sources.shared import shared_dir
-from loomlog.streaming import rederive
+from loomlog.sources.views import Inputs, as_of
+from loomlog.streaming import rederive, settle
+from loomlog.streaming.drain import Drain
 
 
 def _models(x):
@@ -81,6 +85,26 @@ def _due(x):
     return rederive.due(s, 20, F.lit("2026-01-01 00:00:00").cast("timestamp")).select("session_id", "raw_bytes")
 
 
+def _drained(x):
+    """L1: the lines of all messages, appended to a log and drained in pages of 40 sessions; what was derived, parsed and how many pages it took."""
+    log = AppendLog(x.spark, f"{shared_dir(x.spark)}/log-{uuid.uuid4().hex}")
+    log.append(raw.chunks(x.messages).select("session_id", F.col("ordinal").alias("seq"), "byte_offset", "data"))
+    derive = lambda lines: {"sizes": lines.groupBy("session_id").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line")).alias("bytes"))}
+    d = Drain(log, f"{shared_dir(x.spark)}/drained-{uuid.uuid4().hex}", {"sizes": "session_id long, lines long, bytes long"}, derive, page=40)
+    d.run()
+    return d.store.read("sizes").join(d.state().select("session_id", "parsed_bytes"), "session_id").withColumn("pages", F.lit(len(d.pages)).cast("long"))
+
+
+def _graded(x):
+    """Stale sessions that are idle or terminal, graded page by page into a store of their own."""
+    schema = "session_id long, outcome string, confidence string, score int, grade string"
+    store = rollups.SessionStore(x.spark, f"{shared_dir(x.spark)}/graded-{uuid.uuid4().hex}", {"signals": schema})
+    idle = F.col("terminal") | (F.col("ended_at") < as_of() - F.expr(f"INTERVAL {signals.IDLE_MINUTES} MINUTES"))
+    grade = lambda ids: signals.session_signals(Inputs(x.spark, x.sf_dir, ids)).select("session_id", "outcome", "confidence", "score", "grade")
+    sizes = settle.grade_stale(x.sessions.where("signals_stale").where(idle).select("session_id", "ended_at"), grade, store, "signals")
+    return store.read("signals").withColumn("pages", F.lit(len(sizes)).cast("long"))
+
+
 def _bands(x):
     return signals.thinking(x.messages).groupBy("band").agg(F.count("*").alias("sessions"))
 
@@ -151,6 +175,11 @@ QUERIES = {
       UNION ALL SELECT 'file_churn', count(*), sum(length(churn_path) * edits)::BIGINT, (SELECT count(*) FROM old) FROM churn UNION ALL SELECT 'turns', count(*), sum(turn)::BIGINT, count(*) FILTER (session_id % 97 = 0) FROM session_turns
       UNION ALL SELECT 'activity_hourly', count(*), sum(messages)::BIGINT, count(*) FILTER (session_id % 97 = 0) FROM hourly"""),
     "L2_due": (_due, " SELECT session_id, raw_bytes FROM (SELECT session_id, message_count AS raw_bytes, message_count - session_id % 2 AS parsed_bytes, 20 - session_id % 3 AS epoch, CASE session_id % 5 WHEN 0 THEN 20 END AS failed_epoch, CASE session_id % 7 WHEN 0 THEN ended_at END AS retry_at FROM sessions) WHERE coalesce(retry_at <= TIMESTAMP '2026-01-01', false) OR (failed_epoch IS NULL AND retry_at IS NULL AND (raw_bytes > parsed_bytes OR epoch < 20))"),
+    "L1_drain": (_drained, """, ln AS (SELECT session_id, unnest(string_split(content, chr(10))) AS line, strlen(content) + 1 AS n, ordinal FROM messages), tr AS (SELECT session_id, trim(line) AS line FROM ln),
+      sz AS (SELECT session_id, count(*) AS lines, sum(strlen(line))::BIGINT AS bytes FROM tr WHERE line <> '' GROUP BY 1)
+      SELECT session_id, lines, bytes, parsed_bytes, (SELECT ceil(count(DISTINCT session_id) / 40)::BIGINT FROM messages) AS pages FROM sz JOIN (SELECT session_id, sum(strlen(content) + 1)::BIGINT AS parsed_bytes FROM messages GROUP BY 1) USING (session_id)"""),
+    "L5_graded": (_graded, """, du AS (SELECT session_id FROM sessions WHERE signals_stale AND (terminal OR ended_at < TIMESTAMP '2027-01-01' - INTERVAL 30 MINUTE))
+      SELECT session_id, outcome, confidence, score, grade, (SELECT ceil(count(*) / 500)::BIGINT FROM du) AS pages FROM signals JOIN du USING (session_id)"""),
     "L4_backoff": (lambda x: x.sessions.select("session_id", rederive.backoff_seconds(F.col("session_id") % 12 + 1).alias("wait")), " SELECT session_id, least(3600, 30 * (1 << (session_id % 12)::INT))::BIGINT AS wait FROM sessions"),
     "E1_replay_dedup": (lambda x: x.tool_calls.groupBy("session_id").agg(F.count("*").alias("calls")), " SELECT session_id, count(*) AS calls FROM tool_calls GROUP BY 1"),
     "E2_tool_health": (lambda x: signals.tool_health(x.tool_calls), " SELECT session_id, tool_calls, tool_failures, tool_retries, edit_churn, coalesce(longest, 0) AS streak, pending, tail_failures FROM tagg LEFT JOIN streak USING (session_id)"),

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -72,6 +73,21 @@ class AppendLog:
     def chunks(self) -> DataFrame:
         return self.table.read("chunks", self.table.current())
 
+    def lengths(self) -> DataFrame:
+        """(session_id, length, version) of every log; version is that of its last append."""
+        return self._heads(self.table.current()).select("session_id", "length", "version")
+
+    def lines(self, sessions: DataFrame | None = None) -> DataFrame:
+        """(session_id, byte_offset, line) of whole lines that are not blank, with their place in the log; of some sessions, if given.
+
+        Chunks end with a line, so each is cut by itself: a long log spreads over tasks.
+        """
+        c = self.chunks()
+        c = c.join(sessions.select("session_id"), "session_id", "left_semi") if sessions is not None else c
+        each = c.select("session_id", F.col("byte_offset").alias("at"), F.posexplode(F.split(F.col("data").cast("string"), "\n", -1)).alias("pos", "line"))
+        before = F.coalesce(F.sum(F.octet_length("line") + 1).over(W.partitionBy("session_id", "at").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return each.select("session_id", (F.col("at") + before).cast("long").alias("byte_offset"), F.trim("line").alias("line")).where("line <> ''")
+
     def regions(self, size: int = REGION) -> DataFrame:
         """A4: (session_id, region, byte_offset, bytes, chunks): runs of chunks that start in the same `size` bytes of a log."""
         c = self.chunks().withColumn("region", F.expr(f"byte_offset div {size}"))

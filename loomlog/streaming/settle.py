@@ -1,31 +1,96 @@
-"""Settling: a session is graded when no new bytes have come for a while; new bytes arm the timer again."""
+"""Settling: a session is graded when no new bytes have come for a while; new bytes arm its timer again."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-#: How long a session must be quiet, in milliseconds.
-QUIET_MS = 30 * 60 * 1000
+from loomlog.operators.rollups import SessionStore
+
+#: How long a session must be quiet, in milliseconds, and how many stale sessions are graded at a time.
+QUIET_MS, PAGE = 30 * 60 * 1000, 500
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Idle(StatefulProcessor):
+    """One timer a session: armed by its lines, and when it ends, the session with the lines that came since it settled last."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lines = handle.getValueState("lines", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.lines.get()[0] if self.lines.exists() else 0
+        self.lines.update((held + sum(1 for _ in rows),))
+        for armed in list(self.handle.listTimers()):
+            self.handle.deleteTimer(armed)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.lines.exists():
+            yield Row(session_id=key[0], lines=self.lines.get()[0])
+            self.lines.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def settled(lines: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
-    """(session_id, lines) of each session that has been quiet for quiet_ms of processing time, with its lines so far.
+    """(session_id, lines) of each session that has been quiet for quiet_ms of processing time, with its lines since it settled last.
+
+    lines: a stream with a session_id. A session's state is one number and one timer, in RocksDB, and dropped when it
+    settles; both are part of the checkpoint, so a restart keeps what is armed.
+    """
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    out = lines.select("session_id").groupBy("session_id")
+    return out.transformWithState(Idle(quiet_ms), "session_id long, lines long", "append", "processingTime")
+
+
+def armed(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(session_id, expires_ms): the timers in a checkpoint, as the state store has them."""
+    timers = spark.read.format("statestore").option("path", checkpoint).option("readRegisteredTimers", "true").load()
+    return timers.select("key.session_id", F.col("expiration_timestamp_ms").alias("expires_ms"))
+
+
+def grade_settled(lines: DataFrame, grade: Callable[[DataFrame], DataFrame], store: SessionStore, table: str, checkpoint: str, quiet_ms: int = QUIET_MS, **options) -> StreamingQuery:
+    """Start a stream that grades each session when it settles: grade(sessions) is upserted for the sessions of a batch alone.
 
-    lines: a stream with a session_id. The state of a session is one number, dropped when the session settles; a session
-    that goes on later settles again, with the lines that came since.
+    grade derives the verdicts (E13-E16) of the sessions it is given. A batch that is replayed grades the same sessions
+    again, which changes nothing; a session that goes on and settles anew is graded anew.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            seen = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"session_id": [key[0]], "lines": [seen]})
-        else:
-            state.update(((state.get[0] if state.exists else 0) + sum(len(b) for b in batches),))
-            state.setTimeoutDuration(quiet_ms)
+    def step(batch: DataFrame, _: int) -> None:
+        ids = batch.select("session_id").persist()
+        try:
+            if not ids.isEmpty():
+                store.upsert(ids, {table: grade(ids)})
+        finally:
+            ids.unpersist()
 
-    return lines.select("session_id").groupBy("session_id").applyInPandasWithState(step, "session_id long, lines long", "lines long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    query = settled(lines, quiet_ms).writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint)
+    return (query.trigger(**options) if options else query).start()
+
+
+def grade_stale(stale: DataFrame, grade: Callable[[DataFrame], DataFrame], store: SessionStore, table: str, page: int = PAGE) -> list[int]:
+    """Grade stale(session_id, ended_at) that no timer stands for, say after an import: oldest end first, one page after the other.
+
+    A page's rows are published at once, and a graded session is not due again, so a run that dies goes on where it
+    stopped. The sizes of the pages.
+    """
+    sizes = []
+    while True:
+        done = store.read(table).select("session_id")
+        due = stale.join(done, "session_id", "left_anti").orderBy(F.col("ended_at").asc_nulls_last(), "session_id").limit(page)
+        ids = stale.sparkSession.createDataFrame([(r["session_id"],) for r in due.select("session_id").collect()], "session_id long")
+        n = ids.count()
+        if not n:
+            return sizes
+        store.upsert(ids, {table: grade(F.broadcast(ids))})
+        sizes.append(n)
