@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomlog.functions import quality
 from loomlog.operators import signals
 from loomlog.operators.quantiles import quantiles
+from loomlog.operators.trees import depths
 from loomlog.sources.views import Inputs, as_of
 
 MAX_BUCKETS = 120
@@ -344,22 +345,9 @@ def subagent_cost(x: Inputs) -> DataFrame:
     return _on_grid(x, df, ["share"])
 
 
-def depths(sessions: DataFrame, levels: int = 100) -> DataFrame:
-    """(session_id, depth) below roots at depth 1, by one join a level until a level is empty; `levels` guards cycles."""
-    at = sessions.where("parent_session_id IS NULL").select("session_id", F.lit(1).alias("depth"))
-    out, kids = at, sessions.where("parent_session_id IS NOT NULL").select(F.col("session_id").alias("k"), "parent_session_id")
-    for _ in range(levels):
-        at = at.join(kids, at.session_id == kids.parent_session_id).select(F.col("k").alias("session_id"), (F.col("depth") + 1).alias("depth"))
-        if at.isEmpty():
-            return out
-        out = out.unionAll(at)
-    raise ValueError(f"sessions nest deeper than {levels} levels")
-
-
 def deepest_tree(x: Inputs) -> DataFrame:
-    """Depth over all edge types, and the number of subagents."""
-    d = depths(x.sessions).groupBy("depth").agg(F.count("*").alias("sessions"))
-    return d
+    """Sessions by depth over all edge types, roots at 1."""
+    return depths(x.sessions.select(F.col("session_id").alias("node"), F.col("parent_session_id").alias("up"))).groupBy("depth").agg(F.count("*").alias("sessions"))
 
 
 PANELS = {

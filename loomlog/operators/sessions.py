@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlog.operators.signals import current
+from loomlog.operators.trees import subtree_sums
 from loomlog.sources.views import Inputs
 
 SORTS = {"project": "project_id", "agent": "agent", "branch": "git_branch", "user": "user_id", "messages": "message_count", "tokens": "tokens", "cost": "cost", "updated": "ended_at"}
@@ -117,23 +118,12 @@ def counts(x: Inputs) -> DataFrame:
     return x.sessions.agg(F.count("*").alias("sessions"), F.count_if(F.col("message_count") == 0).alias("empty"))
 
 
-def tree_rollup(x: Inputs, levels: int = 100) -> DataFrame:
-    """Size and cost of the subtree of subagents below every session, itself included.
-
-    Pairs (ancestor, descendant) grow by one level a join until none is new; `levels` guards against cycles.
-    """
-    kids = x.sessions.where("relationship_type = 'subagent'").select(F.col("parent_session_id").alias("p"), F.col("session_id").alias("k"))
-    at = x.sessions.select(F.col("session_id").alias("root"), "session_id")
-    pairs = at
-    for _ in range(levels):
-        at = at.join(kids, F.col("session_id") == F.col("p")).select("root", F.col("k").alias("session_id"))
-        if at.isEmpty():
-            break
-        pairs = pairs.unionAll(at)
-    else:
-        raise ValueError(f"sessions nest deeper than {levels} levels")
-    cost = x.usage_daily.groupBy("session_id").agg(F.sum("cost").alias("cost"))
-    return pairs.join(cost, "session_id", "left").groupBy(F.col("root").alias("session_id")).agg(F.count("*").alias("sessions"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 9).alias("cost"))
+def tree_rollup(x: Inputs) -> DataFrame:
+    """Size and cost of the subtree of subagents below every session, itself included."""
+    cost = x.usage_daily.groupBy(F.col("session_id").alias("node")).agg(F.sum("cost").alias("cost"))
+    nodes = x.sessions.select(F.col("session_id").alias("node"), F.when(F.col("relationship_type") == "subagent", F.col("parent_session_id")).alias("up"), F.lit(1).cast("long").alias("sessions"))
+    out = subtree_sums(nodes.join(cost, "node", "left").fillna(0.0, ["cost"]), ["sessions", "cost"])
+    return out.select(F.col("node").alias("session_id"), "sessions", F.round("cost", 9).alias("cost"))
 
 
 def window_page(x: Inputs, since: str, until: str, n: int = 100) -> DataFrame:

@@ -79,3 +79,34 @@ def stored(spark: SparkSession, key: tuple, seen: tuple, sources: Callable[[], d
         store.upsert(these, {name: build(these)})
     _STORED[key] = (seen, store, prints)
     return store.read(name)
+
+
+class Step:
+    """A table that rounds replace: each is written to the shared folder, which cuts its lineage, and the one before is deleted."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self._path, self._kept = df.sparkSession, None, False
+        self.next(df)
+
+    def next(self, df: DataFrame) -> None:
+        path, before = f"{shared_dir(self.spark)}/step-{uuid.uuid4().hex}", self._path
+        df.write.parquet(path)
+        self.df, self._path = self.spark.read.schema(df.schema).parquet(path), path
+        self._drop(before)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, which reads the last table, so that it stays."""
+        self._kept = True
+        return df
+
+    def _drop(self, path: str | None) -> None:
+        if path:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __enter__(self) -> Step:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if not self._kept:
+            self._drop(self._path)
