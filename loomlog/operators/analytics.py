@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlog.functions import quality
 from loomlog.functions.pricing import with_rates
 from loomlog.operators.signals import current
+from loomlog.sources.shared import shared_dir
+from loomlog.sources.versions import Version, Versions
 from loomlog.sources.views import Inputs
 
 CLASSES = ("input", "output", "cache_read", "cache_write")
@@ -109,6 +112,72 @@ def sparklines(x: Inputs, until: str, days: int = 14) -> DataFrame:
     return x.projects.select("project_id").join(got, "project_id", "left").select("project_id", F.array_join(F.coalesce(dense, F.array_repeat(F.lit(0).cast("long"), days)), ",").alias("tokens"))
 
 
+#: Columns of an assembled analytics read; what a part does not have is null.
+ASSEMBLED = "part string, label string, input long, output long, cache_read long, cache_write long, reasoning long, sessions long, cost double, savings double, hit_rate double"
+
+
+def assembled(x: Inputs, f: Filter = Filter()) -> DataFrame:
+    """Series, models, agents, users, their totals and the cache in one result, out of one read of the daily rollup.
+
+    The four splits are one grouping by sets; totals are the sum of the split by agent, so they agree with it.
+    """
+    w = window(x, f).join(x.users, "user_id", "left").withColumn("named", F.when(F.col("cost") == 0, "Other").otherwise(F.col("model")))
+    keys = {"day": "day", "model": "named", "agent": "agent", "user": "username"}
+    w = w.withColumn("day", F.col("day").cast("string"))
+    split = w.groupingSets([[F.col(c)] for c in keys.values()], *[F.col(c) for c in keys.values()]).agg(
+        F.grouping_id().alias("g"), *_sums(), F.sum("reasoning").alias("reasoning"), F.countDistinct("session_id").alias("sessions"), F.sum("cost").alias("cost"),
+    )
+    part = F.element_at(F.create_map(*[F.lit(v) for i, k in enumerate(keys) for v in (15 - (8 >> i), k)]), F.col("g").cast("int"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("savings", "hit_rate")]
+    own = [*CLASSES, "reasoning", "sessions"]
+    rows = split.select(part.alias("part"), F.coalesce(*keys.values()).alias("label"), *own, F.round("cost", 9).alias("cost"), *none).where("part <> 'user' OR label IS NOT NULL")
+    total = by_agent(x, f).agg(*_sums(), F.sum("reasoning").alias("reasoning"), F.sum("sessions").alias("sessions"), F.round(F.sum("cost"), 2).alias("cost"))
+    blank = F.lit(None).cast("string").alias("label")
+    cache = cache_stats(x, f).select(F.lit("cache").alias("part"), blank, *CLASSES, *[F.lit(None).cast("long").alias(c) for c in ("reasoning", "sessions")], F.lit(None).cast("double").alias("cost"), "savings", "hit_rate")
+    return rows.unionByName(total.select(F.lit("total").alias("part"), blank, *own, "cost", *none)).unionByName(cache)
+
+
+class Snapshots:
+    """Assembled reads, kept by name: each is published whole, so a reader never sees parts of two."""
+
+    def __init__(self, spark: SparkSession, path: str, most: int = 256):
+        self.table, self.most = Versions(spark, path, {"rows": ASSEMBLED}), most
+
+    def take(self, name: str, rows: DataFrame, stale: DataFrame, now: int, attempts: int = 20) -> bool:
+        """Keep rows under name as of now (seconds); not while `stale` has rows, say sessions that are to be derived again.
+
+        Rows equal to those that are kept only renew their time. Beyond `most` names, the oldest go.
+        """
+        if not stale.isEmpty():
+            return False
+        folder = self.table.write("rows", rows)
+        written = self.table.read("rows", Version(0, {"rows": [(0, folder)]}))
+        digest = [str(v) for v in written.agg(F.count("*"), F.bit_xor(F.xxhash64(*written.columns)), F.sum(F.pmod(F.xxhash64(F.lit(1), *written.columns), F.lit(1 << 31)))).first()]
+        for _ in range(attempts):
+            version = self.table.current()
+            held = dict(version.facts.get("held", {}))
+            same = held.get(name, {}).get("digest") == digest
+            held[name] = {"folder": held[name]["folder"] if same else folder, "digest": digest, "at": now}
+            held = dict(sorted(held.items(), key=lambda kv: -kv[1]["at"])[: self.most])
+            if self.table.publish(version, {"rows": [(0, h["folder"]) for h in held.values()]}, {"held": held}):
+                return True
+        raise RuntimeError(f"other writers published first {attempts} times")
+
+    def read(self, name: str, now: int, fresh: int = 60, stale: int = 900) -> tuple[str, DataFrame | None]:
+        """('fresh' or 'stale', rows), or ('missing', None) if there are none under name or they are too old."""
+        held = self.table.current().facts.get("held", {}).get(name)
+        if not held or now - held["at"] > stale:
+            return "missing", None
+        return ("fresh" if now - held["at"] <= fresh else "stale"), self.table.read("rows", Version(0, {"rows": [(0, held["folder"])]}))
+
+
+def snapshot(x: Inputs) -> DataFrame:
+    """The assembled read by way of a snapshot."""
+    kept = Snapshots(x.spark, f"{shared_dir(x.spark)}/snapshots-{uuid.uuid4().hex}")
+    kept.take("all", assembled(x), x.sessions.limit(0), 0)
+    return kept.read("all", 30)[1]
+
+
 def headline(x: Inputs, f: Filter = Filter()) -> DataFrame:
     """Totals, taken as the sum of the split by agent."""
     return by_agent(x, f).agg(*_sums(), F.round(F.sum("cost"), 2).alias("cost"), F.sum("sessions").alias("sessions"))
@@ -150,6 +219,11 @@ QUERIES = {
       t AS (SELECT project_id, date_diff('day', DATE '2025-06-30', occurred_at::DATE) + 29 AS i, sum({_T})::BIGINT AS n FROM w GROUP BY 1, 2)
       SELECT d.project_id, string_agg(coalesce(n, 0), ',' ORDER BY d.i) AS tokens FROM d LEFT JOIN t ON d.project_id = t.project_id AND d.i = t.i GROUP BY 1"""),
     "G8_headline": (headline, f", {_W}, a AS (SELECT agent, {_B} FROM w GROUP BY 1) SELECT {_S}, round(sum(cost), 2) AS cost, sum(sessions)::BIGINT AS sessions FROM a"),
+    "G8_analytics": (snapshot, f""", {_W}, a AS (SELECT agent, {_B} FROM w GROUP BY 1), s AS (SELECT 'day' AS part, occurred_at::DATE::VARCHAR AS label, {_B} FROM w GROUP BY 2
+      UNION ALL SELECT 'model', CASE WHEN cost = 0 THEN 'Other' ELSE model END, {_B} FROM w GROUP BY 2 UNION ALL SELECT 'agent', agent, {_B} FROM w GROUP BY 2 UNION ALL SELECT 'user', username, {_B} FROM w JOIN users USING (user_id) GROUP BY 2
+      UNION ALL SELECT 'total', NULL, {_S}, sum(reasoning)::BIGINT, sum(sessions)::BIGINT, round(sum(cost), 2) FROM a)
+      SELECT *, NULL::DOUBLE AS savings, NULL::DOUBLE AS hit_rate FROM s
+      UNION ALL SELECT 'cache', NULL, {_S}, NULL, NULL, NULL, round(sum(savings), 9), round(sum(cache_read) / sum(input + cache_read + cache_write), 6) FROM w"""),
     "G9_average_score": (average_score, " SELECT round(avg(sig_score), 6) AS avg_score, count(*) AS graded FROM graded WHERE sig_grade <> ''"),
     "G10_activity_strip": (activity_strip, """, p AS (SELECT session_id, epoch_us(started_at) AS lo, epoch_us(ended_at) AS hi FROM sessions WHERE ended_at > started_at),
       t AS (SELECT session_id, lo, hi, lo + epoch_us(occurred_at) % (hi - lo + 1) AS t FROM ledger JOIN p USING (session_id) WHERE occurred_at IS NOT NULL)

@@ -361,19 +361,3 @@ def insights(x: Inputs, panels: tuple[str, ...] = tuple(PANELS)) -> dict[str, Da
     if unknown := set(panels) - set(PANELS):
         raise ValueError(f"unknown panels {sorted(unknown)}, known are {sorted(PANELS)}")
     return {f.__name__: f(x) for name in dict.fromkeys(("quality", *panels)) for f in PANELS[name]}
-
-
-#: What is laid on the grid, so has a row for each bucket.
-ON_GRID = [f for fs in PANELS.values() for f in fs if f not in (fleet_mix, tool_scatter, category_mix, churn_tree)]
-
-
-def every_panel(x: Inputs) -> DataFrame:
-    """(panel, buckets, first, last) of all panels on the grid, out of one pass over one snapshot."""
-    out = insights(x)
-    return reduce(DataFrame.unionAll, [out[f.__name__].agg(F.count("*").alias("buckets"), F.min("bucket").alias("first"), F.max("bucket").alias("last")).select(F.lit(f.__name__).alias("panel"), "*") for f in ON_GRID])
-
-
-def selected(x: Inputs) -> DataFrame:
-    """The outputs of a selection, repeated names once, the quality core always."""
-    names = list(insights(x, ("mix", "churn", "mix")))
-    return x.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, panel string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlog.operators import insights as I
+from loomlog.operators.windows import WINDOWS, window_values
 from loomlog.plans.derivations import CHURN_SQL, CONTEXT_SQL, HOURLY_SQL, HYGIENE_SQL, TURNS_SQL
 from loomlog.sources.views import AS_OF
 
@@ -38,6 +39,41 @@ _TOKS = "input + output + cache_read + cache_write"
 _GALLERY = f"""{_GRID}, sc AS (SELECT session_id, sum(cost) AS cost FROM ledger GROUP BY 1),
  gal AS (SELECT session_id, round(minutes * 60, 3) AS duration_s, round(coalesce(cost, 0), 9) AS cost, archetype, coalesce(sig_grade, '') AS grade, coalesce(sig_outcome, 'unknown') AS outcome FROM coh LEFT JOIN sc USING (session_id) WHERE ended_at >= started_at)"""
 
+#: The clock of the pass over several windows; every window up to it has sessions.
+CLOCK = "2024-06-15 12:00:00"
+_COUNTS = {f"grade_{g}": f"count(*) FILTER (sig_grade = '{g}')" for g in "ABCDF"} | {a: f"count(*) FILTER (archetype = '{a}')" for a in ("quick", "standard", "deep", "marathon", "automation")}
+_OUTCOMES = {o: f"count(*) FILTER (coalesce(sig_outcome, 'unknown') = '{o}')" for o in ("completed", "abandoned", "errored")}
+_COST_OF = lambda test: f"sum(CASE WHEN {test} THEN cost ELSE 0 END)"
+#: By panel: its rows with an instant `t`, and its values.
+_PARTS = {
+    "quality": [("SELECT *, started_at AS t FROM graded", {"sessions": "count(*)", "wall_hours": "sum(minutes) / 60"} | _OUTCOMES | _COUNTS)],
+    "hygiene": [("SELECT h.*, started_at AS t FROM hyg h JOIN sessions s USING (session_id) WHERE NOT signals_stale", {k: f"sum({k})" for k in ("prompts", "short", "no_code", "duplicate")} | {"unstructured": "count(*) FILTER (unstructured)"})],
+    "context": [("SELECT c.*, started_at AS t FROM ctxh c JOIN sessions USING (session_id)", {"resets": "sum(context_resets)", "peak": "max(peak_context)"})],
+    "economics": [(
+        "SELECT l.*, coalesce(sig_outcome, '') AS o, relationship_type, occurred_at::DATE::TIMESTAMP AS t FROM ledger l JOIN graded USING (session_id) WHERE occurred_at IS NOT NULL",
+        {"cost": "sum(cost)", "savings": "sum(savings)", "tokens": f"sum({_TOKS})", "hit_rate": "sum(cache_read) / nullif(sum(input + cache_read + cache_write), 0)"}
+        | {"cost_completed": _COST_OF("o = 'completed'"), "cost_abandoned": _COST_OF("o = 'abandoned'"), "cost_subagents": _COST_OF("relationship_type = 'subagent'")},
+    )],
+    "velocity": [
+        ("SELECT *, day::TIMESTAMP AS t FROM hourly", {"active_hours": "sum(active_seconds) / 3600", "messages": "sum(messages)", "tool_calls": "sum(tool_calls)"}),
+        ("SELECT *, prompt_at AS t FROM session_turns", {f"p{p}": f"quantile_cont(response_secs, 0.{p})" for p in (50, 90, 99)}),
+    ],
+    "tools": [("SELECT c.status, started_at AS t FROM tool_calls c JOIN sessions USING (session_id)", {"calls": "count(*)", "failures": "count(*) FILTER (status = 'error')"})],
+    "churn": [("SELECT c.*, started_at AS t FROM churn c JOIN sessions USING (session_id)", {"edits": "sum(edits)", "paths": "count(*)"})],
+}
+
+
+def _values(panels: list[str]) -> str:
+    end = "TIMESTAMP '2024-06-16'"
+    wins = ", ".join(f"('{n}', {f'{end} - INTERVAL {d} DAY' if d else chr(39) + '1900-01-01' + chr(39) + '::TIMESTAMP'}, '{u}')" for n, (d, u) in WINDOWS.items())
+    each = []
+    for p in panels:
+        for rows, values in _PARTS[p]:
+            body = f"SELECT win, CASE unit WHEN 'day' THEN t::DATE ELSE date_trunc('week', t)::DATE END AS bucket, {', '.join(f'round(({v})::DOUBLE, 9) AS {n}' for n, v in values.items())} FROM ({rows}) r JOIN wn ON t >= lo AND t < {end} GROUP BY 1, 2"
+            each.append(f"SELECT '{p}' AS panel, win, bucket::VARCHAR AS bucket, unnest([{', '.join(repr(n) for n in values)}]) AS metric, unnest([{', '.join(values)}]) AS value FROM ({body})")
+    return TURNS_SQL + HOURLY_SQL + CHURN_SQL + CONTEXT_SQL + HYGIENE_SQL + f", wn AS (SELECT * FROM (VALUES {wins}) w(win, lo, unit)) SELECT * FROM ({' UNION ALL '.join(each)}) WHERE value IS NOT NULL"
+
+
 QUERIES = {
     "H1_grades": (I.grade_distribution, _filled(["A", "B", "C", "D", "F", ""], "SELECT coalesce(sig_grade, '') AS key, count(*) AS n FROM graded GROUP BY 1")),
     "H1_outcomes": (I.outcome_distribution, _filled(["completed", "abandoned", "errored", "unknown"], "SELECT coalesce(sig_outcome, 'unknown') AS key, count(*) AS n FROM graded GROUP BY 1")),
@@ -81,6 +117,6 @@ QUERIES = {
     "I25_subagent_cost": (I.subagent_cost, _trend("SELECT bucket, round(100.0 * sum(CASE WHEN relationship_type = 'subagent' THEN cost ELSE 0 END) / sum(cost), 6) AS share FROM du JOIN sessions USING (session_id) GROUP BY 1", ["share"])),
     "I26_tree_depth": (I.deepest_tree, ", z AS (SELECT session_id, 1 AS depth FROM sessions WHERE parent_session_id IS NULL UNION ALL SELECT s2.session_id, 2 FROM sessions s2 JOIN sessions s1 ON s2.parent_session_id = s1.session_id WHERE s1.parent_session_id IS NULL UNION ALL SELECT s3.session_id, 3 FROM sessions s3 JOIN sessions s2 ON s3.parent_session_id = s2.session_id JOIN sessions s1 ON s2.parent_session_id = s1.session_id) SELECT depth, count(*) AS sessions FROM z GROUP BY 1"),
     "I1_days": (lambda x: I.grid(x, "30d"), f" SELECT strftime(t, '%Y-%m-%d') AS bucket, strftime(t, '%b %-d') AS label FROM (SELECT unnest(generate_series(TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY, TIMESTAMP '{AS_OF}', INTERVAL 1 DAY)) AS t)"),
-    "I27_panels": (I.every_panel, _GRID + ", p AS (SELECT unnest([" + ", ".join(f"'{f.__name__}'" for f in I.ON_GRID) + "]) AS panel) SELECT panel, count(*) AS buckets, min(bucket)::VARCHAR AS first, max(bucket)::VARCHAR AS last FROM p, grid GROUP BY 1"),
-    "I28_selection": (I.selected, " SELECT (row_number() OVER () - 1)::INT AS place, panel FROM (SELECT unnest(['grade_trend', 'outcome_trend', 'archetype_trend', 'fleet_mix', 'churn_trend', 'churn_tree']) AS panel)"),
+    "I27_panels": (lambda x: window_values(x, CLOCK), _values(list(_PARTS))),
+    "I28_selection": (lambda x: window_values(x, CLOCK, ("churn", "tools", "churn")), _values(["quality", "churn", "tools"])),
 }

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlog.operators import insights, project, rollups
+from loomlog.operators.analytics import ASSEMBLED, Snapshots
 from loomlog.operators.quantiles import quantiles
+from loomlog.operators.windows import window_values
 from loomlog.sources import raw, shared
 from loomlog.sources.views import Inputs
 from loomlog.streaming import rederive
@@ -149,3 +151,29 @@ def test_quantiles_by_hand(spark):
         v = sorted(x for i, x in data if i == k)
         assert [got[k][c] for c in "amze"] == pytest.approx([np.quantile(v, p) for p in (0, 0.5, 0.97, 1)], abs=1e-12)
         assert [disc[k]["m"], disc[k]["z"]] == [v[math.ceil(p * len(v)) - 1] for p in (0.5, 0.97)]
+
+
+def test_snapshots_are_whole_gated_and_renewed(spark, tmp_path):
+    one, two = (Snapshots(spark, str(tmp_path / "s"), most=2) for _ in range(2))
+    rows = lambda n: spark.createDataFrame([("day", str(i), n, 0, 0, 0, 0, 1, float(i), None, None) for i in range(3)], ASSEMBLED)
+    none, some = spark.range(0), spark.range(1)
+    assert not one.take("a", rows(1), some, 100) and one.read("a", 100) == ("missing", None)
+    assert one.take("a", rows(1), none, 100)
+    state, old = one.read("a", 160)
+    assert state == "fresh" and one.read("a", 161)[0] == "stale" and one.read("a", 1001)[0] == "missing"
+    folder = one.table.current().facts["held"]["a"]["folder"]
+    assert two.take("a", rows(1), none, 500) and one.table.current().facts["held"]["a"]["folder"] == folder and one.read("a", 500)[0] == "fresh"
+    assert two.take("a", rows(2), none, 600) and {r["input"] for r in old.collect()} == {1} and {r["input"] for r in one.read("a", 600)[1].collect()} == {2}
+    for i, name in enumerate("bc"):
+        one.take(name, rows(3 + i), none, 700 + i)
+    assert set(one.table.current().facts["held"]) == {"b", "c"}
+
+
+def test_window_values_take_panels_and_read_each_table_once(spark, tiny):
+    x = Inputs(spark, tiny)
+    with pytest.raises(ValueError, match="nope"):
+        window_values(x, "2024-06-15 12:00:00", ("nope",))
+    df = window_values(x, "2024-06-15 12:00:00", ("tools",))
+    assert {r["panel"] for r in df.select("panel").distinct().collect()} == {"quality", "tools"}
+    plan = window_values(x, "2024-06-15 12:00:00", ("economics",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 4  # a panel has one placing in windows and one list of values
