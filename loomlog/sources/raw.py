@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -119,28 +124,96 @@ def local_project(machine: Column, cwd: Column, root: Column) -> Column:
     return F.struct(F.concat(F.lit("local:"), F.coalesce(machine, F.lit("")), F.lit(":"), place).alias("key"), F.when(name == "", "(unknown location)").otherwise(name).alias("display_name"))
 
 
-def discover(spark, root: str, agent: str) -> DataFrame:
-    """A1: (path, bytes, modified) of an agent's log files below root, in any folder; format B's are named rollout-*. Empty files are left out."""
-    glob = "rollout-*.jsonl" if agent == "format_b" else "*.jsonl"
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+def _pattern(glob: str) -> str:
+    """A glob as a regular expression: `**` stands for any folders, `*` and `?` for letters within one name."""
+    out = re.escape(glob).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    return f"(?:^|/){out}(?:$|/)"
+
 
+def discover(spark: SparkSession, root: str, agent: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """A1: (path, bytes, modified) of an agent's log files below root, in any folder; format B's are named rollout-*.
 
-def file_lines(spark, root: str, agent: str) -> DataFrame:
-    """A1/A2: (session_id, agent, byte_offset, line) of the files of discover; a file is a session, named by its path."""
+    Left out are empty files and those whose path below root, or a folder of it, matches a glob of `exclude`. Spark
+    lists the files; their content is not read. Links to folders are not followed where the file system tells them apart.
+    """
     glob = "rollout-*.jsonl" if agent == "format_b" else "*.jsonl"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    text = files.select(F.col("path").alias("session_id"), F.col("content").cast("string").alias("text"))
-    return lines_with_offsets(text, "session_id", "text").withColumn("agent", F.lit(agent))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + re.escape("/" + re.sub(r"^[a-z]+:/+", "/", root).strip("/") + "/"), "")
+    for g in exclude:
+        found = found.where(~below.rlike(_pattern(g)))
+    return found.where("length > 0").select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
-def _sent(x: Inputs) -> DataFrame:
-    """Chunks, some sent again later and some with a false offset or a cut line."""
-    c = chunks(x.messages).select("session_id", F.col("ordinal").alias("seq"), "byte_offset", "data")
-    again = c.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 1000)
-    false = c.where("seq % 4 = 1").withColumns({"seq": F.col("seq") + 2000, "byte_offset": F.col("byte_offset") + 1})
-    cut = c.where("seq % 5 = 2").withColumns({"seq": F.col("seq") - 1000, "data": F.lit("no end of line")})
-    return c.unionAll(again).unionAll(false).unionAll(cut)
+def discover_all(spark: SparkSession, roots: dict[str, str], env: dict[str, str] | None = None, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """A1: (agent, path, bytes, modified) of all agents, and a notice for each root that is not there.
+
+    roots: the folder of each agent; env, by agent, the folders that override them (from environment variables of the
+    caller's choice). A missing root is no error, as few machines have all agents.
+    """
+    out, notices = spark.createDataFrame([], "agent string, path string, bytes long, modified timestamp"), []
+    for agent, root in (roots | {a: r for a, r in (env or {}).items() if r}).items():
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            out = out.unionByName(discover(spark, root, agent, exclude).withColumn("agent", F.lit(agent)))
+        else:
+            notices.append(f"{agent}: no folder {root}")
+    return out, notices
+
+
+def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a task in their order, with the bytes before each in its own byte range (path, start)."""
+    now, base = None, 0
+    for batch in batches:
+        sizes = np.asarray(pc.add(pc.binary_length(batch.column("line").cast(pa.binary())), 1)).astype(np.int64)
+        keys = list(zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True))
+        before, i = np.empty(len(sizes), np.int64), 0
+        while i < len(keys):
+            j = next((k for k in range(i + 1, len(keys)) if keys[k] != keys[i]), len(keys))
+            if keys[i] != now:
+                now, base = keys[i], 0
+            run = np.cumsum(sizes[i:j])
+            before[i:j], base, i = base + run - sizes[i:j], base + int(run[-1]), j
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("start"), pa.array(before), batch.column("line")], ["path", "start", "before", "line"])
+
+
+def file_lines(spark: SparkSession, root: str, agent: str) -> DataFrame:
+    """A1/A2: (session_id, agent, byte_offset, line) of the files of discover; a file is a session, named by its path.
+
+    Files are split into byte ranges that are read in parallel (spark.sql.files.maxPartitionBytes), so their size is not
+    bounded by a task. A first pass adds up the bytes of each range's lines, a running sum over a file's ranges gives
+    the place of its first line, and the second pass counts on from there in the order of lines. Offsets are those of
+    the raw bytes: blank lines advance them, carriage returns are bytes, and so is a byte order mark, which the reader
+    takes off the first line. Files must not change between the passes. A table of one row a range is joined.
+    """
+    glob = "rollout-*.jsonl" if agent == "format_b" else "*.jsonl"
+    text = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
+    at = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"))
+    ranges = at.groupBy("path", "start").agg(F.max("size").alias("size"), F.sum(F.octet_length("line").cast("long") + 1).alias("bytes"))
+    upto = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    # what lines hold is the file's size, or one more without a last line end; if three bytes lack, they are the mark
+    mark = F.when(F.sum("bytes").over(W.partitionBy("path")) <= F.col("size") - 2, 3).otherwise(0)
+    ranges = ranges.select("path", "start", (F.coalesce(F.sum("bytes").over(upto), F.lit(0)) + mark).alias("base"), mark.alias("mark"))
+    placed = at.select("path", "start", "line").mapInArrow(_offsets, "path string, start long, before long, line string").join(ranges, ["path", "start"])
+    first = (F.col("base") == F.col("mark")) & (F.col("before") == 0)
+    offset = F.when(first, 0).otherwise(F.col("base") + F.col("before"))
+    return placed.select(F.col("path").alias("session_id"), F.lit(agent).alias("agent"), offset.cast("long").alias("byte_offset"), F.regexp_replace("line", _ENDS, "").alias("line")).where("line <> ''")
+
+
+def _read_ranges(x: Inputs) -> DataFrame:
+    """A1: the messages, written as files of eight sessions' logs each, and read back by byte ranges."""
+    root = f"{shared_dir(x.spark)}/logs-{uuid.uuid4().hex}"
+    logs = x.messages.select((F.col("session_id") % 8).alias("bucket"), "session_id", "ordinal", F.col("content").alias("value"))
+    # one file a bucket, in the order of sessions
+    logs.repartition("bucket").sortWithinPartitions("bucket", "session_id", "ordinal").select("bucket", "value").write.partitionBy("bucket").text(root)
+    # the glob of discovery wants its own ending
+    fs, at = x.spark._jvm.org.apache.hadoop.fs, x.spark._jvm.org.apache.hadoop.fs.Path(root)
+    on = at.getFileSystem(x.spark._jsc.hadoopConfiguration())
+    for folder in on.listStatus(at):
+        for i, f in enumerate(on.listStatus(folder.getPath()) if folder.isDirectory() else []):
+            if f.getPath().getName().startswith("part-"):
+                on.rename(f.getPath(), fs.Path(f"{folder.getPath().toString()}/{i}.jsonl"))
+    lines = file_lines(x.spark, root, "format_a").withColumn("bucket", F.regexp_extract("session_id", "bucket=([0-9]+)", 1).cast("long"))
+    return lines.groupBy("bucket").agg(F.count("*").alias("lines"), F.sum("byte_offset").alias("offsets"), F.max("byte_offset").alias("last"), F.sum(F.octet_length("line")).alias("bytes"))
 
 
 def _log(x: Inputs, block: int = 512) -> AppendLog:
@@ -179,6 +252,9 @@ def _remotes(x: Inputs) -> DataFrame:
 
 
 QUERIES = {
+    "A1_byte_ranges": (_read_ranges, """, ln AS (SELECT session_id % 8 AS bucket, session_id, ordinal, unnest(range(len(string_split(content, chr(10))))) AS pos, unnest(string_split(content, chr(10))) AS raw FROM messages),
+ o AS (SELECT bucket, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY bucket ORDER BY session_id, ordinal, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_offset, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM ln)
+ SELECT bucket, count(*) AS lines, sum(byte_offset)::BIGINT AS offsets, max(byte_offset)::BIGINT AS last, sum(strlen(line))::BIGINT AS bytes FROM o WHERE line <> '' GROUP BY 1"""),
     "A2_line_offsets": (lambda x: lines_with_offsets(_docs(x), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("byte_offset").alias("offsets"), F.max("byte_offset").alias("last"), F.sum(F.octet_length("line")).alias("bytes")),
         """, w AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents),
  o AS (SELECT *, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_offset, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM w)

@@ -70,13 +70,44 @@ def test_null_keys_stay_in_usage_dedup(spark):
     assert sorted((r["dedup_key"] or "", r["source_offset"]) for r in project.dedup_usage(df).collect()) == [("", 0), ("", 0), ("", 1), ("k", 2)]
 
 
-def test_discovery_and_lines_of_files(spark, tmp_path):
-    for name, text in (("a/rollout-1.jsonl", '{"n":1}\n\n{"n":2}\n'), ("a/b/rollout-2.jsonl", "y\n"), ("a/other.jsonl", "x\n"), ("a/rollout-3.txt", "x\n")):
+def test_discovery(spark, tmp_path):
+    for name, text in (("a/rollout-1.jsonl", "x\n"), ("a/b/rollout-2.jsonl", "y\n"), ("a/other.jsonl", "x\n"), ("a/rollout-3.txt", "x\n"), ("a/rollout-4.jsonl", ""), ("a/old/c/rollout-5.jsonl", "x\n"), ("a/tmp-1/rollout-6.jsonl", "x\n")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
-    assert sorted(r["path"].rsplit("/", 1)[1] for r in raw.discover(spark, str(tmp_path), "format_b").collect()) == ["rollout-1.jsonl", "rollout-2.jsonl"]
-    assert raw.discover(spark, str(tmp_path), "format_a").count() == 3
-    assert sorted((r["byte_offset"], r["line"]) for r in raw.file_lines(spark, str(tmp_path), "format_b").collect()) == [(0, "y"), (0, '{"n":1}'), (9, '{"n":2}')]
+    names = lambda df: sorted(r["path"].rsplit("/", 1)[1] for r in df.collect())
+    assert names(raw.discover(spark, str(tmp_path), "format_b")) == ["rollout-1.jsonl", "rollout-2.jsonl", "rollout-5.jsonl", "rollout-6.jsonl"]
+    assert names(raw.discover(spark, str(tmp_path), "format_b", exclude=("old", "tmp-?"))) == ["rollout-1.jsonl", "rollout-2.jsonl"]
+    assert names(raw.discover(spark, str(tmp_path / "a"), "format_a", exclude=("**/c/*", "rollout-[12].jsonl", "b/**"))) == ["other.jsonl", "rollout-1.jsonl", "rollout-6.jsonl"]
+    files, notices = raw.discover_all(spark, {"format_a": str(tmp_path / "a"), "format_b": "/no/such/root"}, env={"format_a": str(tmp_path / "a/b"), "format_c": ""})
+    assert names(files) == ["rollout-2.jsonl"] and notices == ["format_b: no folder /no/such/root"]
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 20])
+def test_lines_of_files_by_byte_ranges(spark, tmp_path, size):
+    """Ranges cut lines anywhere; offsets are those of the raw bytes, with and without a last line end, a mark or blank lines."""
+    rng = random.Random(size)
+    line = lambda: rng.choice(["", " ", '{"n":1}', "é" * rng.randrange(30), "x" * rng.randrange(90), "a\r"])
+    want = {}
+    for i in range(12):
+        data = ("\n".join(line() for _ in range(rng.randrange(1, 30))) + rng.choice(["", "\n"])).encode()
+        data = b"\xef\xbb\xbf" * (i % 4 == 1) + data
+        (tmp_path / f"{i}.jsonl").write_bytes(data)
+        at = 0
+        for raw_line in data.split(b"\n"):
+            said = raw_line.removeprefix(b"\xef\xbb\xbf").decode().strip(" \r")
+            if said:
+                want[f"{i}.jsonl", at] = said
+            at += len(raw_line) + 1
+    conf = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {(r["session_id"].rsplit("/", 1)[1], r["byte_offset"]): r["line"] for r in raw.file_lines(spark, str(tmp_path), "format_a").collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want
 
 
 def test_lines_are_stripped_of_ascii_blanks_alone(spark):
