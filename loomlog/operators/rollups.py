@@ -67,8 +67,9 @@ class SessionStore:
 
     SPINE = "session_id long, seen long"
 
-    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str], fold: int = 8):
-        self.spark, self.schemas, self.fold = spark, schemas, fold
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str], fold: int = 8, sort: dict[str, str] | None = None):
+        """sort names the column that a table's base is sorted by, where that is not session_id, say the key of an index."""
+        self.spark, self.schemas, self.fold, self.sort = spark, schemas, fold, sort or {}
         self.versions = Versions(spark, path, {**schemas, "sessions": self.SPINE, **{f"{t}@": self.SPINE for t in schemas}})
 
     def _latest(self, table: str, version: Version) -> DataFrame | None:
@@ -94,7 +95,8 @@ class SessionStore:
     def _folded(self, table: str, parts: dict) -> dict:
         """Rows and sessions of a table as one base."""
         version = Version(0, parts)
-        rows = self.read(table, version).repartitionByRange("session_id").sortWithinPartitions("session_id")
+        by = self.sort.get(table, "session_id")
+        rows = self.read(table, version).repartitionByRange(by).sortWithinPartitions(by)
         spine = self.versions.read(f"{table}@", version).groupBy("session_id").agg(F.max("seen").alias("seen"))
         return {table: [(1, self.versions.write(table, rows))], f"{table}@": [(1, self.versions.write("sessions", spine))]}
 
@@ -102,7 +104,10 @@ class SessionStore:
         """Make derived rows count for the sessions of changed(session_id, and seen if it has it), in the tables that derived names."""
         seen = F.col("seen") if "seen" in changed.columns else F.lit(0)
         spine = self.versions.write("sessions", changed.groupBy("session_id").agg(F.max(seen.cast("long")).alias("seen")))
-        fresh = {t: self.versions.write(t, df.selectExpr(*self._columns(t))) for t, df in derived.items()}
+        fresh = {}
+        for t, df in derived.items():
+            rows, by = df.selectExpr(*self._columns(t)), self.sort.get(t)
+            fresh[t] = self.versions.write(t, rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows)
         for _ in range(attempts):
             version = self.versions.current()
             parts = {}

@@ -51,10 +51,37 @@ def matching(x: Inputs, f: Feed) -> DataFrame:
     return s if f.search is None else s.join(search(x, f.search).select("session_id"), "session_id", "left_semi")
 
 
+def grams(messages: DataFrame) -> DataFrame:
+    """(session_id, gram): hashes of the runs of three letters, in lower case, that a session's messages hold; once each."""
+    letters = messages.select("session_id", F.split(F.lower("content"), "").alias("c"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda i: F.xxhash64(F.element_at("c", i), F.element_at("c", i + 1), F.element_at("c", i + 2)))
+    return letters.where(F.size("c") > 2).select("session_id", F.explode(F.array_distinct(runs)).alias("gram")).distinct()
+
+
+def _candidates(x: Inputs, needle: str, asked: int = 8, used: int = 4) -> DataFrame | None:
+    """Sessions that hold the rarest of some runs of the needle, out of the index; None for needles that are too short for it.
+
+    The index is sorted by gram, so the few grams that are asked for are read from the row groups that hold them.
+    """
+    runs = sorted(r["gram"] for r in grams(x.spark.createDataFrame([(0, needle)], "session_id long, content string")).collect())
+    if not runs:
+        return None
+    hashes = runs[:asked]  # in the order of hashes, so as good as drawn
+    count = {r["gram"]: r["n"] for r in x.grams.where(F.col("gram").isin(hashes)).groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    rarest = sorted(hashes, key=lambda h: count.get(h, 0))[:used]
+    return x.grams.where(F.col("gram").isin(rarest)).groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("session_id")
+
+
 def search(x: Inputs, text: str) -> DataFrame:
-    """Messages that hold the text literally, whatever its case; at most its first 200 bytes count."""
+    """Messages that hold the text literally, whatever its case; at most its first 200 bytes count.
+
+    Sessions are looked up in an index of trigrams, which follows its messages session by session, and their messages
+    are then compared as a whole. Needles of one or two letters compare all messages.
+    """
     needle = text.encode()[:200].decode(errors="ignore").lower()
-    return x.messages.where(F.lower("content").contains(needle)).withColumn("at", F.locate(needle, F.lower("content")))
+    held = _candidates(x, needle)
+    messages = x.messages if held is None else x.messages.join(held, "session_id", "left_semi")
+    return messages.where(F.lower("content").contains(needle)).withColumn("at", F.locate(needle, F.lower("content")))
 
 
 def snippets(x: Inputs, text: str) -> DataFrame:

@@ -46,7 +46,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
 _STORED: dict[tuple, tuple] = {}
 
 
-def stored(spark: SparkSession, key: tuple, seen: tuple, sources: Callable[[], dict[str, DataFrame]], build: Callable[[DataFrame | None], DataFrame], own: type) -> DataFrame:
+def stored(spark: SparkSession, key: tuple, seen: tuple, sources: Callable[[], dict[str, DataFrame]], build: Callable[[DataFrame | None], DataFrame], own: Callable) -> DataFrame:
     """The session-grained table build(None), kept in a store (`own`) that follows its sources.
 
     seen is the listing of the inputs. While it stays the same, the store is read. When it changes, sessions whose

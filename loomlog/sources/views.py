@@ -98,7 +98,7 @@ class Inputs:
     messages = cached_property(lambda self: self._view("messages"))
     calls = cached_property(lambda self: self._view("calls"))
 
-    def _stored(self, name: str, sources: tuple[str, ...], build: Callable[[Inputs], DataFrame]) -> DataFrame:
+    def _stored(self, name: str, sources: tuple[str, ...], build: Callable[[Inputs], DataFrame], sort: str | None = None) -> DataFrame:
         """A session-grained table that a deployment keeps: derived once, then read; sessions whose sources change are derived again."""
         from loomlog.operators.rollups import SessionStore
 
@@ -106,7 +106,7 @@ class Inputs:
             return build(self)
         seen = listing(self.spark, *sorted({f"{self.sf_dir}/{t}.parquet" for s in sources for t in _FROM[s]}))
         views = lambda: {s: getattr(self, s) for s in sources}
-        return stored(self.spark, (self.sf_dir, name), seen, views, lambda these: build(self if these is None else Inputs(self.spark, self.sf_dir, these)), SessionStore)
+        return stored(self.spark, (self.sf_dir, name), seen, views, lambda these: build(self if these is None else Inputs(self.spark, self.sf_dir, these)), lambda *a: SessionStore(*a, sort={name: sort} if sort else {}))
 
     @cached_property
     def ledger(self) -> DataFrame:
@@ -151,6 +151,12 @@ class Inputs:
 
         return self._stored("context_health", ("usage",), lambda x: context_health(x.ledger))
 
+    @cached_property
+    def grams(self) -> DataFrame:
+        from loomlog.operators.sessions import grams
+
+        return self._stored("grams", ("messages",), lambda x: grams(x.messages), sort="gram")
+
     @cached_property
     def tool_calls(self) -> DataFrame:
         from loomlog.operators.project import dedup_calls

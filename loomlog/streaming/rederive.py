@@ -1,12 +1,9 @@
-"""Incremental derivation: any new line of a session derives that whole session again, so late lines are never dropped."""
+"""Which sessions are to be derived, and how long a failure waits; see drain for the deriving."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def backoff_seconds(failures: Column, first: int = 30, most: int = 3600) -> Column:
@@ -19,26 +16,3 @@ def due(state: DataFrame, epoch: int, now: Column) -> DataFrame:
     retry = F.col("retry_at").isNotNull() & (F.col("retry_at") <= now)
     pinned = F.col("failed_epoch").eqNullSafe(F.lit(epoch)) & (F.col("failed_bytes") == F.col("raw_bytes"))
     return state.where(retry | (~pinned & F.col("retry_at").isNull() & ((F.col("raw_bytes") > F.col("parsed_bytes")) | (F.col("epoch") < epoch))))
-
-
-def rederive(lines: DataFrame, derive: Callable[[DataFrame], DataFrame], raw: str, out: str, checkpoint: str, slots: int = 256, **options) -> StreamingQuery:
-    """Start a stream over lines (session_id, byte_offset, line) that keeps `out` equal to derive(all lines).
-
-    A batch is stored under its number, so a replay overwrites itself, and lines that arrive twice count once by
-    (session_id, byte_offset). Sessions are dealt to `slots` partitions by hash; the slots that a batch touches (at
-    most `slots` numbers on the driver) are read back, derived and overwritten, the others are not read. derive gets
-    whole sessions and must keep session_id.
-    """
-    slot = lambda: F.pmod(F.xxhash64("session_id"), F.lit(slots)).cast("int")
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.withColumn("slot", slot()).write.mode("overwrite").partitionBy("slot").parquet(f"{raw}/batch={number}")
-        stored = spark.read.option("basePath", raw).parquet(f"{raw}/batch=*")
-        touched = [r["slot"] for r in stored.where(F.col("batch") == number).select("slot").distinct().collect()]
-        if touched:
-            whole = stored.where(F.col("slot").isin(touched)).dropDuplicates(["session_id", "byte_offset"]).drop("batch", "slot")
-            done = derive(whole).withColumn("slot", slot())
-            done.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(out)
-
-    return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()

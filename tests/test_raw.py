@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.operators import insights, project, rollups
+from loomlog.operators import insights, project, rollups, sessions
 from loomlog.operators.analytics import ASSEMBLED, Snapshots
 from loomlog.operators.quantiles import quantiles
 from loomlog.operators.windows import window_values
@@ -51,19 +51,6 @@ def test_due(spark):
     assert {r["s"] for r in rederive.due(df, 3, F.lit(150)).collect()} == {"new bytes", "old epoch", "pinned, new bytes", "retry"}
 
 
-def test_late_and_repeated_lines_rederive_whole_sessions(spark, tmp_path):
-    schema, src = "session_id long, byte_offset long, line string", str(tmp_path / "in")
-    batches = [[(1, 0, "a"), (1, 2, "b"), (2, 0, "x")], [(1, 2, "b"), (1, 4, "c")], [(2, 2, "y"), (3, 0, "z")]]
-    derive = lambda df: df.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("byte_offset", "line"))), lambda x: x["line"]), "").alias("text"))
-    got = []
-    for b in batches:
-        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(schema).parquet(src)
-        rederive.rederive(stream, derive, str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "ck"), slots=8).awaitTermination()
-        got.append({r["session_id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()})
-    assert got == [{1: "ab", 2: "x"}, {1: "abc", 2: "x"}, {1: "abc", 2: "xy", 3: "z"}]
-
-
 def test_null_keys_stay_in_usage_dedup(spark):
     schema = "session_id long, dedup_key string, source_offset long, source_index long, model string, input long, output long, occurred_at timestamp"
     df = spark.createDataFrame([(1, None, 0, 0, "m", 1, 1, None), (1, None, 0, 0, "m", 1, 1, None), (1, "", 1, 0, "m", 1, 1, None), (1, "k", 2, 0, "m", 1, 1, None), (1, "k", 3, 0, "m", 2, 1, None)], schema)
@@ -208,3 +195,18 @@ def test_window_values_take_panels_and_read_each_table_once(spark, tiny):
     assert {r["panel"] for r in df.select("panel").distinct().collect()} == {"quality", "tools"}
     plan = window_values(x, "2024-06-15 12:00:00", ("economics",))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 4  # a panel has one placing in windows and one list of values
+
+
+def test_search_by_index_finds_what_a_scan_finds(spark, tiny):
+    x = Inputs(spark, tiny)
+    words = sorted({w for r in x.messages.limit(40).select("content").collect() for w in r["content"].split() if len(w) > 3})
+    needles = [*words[:: len(words) // 3], "THE", "é", "no such needle", x.messages.select("content").first()[0][5:60].upper()]
+    for needle in needles:
+        scan = x.messages.where(F.lower("content").contains(needle.lower()))
+        assert sorted(map(tuple, sessions.search(x, needle).select("session_id", "ordinal").collect())) == sorted(map(tuple, scan.select("session_id", "ordinal").collect()))
+    texts = [(1, "a😀b́ cd"), (2, "ab"), (3, None), (4, "xxxxx")]
+    held = {r["session_id"]: r["n"] for r in sessions.grams(spark.createDataFrame(texts, "session_id long, content string")).groupBy("session_id").agg(F.collect_set("gram").alias("n")).collect()}
+    part = sessions.grams(spark.createDataFrame([(0, "😀b́ c")], "session_id long, content string")).collect()
+    assert set(held) == {1, 4} and len(held[4]) == 1 and part and {r["gram"] for r in part} <= set(held[1])
+    plan = x.grams.where(F.col("gram").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram, [1,2])]" in plan
