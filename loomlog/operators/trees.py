@@ -45,22 +45,35 @@ def subtree_sums(nodes: DataFrame, values: list[str]) -> DataFrame:
     the shuffle; there are as many rows as nodes in every round. An edge from a node that is on a cycle or below one is
     not followed, so such nodes stand for themselves.
     """
-    own = [F.col(v) for v in values]
-    linked = _parents(nodes.select("node", "up", *own)).withColumn("steps", F.lit(1).cast("long"))
-    with Step(linked) as step:
-        top = Step(step.df.select("node", "up", "rooted", "steps"))
-        with top:  # which nodes reach an end at all
-            rounds = step.df.count().bit_length() + 1
-            for _ in range(rounds):
-                if top.df.where("up IS NOT NULL").isEmpty():
-                    break
-                top.next(_up(top.df).unionByName(top.df.where("up IS NULL")))
-            lost = top.df.where("up IS NOT NULL").select(F.col("node").alias("_l"))
-            cut = step.df.join(lost, F.col("node") == F.col("_l"), "left").withColumn("up", F.when(F.col("_l").isNull(), F.col("up"))).drop("_l")
-            step.next(cut)
-        while not step.df.where("up IS NOT NULL").isEmpty():
-            below = step.df.where("up IS NOT NULL").groupBy(F.col("up").alias("_b")).agg(*[F.sum(v).alias(f"_{v}") for v in values])
-            moved = _up(step.df, *values).unionByName(step.df.where("up IS NULL"))
-            sums = [(F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0))).alias(v) for v in values]
-            step.next(moved.join(below, F.col("node") == F.col("_b"), "left").select("node", "up", "rooted", "steps", *sums))
-        return step.keep(step.df.select("node", *own))
+    linked = _parents(nodes.select("node", "up", *values)).withColumn("steps", F.lit(1).cast("long"))
+    with Step(linked) as start:
+        rounds = start.df.count().bit_length() + 1
+        out = _summed(start, values, rounds)
+        if out is None:  # some never reach an end
+            with Step(start.df.select("node", "up", "rooted", "steps")) as top:
+                for _ in range(rounds):
+                    top.next(_up(top.df).unionByName(top.df.where("up IS NULL")))
+                lost = top.df.where("up IS NOT NULL").select(F.col("node").alias("_l"))
+                cut = start.df.join(lost, F.col("node") == F.col("_l"), "left").withColumn("up", F.when(F.col("_l").isNull(), F.col("up"))).drop("_l")
+                start.next(cut)
+            out = _summed(start, values, rounds)
+        return out
+
+
+def _summed(start: Step, values: list[str], rounds: int) -> DataFrame | None:
+    """The sums after as many rounds as it takes; None if some nodes still climb after `rounds`."""
+    step = start
+    for _ in range(rounds + 1):
+        df = step.df
+        if df.where("up IS NOT NULL").isEmpty():
+            return step.keep(df.select("node", *values))
+        below = df.where("up IS NOT NULL").groupBy(F.col("up").alias("_b")).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+        moved = _up(df, *values).unionByName(df.where("up IS NULL"))
+        sums = [(F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0))).alias(v) for v in values]
+        after = moved.join(below, F.col("node") == F.col("_b"), "left").select("node", "up", "rooted", "steps", *sums)
+        if step is start:
+            step = Step(after)
+        else:
+            step.next(after)
+    step.__exit__()
+    return None
