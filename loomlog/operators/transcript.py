@@ -36,6 +36,28 @@ def after_window(messages: DataFrame, session_id: int, cursor: int, cap: int = C
     return messages.where((F.col("session_id") == session_id) & (F.col("ordinal") > cursor)).orderBy("ordinal").limit(cap + 1).select("session_id", "ordinal", "role")
 
 
+def after_windows(messages: DataFrame, cursors: DataFrame, cap: int = CAP) -> DataFrame:
+    """K3 for many readers: what follows the cursor of each row of cursors(session_id, cursor), one row beyond the cap if more is there.
+
+    `more` tells that rows are left beyond the cap; readers of one session are told apart by their cursor.
+    """
+    follow = messages.join(cursors.distinct(), "session_id").where("ordinal > cursor")
+    w = W.partitionBy("session_id", "cursor").orderBy("ordinal")
+    ranked = follow.withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap + 1)
+    return ranked.select("session_id", "cursor", "ordinal", "role", (F.max("r").over(W.partitionBy("session_id", "cursor")) > cap).alias("more"))
+
+
+def page(x: Inputs, session_id: int, budget: int) -> DataFrame:
+    """K6 of one session, from the stored transcript: its files and row groups are sorted by session, so few are read."""
+    return budget_page(x.transcript.where(F.col("session_id") == session_id), budget)
+
+
+def _pages_of_longest(x: Inputs) -> DataFrame:
+    """The first page of the session that has most messages, the smallest of equals."""
+    at = x.transcript.groupBy("session_id").agg(F.count("*").alias("n")).agg(F.max_by("session_id", F.struct("n", -F.col("session_id")))).first()[0]
+    return page(x, at, 16_000) if at is not None else page(x, -1, 16_000)
+
+
 def extras(x: Inputs, lo: int, hi: int) -> DataFrame:
     """K4: tool calls of the messages from lo to hi."""
     return x.calls.where(F.col("message_ordinal").between(lo, hi)).select("session_id", "message_ordinal", "call_index", "tool_name", "status")
@@ -105,6 +127,12 @@ QUERIES = {
     "K1_messages": (messages_with_usage, " SELECT m.session_id, ordinal, role, content_length, u.input, u.output, u.context FROM messages m LEFT JOIN (SELECT session_id, message_ordinal, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(input + cache_read + cache_write)::BIGINT AS context FROM ledger WHERE message_ordinal IS NOT NULL GROUP BY 1, 2) u ON m.session_id = u.session_id AND m.ordinal = u.message_ordinal"),
     "K2_tail_window": (lambda x: tail_window(x.messages, 2, 5), ", t AS (SELECT *, coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ordinal DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lu, row_number() OVER (PARTITION BY session_id ORDER BY ordinal DESC) AS r, count(*) OVER (PARTITION BY session_id) AS a FROM messages) SELECT session_id, ordinal, role, a - count(*) OVER (PARTITION BY session_id) AS earlier FROM t WHERE lu < 2 AND r <= 5"),
     "K3_after_window": (lambda x: after_window(x.messages, 7, 1), " SELECT session_id, ordinal, role FROM messages WHERE session_id = 7 AND ordinal > 1 ORDER BY ordinal LIMIT 601"),
+    "K2_default_tail": (lambda x: tail_window(x.messages), ", t AS (SELECT *, coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ordinal DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lu, row_number() OVER (PARTITION BY session_id ORDER BY ordinal DESC) AS r, count(*) OVER (PARTITION BY session_id) AS a FROM messages) SELECT session_id, ordinal, role, a - count(*) OVER (PARTITION BY session_id) AS earlier FROM t WHERE lu < 50 AND r <= 600"),
+    "K3_after_cursors": (lambda x: after_windows(x.messages, x.messages.select("session_id", (F.col("session_id") % 3 - 1).alias("cursor")), 2),
+        """, c AS (SELECT DISTINCT session_id, session_id % 3 - 1 AS cursor FROM messages), t AS (SELECT m.session_id, cursor, ordinal, role, row_number() OVER (PARTITION BY m.session_id ORDER BY ordinal) AS r, count(*) OVER (PARTITION BY m.session_id) AS n FROM messages m JOIN c ON m.session_id = c.session_id AND ordinal > cursor)
+ SELECT session_id, cursor, ordinal, role, n > 2 AS more FROM t WHERE r <= 3"""),
+    "K6_longest_page": (_pages_of_longest, """, l AS (SELECT session_id FROM messages GROUP BY 1 ORDER BY count(*) DESC, session_id LIMIT 1), s AS (SELECT m.*, 1024 + 6 * strlen(content) AS size FROM messages m JOIN l USING (session_id)), t AS (SELECT *, sum(size) OVER w AS used, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY session_id ORDER BY ordinal))
+ SELECT session_id, ordinal, CASE WHEN size > 16000 THEN left(content, 2496) ELSE content END AS content, size > 16000 AS cut FROM t WHERE used <= 16000 OR r = 1"""),
     "K4_extras": (lambda x: extras(x, 1, 2), " SELECT session_id, message_ordinal, call_index, tool_name, status FROM calls WHERE message_ordinal BETWEEN 1 AND 2"),
     "K5_outline": (lambda x: outline(x.messages), " SELECT session_id, ordinal, role, left(content, 512) AS preview FROM messages"),
     "K6_budget_page": (lambda x: budget_page(x.messages, 4000), ", s AS (SELECT *, 1024 + 6 * strlen(content) AS size FROM messages), t AS (SELECT *, sum(size) OVER w AS used, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY session_id ORDER BY ordinal)) SELECT session_id, ordinal, CASE WHEN size > 4000 THEN left(content, 496) ELSE content END AS content, size > 4000 AS cut FROM t WHERE used <= 4000 OR r = 1"),

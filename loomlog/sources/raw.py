@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlog.sources.appendlog import AppendLog
+from loomlog.sources.blobstore import PIN, BlobStore
 from loomlog.sources.shared import shared_dir
 from loomlog.sources.views import Inputs, read
 
@@ -79,19 +80,42 @@ def referenced(refs: DataFrame, stored: DataFrame) -> DataFrame:
     return refs.join(stored.select("sha256"), "sha256", "left_semi")
 
 
-def canonical_remote(remote: Column) -> Column:
-    """host[:port]/path of a git remote in URL or scp form, without user, default port or .git; null if neither."""
-    url = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^@/]*@)?([^/:]+)(?::([0-9]+))?/+(.+?)/*$"
-    scp = r"^(?:[^@/:]+@)?([^/:]+):([^/].*?)/*$"
+_URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^@/]*@)?([^/:]+)(?::([0-9]+))?/+(.+?)/*$"
+_SCP = r"^(?:[^@/:]+@)?([^/:]+):([^/].*?)/*$"
+
+
+def remote_host(remote: Column) -> Column:
+    """The host of a git remote as it is written; empty if the remote is in neither URL nor scp form."""
+    return F.when(F.trim(remote).rlike(_URL), F.regexp_extract(F.trim(remote), _URL, 2)).otherwise(F.regexp_extract(F.trim(remote), _SCP, 1))
+
+
+def canonical_remote(remote: Column, real: Column | None = None) -> Column:
+    """host[:port]/path of a git remote in URL or scp form, without user, default port or .git; null if neither.
+
+    real: the host that the written one is an alias of, null or empty if it is none. Hosts with a dot are never aliases.
+    """
     part = lambda p, i: F.regexp_extract(F.trim(remote), p, i)
-    is_url = F.trim(remote).rlike(url)
-    scheme, port = F.lower(part(url, 1)), part(url, 3)
+    is_url = F.trim(remote).rlike(_URL)
+    scheme, port = F.lower(part(_URL, 1)), part(_URL, 3)
     default = F.coalesce(*[F.when(scheme == s, F.lit(p)) for s, p in DEFAULT_PORTS.items()], F.lit(""))
-    host = F.lower(F.when(is_url, part(url, 2)).otherwise(part(scp, 1)))
-    path = F.regexp_replace(F.when(is_url, part(url, 4)).otherwise(part(scp, 2)), r"\.git$", "")
+    host = remote_host(remote)
+    if real is not None:
+        host = F.when(~host.contains(".") & (F.coalesce(real, F.lit("")) != ""), real).otherwise(host)
+    host = F.lower(host)
+    path = F.regexp_replace(F.when(is_url, part(_URL, 4)).otherwise(part(_SCP, 2)), r"\.git$", "")
     path = F.when(host.isin(*CASELESS_HOSTS), F.lower(path)).otherwise(path)
     shown = F.when(is_url & (port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise(F.lit(""))
-    return F.when(is_url | F.trim(remote).rlike(scp), F.concat(host, shown, F.lit("/"), path))
+    return F.when(is_url | F.trim(remote).rlike(_SCP), F.concat(host, shown, F.lit("/"), path))
+
+
+def resolved_remotes(df: DataFrame, aliases: DataFrame, remote: str = "remote") -> DataFrame:
+    """Df with `remote` in its canonical form, after hosts that are in aliases(alias, host) have been replaced.
+
+    Aliases tell upper from lower case. Of an alias that is listed twice the least host counts; rows keep their number.
+    """
+    real = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.min("host").alias("_real"))
+    out = df.withColumn("_host", remote_host(F.col(remote))).join(real, F.col("_host") == F.col("_alias"), "left")
+    return out.withColumn(remote, canonical_remote(F.col(remote), F.col("_real"))).drop("_host", "_alias", "_real")
 
 
 _CHUNK_SQL = """, ck AS (SELECT session_id, ordinal, content || chr(10) AS data, strlen(content || chr(10)) AS bytes FROM messages),
@@ -260,6 +284,45 @@ def _remotes(x: Inputs) -> DataFrame:
     return x.sessions.select("session_id", canonical_remote(made).alias("remote"))
 
 
+def _aliased(x: Inputs) -> DataFrame:
+    """Remotes by the alias of their project's host; every fifth project has no alias, one is of a host that ignores case."""
+    host = F.when(F.col("project_id") == 1, "GitHub.com").otherwise(F.concat(F.lit("Git.p"), "project_id", F.lit(".org")))
+    aliases = x.projects.where("project_id % 5 <> 0").select(F.concat(F.lit("h"), "project_id").alias("alias"), host.alias("host"))
+    made = x.sessions.select("session_id", F.concat(F.lit("git@h"), "project_id", F.lit(":Team/R"), F.col("session_id") % 9, F.lit(".git")).alias("remote"))
+    return resolved_remotes(made, aliases)
+
+
+def _contents(x: Inputs, where: str = "true") -> DataFrame:
+    """Texts of documents with their hashes as claims, every eleventh of which is false."""
+    claim = F.when(F.col("doc_id") % 11 == 0, F.sha2(F.concat("text", F.lit("!")).cast("binary"), 256)).otherwise(F.sha2(F.col("text").cast("binary"), 256))
+    return _docs(x).where(where).select(F.col("text").cast("binary").alias("data"), claim.alias("claimed"))
+
+
+def _blob_store(x: Inputs) -> BlobStore:
+    return BlobStore(x.spark, f"{shared_dir(x.spark)}/blobs-{uuid.uuid4().hex}")
+
+
+def _stored_blobs(x: Inputs) -> DataFrame:
+    """The texts of even documents, then all: what is stored of each, its first bytes, and in which call it came."""
+    store = _blob_store(x)
+    first, then = store.put(_contents(x, "doc_id % 2 = 0"), 0), store.put(_contents(x), 0)
+    calls = first.where("fresh").select("sha256", F.lit(1).alias("call")).unionAll(then.where("fresh").select("sha256", F.lit(2)))
+    return store.get().select("sha256", "bytes", "intact").join(store.get(first=24).select("sha256", F.hex("data").alias("head")), "sha256").join(calls, "sha256")
+
+
+def _swept_blobs(x: Inputs) -> DataFrame:
+    """Texts put at 0, some again half an hour later; references come and go; swept after an hour, and the bytes compacted."""
+    store, half = _blob_store(x), PIN // 2
+    of = lambda where, n: _docs(x).where(where).select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.lit(n).alias("refs"))
+    store.put(_docs(x).select("text").withColumnRenamed("text", "data"), 0)
+    store.put(_docs(x).where("doc_id % 7 = 0").select(F.col("text").alias("data")), half)
+    store.refer(of("doc_id % 2 = 0", 1))
+    store.refer(of("doc_id % 4 = 0", -1))
+    swept = store.sweep(PIN)
+    store.compact()
+    return swept.select("sha256", "bytes", F.lit(False).alias("kept")).unionAll(store.get().select("sha256", "bytes", F.lit(True)))
+
+
 QUERIES = {
     "A1_byte_ranges": (_read_ranges, """, ln AS (SELECT session_id % 8 AS bucket, session_id, ordinal, unnest(range(len(string_split(content, chr(10))))) AS pos, unnest(string_split(content, chr(10))) AS raw FROM messages),
  o AS (SELECT bucket, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY bucket ORDER BY session_id, ordinal, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_offset, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM ln)
@@ -275,6 +338,11 @@ QUERIES = {
     "A4_regions": (_regions, _CHUNK_SQL + " SELECT session_id, byte_offset // 1024 AS region, min(byte_offset) AS byte_offset, sum(bytes)::BIGINT AS bytes, count(*) AS chunks FROM lg GROUP BY 1, 2"),
     "L7_replay": (_replayed, _CHUNK_SQL + _DIGEST_SQL + """ SELECT session_id, count(*) FILTER (ordinal < 3) AS first, count(*) FILTER (ordinal >= 3) AS then, count(*) FILTER (ordinal < 3) AS refused, sum(bytes)::BIGINT AS length, any_value(digest) AS digest FROM lg JOIN dg USING (session_id) GROUP BY 1"""),
     "A13_remotes": (_remotes, " SELECT session_id, CASE session_id % 4 " + " ".join(f"WHEN {i} THEN concat('{k.split('{}')[0]}', session_id, '{k.split('{}')[1]}')" for i, k in _KEYS.items() if k) + " END AS remote FROM sessions"),
+    "A13_aliases": (_aliased, " SELECT session_id, CASE WHEN project_id = 1 THEN concat('github.com/team/r', session_id % 9) WHEN project_id % 5 = 0 THEN concat('h', project_id, '/Team/R', session_id % 9) ELSE concat('git.p', project_id, '.org/Team/R', session_id % 9) END AS remote FROM sessions"),
+    "A6_store": (_stored_blobs, """, d AS (SELECT sha256(text) AS sha256, text, doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0)
+ SELECT sha256, strlen(any_value(text))::BIGINT AS bytes, true AS intact, substr(hex(encode(any_value(text))), 1, 48) AS head, CASE WHEN bool_or(doc_id % 2 = 0) THEN 1 ELSE 2 END AS call FROM d GROUP BY 1"""),
+    "A8_pins": (_swept_blobs, """, d AS (SELECT sha256(text) AS sha256, text, doc_id FROM documents WHERE text IS NOT NULL)
+ SELECT sha256, strlen(any_value(text))::BIGINT AS bytes, count(*) FILTER (doc_id % 2 = 0) > count(*) FILTER (doc_id % 4 = 0) OR bool_or(doc_id % 7 = 0) AS kept FROM d GROUP BY 1"""),
     "A14_local_projects": (lambda x: x.sessions.select("session_id", local_project(F.col("machine"), F.col("cwd"), F.when(F.col("session_id") % 3 == 0, F.concat("cwd", F.lit("/sub\\x/")))).alias("p")).select("session_id", "p.*"),
         """ SELECT session_id, concat('local:', machine, ':', coalesce(CASE session_id % 3 WHEN 0 THEN cwd || '/sub\\x/' END, cwd, '')) AS key, CASE WHEN cwd IS NULL THEN '(unknown location)' WHEN session_id % 3 = 0 THEN 'x' ELSE replace(cwd, '/home/u/', '') END AS display_name FROM sessions"""),
     "A5_export": (lambda x: export(chunks(x.messages), LIMIT), _CHUNK_SQL + f" SELECT session_id, sha256(coalesce(string_agg(data, '' ORDER BY byte_offset) FILTER (byte_offset + bytes <= {LIMIT}), '')) AS sha256, sum(bytes)::BIGINT AS total, sum(bytes) > {LIMIT} AS truncated FROM lg GROUP BY 1"),

@@ -157,6 +157,11 @@ class Inputs:
 
         return self._stored("grams", ("messages",), lambda x: grams(x.messages), sort="gram")
 
+    @cached_property
+    def transcript(self) -> DataFrame:
+        """The messages, kept sorted by session: a page of one session reads the files and row groups that hold it."""
+        return self._stored("transcript", ("messages",), lambda x: x.messages, sort="session_id")
+
     @cached_property
     def tool_calls(self) -> DataFrame:
         from loomlog.operators.project import dedup_calls
