@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.common import parts, read, small, words, written
 
-#: Primes above 2^31, one for each pass over a source's blocks: a prime that does not divide n steps through all n indexes.
-PRIMES = (4294967291, 4294967279, 4294967231, 4294967197)
+#: Rounds of the index permutation, and how often it is applied at most until the index is one of the source.
+ROUNDS, WALKS = 6, 96
 
 
 def _u(*key: Column) -> Column:
@@ -38,17 +38,23 @@ def source_targets(sizes: DataFrame, weights: list[float], cap: float = 3.0) ->
     return every.join(s, "k", "left").select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
-def _offsets(df: DataFrame, key: str, order: Column, group: Column, value: str, name: str) -> DataFrame:
+def _offsets(df: DataFrame, key: str, order: Column, group: Column, value: str, name: str, levels: int = 3) -> DataFrame:
     """df with `name`: the sum of `value` over the rows before this one in its key, in the order of (group, order).
 
-    Two levels, so that no task sees a whole key: sums by (key, group), a running sum over those, and one in each group.
+    By levels, so that no task sees a whole key: sums by (key, group), a running sum over those (at another level by
+    groups of 1024 groups), and one in each group.
     """
-    df = df.withColumn("_g", group)
-    sums = df.groupBy(key, "_g").agg(F.sum(value).alias("_s"))
-    base = sums.withColumn("_base", F.sum("_s").over(W.partitionBy(key).orderBy("_g")) - F.col("_s")).select(F.col(key).alias("_k"), F.col("_g").alias("_h"), "_base")
-    df = df.join(base, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_g") == F.col("_h")))
-    inner = W.partitionBy(key, "_g").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(name, F.sum(value).over(inner) - F.col(value) + F.col("_base")).drop("_g", "_k", "_h", "_base")
+    g, k, h = f"_g{levels}", f"_k{levels}", f"_h{levels}"
+    df = df.withColumn(g, group)
+    sums = df.groupBy(key, g).agg(F.sum(value).alias("_s"))
+    if levels > 2:
+        base = _offsets(sums, key, F.col(g), F.expr(f"{g} div 1024"), "_s", f"_base{levels}", levels - 1)
+    else:
+        base = sums.withColumn(f"_base{levels}", F.sum("_s").over(W.partitionBy(key).orderBy(g)) - F.col("_s"))
+    base = base.select(F.col(key).alias(k), F.col(g).alias(h), f"_base{levels}")
+    df = df.join(base, F.col(key).eqNullSafe(F.col(k)) & (F.col(g) == F.col(h)))
+    inner = W.partitionBy(key, g).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return df.withColumn(name, F.sum(value).over(inner) - F.col(value) + F.col(f"_base{levels}")).drop(g, k, h, f"_base{levels}")
 
 
 def _within(df: DataFrame, x: str, spans: DataFrame, cells: int) -> DataFrame:
@@ -96,11 +102,29 @@ def draw_slots(plan: DataFrame, slots: int, seed: int) -> DataFrame:
     return drawn.unionAll(settled)
 
 
-def block_of(n: Column, j: Column, sid: Column, seed: int) -> Column:
-    """Use j of a source of n blocks reads this block: (a * j + c) mod n, c drawn for each pass over the source."""
-    prime = F.coalesce(*[F.when(n % p != 0, F.lit(p)) for p in PRIMES])
-    turn = F.floor(_u(F.lit(seed + 1).cast("long"), sid, F.floor(j / n).cast("long")) * n)
-    return ((prime % n).cast("decimal(19,0)") * (j % n).cast("decimal(18,0)") + turn.cast("decimal(19,0)")) % n.cast("decimal(19,0)")
+def read_blocks(slots: DataFrame, seed: int) -> DataFrame:
+    """(sid, block) of slots(sid, n_blocks, j): use j of a source reads the block at place j mod n of a keyed permutation.
+
+    The key is seed, sid and the pass j div n, so each pass reads all n blocks once in an order of its own. Indexes of
+    as many bits as n - 1 has are permuted by a Feistel network, whose rounds add a hash of one half to the other. An
+    index that falls outside the source is permuted again until it is inside, which visits every index inside once.
+    With fewer than half of the indexes outside, WALKS steps fall short with a chance of 2^-96; that would be an error.
+    """
+    own = slots.select("sid", "n_blocks", (F.col("j") % F.col("n_blocks")).alias("at"), F.expr("j div n_blocks").alias("turn"), F.greatest(F.lit(2), F.length(F.bin(F.col("n_blocks") - 1))).alias("bits"))
+    own = own.select("sid", "n_blocks", "at", "turn", F.expr("cast(bits - bits div 2 AS int)").alias("low"), F.expr("shiftleft(1L, bits - bits div 2) - 1").alias("lows"), F.expr("shiftleft(1L, bits div 2) - 1").alias("highs"))
+
+    def half(i: Column, part: Column) -> Column:
+        return F.xxhash64(F.lit(seed + 1).cast("long"), F.col("sid"), F.col("turn"), i, part)
+
+    def step(v: Column, i: Column) -> Column:
+        to_high = F.call_function("shiftleft", half(i, v.bitwiseAND(F.col("lows"))).bitwiseAND(F.col("highs")), F.col("low"))
+        to_low = half(i, F.call_function("shiftright", v, F.col("low"))).bitwiseAND(F.col("lows"))
+        return v.bitwiseXOR(F.when(i % 2 == 0, to_high).otherwise(to_low))
+
+    rounds = F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long"))
+    walk = lambda v, i: F.when((i > 0) & (v < F.col("n_blocks")), v).otherwise(F.aggregate(rounds, v, step))
+    end = own.select("sid", "n_blocks", F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), F.col("at"), walk).alias("block"))
+    return end.select("sid", F.when(F.col("block") < F.col("n_blocks"), F.col("block")).otherwise(F.raise_error(F.lit("the permutation found no index inside"))).cast("long").alias("block"))
 
 
 def mix_sources(docs: DataFrame, weights: list[float], block: int = 64, slots: int = 256, cap: int = 3, seed: int = 17) -> DataFrame:
@@ -109,8 +133,8 @@ def mix_sources(docs: DataFrame, weights: list[float], block: int = 64, slots: i
     1. A source's documents are laid end to end in hash order and cut into blocks of `block` words; the last is short.
     2. The output is cut into shards of `slots` blocks, whose source counts are multinomial draws, see draw_slots. A
        source's quota is its target in blocks, rounded by largest remainders.
-    3. A source's uses are numbered over all shards; use j reads block (a * j + c) mod n of the source, where a is
-       a prime that does not divide n and c is drawn for the pass j div n, so every pass is a pseudorandom permutation.
+    3. A source's uses are numbered over all shards; use j reads the block that a permutation of the source's n blocks,
+       keyed by source and pass j div n, has at j mod n, see read_blocks.
     4. Slots join blocks by index, and uses of a block count for the words that each document has in it.
 
     Targets stop at `cap` times a source's size, so no block is used more than cap times and no document exceeds cap
@@ -137,7 +161,7 @@ def mix_sources(docs: DataFrame, weights: list[float], block: int = 64, slots: i
     # groups of about 1024 documents of a source
     layout = _offsets(layed.where("size > 0"), "sid", F.struct("h", "doc_id", "size", "t"), F.floor(_u(F.col("h")) * F.expr("docs div 1024 + 1")), "size", "start").drop("h", "t", "docs")
     slot = draw_slots(plan.where("quota > 0").select("sid", "n_blocks", "quota", "all_slots"), slots, seed)
-    uses = slot.select("sid", block_of(F.col("n_blocks"), F.col("j"), F.col("sid"), seed).cast("long").alias("block")).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    uses = read_blocks(slot, seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
     spans = layout.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     spans = spans.withColumn("part", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
     taken = spans.join(uses, ["sid", "block"], "left").groupBy("sid", "doc_id", "size", "start", "source_size", "target").agg(F.sum(F.col("part") * F.coalesce("uses", F.lit(0))).alias("taken"))

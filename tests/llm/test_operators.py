@@ -380,6 +380,27 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(docs.where("text is null"), [5]).collect()[0]["taken"] == 0
 
 
+def permuted_by_hand(h, v, n, *key):
+    bits = max(2, (n - 1).bit_length())
+    low = bits - bits // 2
+    while True:
+        for i in range(mixing.ROUNDS):
+            v ^= (h(*key, i, v & ((1 << low) - 1)) & ((1 << bits // 2) - 1)) << low if i % 2 == 0 else h(*key, i, v >> low) & ((1 << low) - 1)
+        if v < n:
+            return v
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 19, 64, 65, 190, 4999])
+def test_every_pass_reads_all_blocks_in_an_order_of_its_own(spark, n):
+    slots = spark.range(0, 3 * n).selectExpr("1L AS sid", f"{n}L AS n_blocks", "id AS j").unionAll(spark.range(0, n).selectExpr("2L", f"{n}L", "id"))
+    got = mixing.read_blocks(slots.coalesce(1), 17).collect()
+    passes = [[r["block"] for r in got[i * n : (i + 1) * n]] for i in range(4)]
+    assert all(sorted(p) == list(range(n)) for p in passes)
+    if n > 20:  # no two passes or sources agree, and no pass goes on in even steps
+        assert len({tuple(p) for p in passes}) == 4
+        assert all(Counter((y - x) % n for x, y in zip(p, p[1:], strict=False)).most_common(1)[0][1] < max(8, n // 8) for p in passes)
+
+
 def mixed_by_hand(data, weights, block=64, cap=3, seed=17):
     """taken of every row, redone one slot at a time."""
     pack = lambda x: int(x).to_bytes(8, "little", signed=True)
@@ -411,9 +432,7 @@ def mixed_by_hand(data, weights, block=64, cap=3, seed=17):
         groups = len(docs[s]) // 1024 + 1
         laid = [k for k, hh, *_ in sorted(docs[s], key=lambda d: (math.floor(u(d[1]) * groups), *d[1:])) for _ in range(size[k])]
         for j in range(quota[s]):
-            n = blocks[s]
-            a = next(p for p in mixing.PRIMES if n % p)
-            b = (a % n * (j % n) + math.floor(u(seed + 1, sid[s], j // n) * n)) % n
+            b = permuted_by_hand(h, j % blocks[s], blocks[s], seed + 1, sid[s], j // blocks[s])
             for k in laid[b * block : (b + 1) * block]:
                 taken[k] += 1
     drawn, total = Counter(), sum(quota.values())
