@@ -122,9 +122,12 @@ def read_blocks(slots: DataFrame, seed: int) -> DataFrame:
         return v.bitwiseXOR(F.when(i % 2 == 0, to_high).otherwise(to_low))
 
     rounds = F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long"))
-    walk = lambda v, i: F.when((i > 0) & (v < F.col("n_blocks")), v).otherwise(F.aggregate(rounds, v, step))
-    end = own.select("sid", "n_blocks", F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), F.col("at"), walk).alias("block"))
-    return end.select("sid", F.when(F.col("block") < F.col("n_blocks"), F.col("block")).otherwise(F.raise_error(F.lit("the permutation found no index inside"))).cast("long").alias("block"))
+    inside = F.col("block") < F.col("n_blocks")
+    out = own.withColumn("block", F.aggregate(rounds, F.col("at"), step))
+    for most in (8, WALKS):  # few rows need the long walk, so each projection takes on only what the one before has left outside
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.col("block"), lambda v, i: F.when(v < F.col("n_blocks"), v).otherwise(F.aggregate(rounds, v, step)))
+        out = out.withColumn("block", F.when(inside, F.col("block")).otherwise(walk))
+    return out.select("sid", F.when(inside, F.col("block")).otherwise(F.raise_error(F.lit("the permutation found no index inside"))).cast("long").alias("block"))
 
 
 def mix_sources(docs: DataFrame, weights: list[float], block: int = 64, slots: int = 256, cap: int = 3, seed: int = 17) -> DataFrame:
