@@ -33,6 +33,12 @@ def words(text: Column) -> Column:
 _WRITTEN: list[str] = []
 
 
+def at_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which `removed` deletes like those of `written`."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}")
+    return _WRITTEN[-1]
+
+
 def written(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts its lineage; `by` names a column to store it by, options are the writer's."""
     spark = df.sparkSession

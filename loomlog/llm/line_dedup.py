@@ -1,21 +1,24 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Documents arrive in batches of ascending doc_id. The keys seen so far live in sorted runs on levels; a batch anti-joins
-the runs, appends the keys it is first to hold as a new run of level 0, and `fanout` runs of one level are compacted
-into one run of the next. A line stays where its key's first document is and goes elsewhere.
+Documents arrive in batches of ascending doc_id. The keys seen so far live in sorted runs on levels; a batch merge-anti-joins
+the runs, appends the keys it is first to hold as a new run of level 0, and `fanout` runs of one level are merged into one
+run of the next. Runs are bucketed and sorted by hash alike, so a batch shuffles its own keys alone: runs are read bucket
+by bucket beside it and are never shuffled. A line stays where its key's first document is and goes elsewhere.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import LOWER, UPPER, parts, read, written
+from loomlog.llm.common import LOWER, UPPER, at_path, parts, read, written
 
-#: Text of one batch of documents.
-BATCH_BYTES = 64 << 30
+#: Text of one batch of documents, and of one bucket of all runs together. Beyond MOST batches these grow instead, as each
+#: reads all runs before it; a batch is shuffled with spilling, so its size is bounded by no memory.
+BATCH_BYTES, BUCKET_BYTES, MOST = 64 << 30, 4 << 30, 16
 
 #: What is stripped from both ends of a line before it is compared.
 _ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"  # not $, which in Java also matches before a final line end of any kind
@@ -26,35 +29,71 @@ def _lines(text: Column) -> Column:
 
 
 class Runs:
-    """Levels of runs (h1, h2, first_id), each run sorted by hash; a key is in one run only."""
+    """Levels of runs (h1, h2, first_id), stored in buckets of the hash, each sorted by it; a key is in one run only.
 
-    def __init__(self, fanout: int = 3):
-        self.fanout, self.levels = fanout, []
+    Spark knows bucketed tables by name alone, so runs are named in the session's catalog until `close`. Their files lie
+    in the shared folder.
+    """
+
+    KEY = ["h1", "h2"]
+
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 2):
+        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+        self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
-    def all(self) -> DataFrame | None:
-        every = [run for level in self.levels for run in level]
-        return reduce(DataFrame.unionAll, every) if every else None
+    def new(self, keys: DataFrame) -> DataFrame:
+        """keys, dealt to the buckets of the runs, without those that any run holds."""
+        keys = keys.repartition(self.buckets, *self.KEY)
+        for name in (name for level in self.levels for name in level):
+            keys = keys.join(self.spark.table(name).select(*self.KEY).hint("merge"), self.KEY, "left_anti")
+        return keys
 
     def add(self, run: DataFrame, level: int = 0) -> None:
+        """Store a run whose tasks hold a bucket each, and merge its level if it is full."""
         while len(self.levels) <= level:
             self.levels.append([])
-        run = written(run.repartitionByRange("h1").sortWithinPartitions("h1", "h2"), f"run{level}")
-        self.levels[level].append(run)
+        name = f"run_{uuid.uuid4().hex}"
+        path = at_path(self.spark, name)
+        run.write.bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY).option("path", path).saveAsTable(name)
+        self.paths[name] = path
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = reduce(DataFrame.unionAll, self.levels[level]), []
-            self.add(merged, level + 1)
-
-
-def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = 3) -> DataFrame:
+            old, self.levels[level] = self.levels[level], []
+            self.add(reduce(self._merged, [self.spark.table(n) for n in old]), level + 1)
+            for n in old:
+                self._drop(n)
+
+    @staticmethod
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs as one: no key is in both, so a full join by merging puts them together bucket by bucket."""
+        both = a.join(b.select("h1", "h2", F.col("first_id").alias("other"), F.lit(True).alias("of_b")).hint("merge"), Runs.KEY, "full")
+        return both.select("h1", "h2", F.when(F.col("of_b"), F.col("other")).otherwise(F.col("first_id")).alias("first_id"))
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        del self.paths[name]
+
+    def close(self) -> DataFrame:
+        """All keys; the names go, the files stay."""
+        schema = "h1 long, h2 long, first_id long"
+        out = self.spark.read.schema(schema).parquet(*self.paths.values()) if self.paths else self.spark.createDataFrame([], schema)
+        for name in list(self.paths):
+            self._drop(name)
+        return out
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = 2) -> DataFrame:
     """(doc_id, drop): positions of the lines to drop, for the documents that lose any.
 
     Null doc_ids sort before all others. Rows that share a doc_id are one document: none of them makes another's line
     a repeat. Keys are compared by 128 bits of hash. Null or empty texts have one empty line, which is too short to go.
-    A batch holds about BATCH_BYTES of text unless their number is given; no result depends on it. Line hashes are
-    stored by batch, so that a batch reads its own alone.
+    A batch holds about BATCH_BYTES of text, or more if that made over MOST batches, unless their number is given; no
+    result depends on it. Line hashes are stored by batch, so that a batch reads its own alone. A line that many
+    documents hold is one row of its batch before it is dealt to a bucket.
     """
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    batches = batches or max(4, parts(n_bytes, BATCH_BYTES))
+    batches = batches or min(MOST, max(4, parts(n_bytes, BATCH_BYTES)))
     at = docs.select(F.col("doc_id").cast("long")).approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.5 / batches) if batches > 1 else []
     edges = sorted({int(x) for x in at})
     # a null doc_id falls to batch 0
@@ -63,13 +102,14 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = N
     keyed = keyed.select("doc_id", "batch", "pos", F.translate(F.regexp_replace("line", _ENDS, ""), UPPER, LOWER).alias("key"))
     keyed = keyed.where(F.char_length("key") >= min_chars)
     lines = written(keyed.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "batch"), "lines", by="batch")
-    runs = Runs(fanout)
-    for i in range(len(edges) + 1):
-        mine = lines.where(F.col("batch") == i).groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nul"))
-        first = mine.select("h1", "h2", F.when(~F.col("nul"), F.col("low")).alias("first_id"))
-        old = runs.all()
-        runs.add(first if old is None else first.join(old.select("h1", "h2"), ["h1", "h2"], "left_anti"))
-    gone = lines.join(runs.all(), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    runs = Runs(docs.sparkSession, max(8, parts(n_bytes, BUCKET_BYTES)), fanout)
+    try:
+        for i in range(len(edges) + 1):
+            mine = lines.where(F.col("batch") == i).groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nul"))
+            runs.add(runs.new(mine.select("h1", "h2", F.when(~F.col("nul"), F.col("low")).cast("long").alias("first_id"))))
+    finally:
+        first = runs.close()
+    gone = lines.join(first, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
 
 

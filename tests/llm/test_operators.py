@@ -7,6 +7,7 @@ import re
 import time
 from collections import Counter, defaultdict
 from functools import reduce
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -520,7 +521,7 @@ def lines_by_hand(data):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(1, 3), (6, 2), (None, 3)])
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 3), (6, 2), (9, 3), (None, 2)])
 def test_lines(docs, empty, batches, fanout):
     clash = {c: F.lit(f"mine {c}") for c in ("drop", "drop_id", "batch", "lines", "kept", "n", "d", "h1", "pos")}
     out = line_dedup.dedup_lines(docs.withColumn("n_dropped", F.lit("x")).withColumns(clash), batches=batches, fanout=fanout)
@@ -530,6 +531,26 @@ def test_lines(docs, empty, batches, fanout):
     assert line_dedup.dedup_lines(empty, batches=batches).count() == 0
 
 
+def test_runs_are_merged_without_a_shuffle(spark):
+    def plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    keys = lambda lo, hi: spark.range(lo, hi).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"), F.col("id").alias("first_id"))
+    runs = line_dedup.Runs(spark, 6, fanout=9)
+    runs.add(runs.new(keys(0, 100)))
+    runs.add(runs.new(keys(50, 200)))
+    got = runs.new(keys(150, 250))
+    assert sorted(r["first_id"] for r in got.collect()) == list(range(200, 250))
+    shown = plan(got)
+    assert shown.count("SortMergeJoin") == 2 and shown.count("Exchange") == 1  # that of the batch itself
+    names = runs.levels[0]
+    merged = plan(runs._merged(spark.table(names[0]), spark.table(names[1])))
+    assert "SortMergeJoin" in merged and "Exchange" not in merged
+    assert all(len(list(Path(p.split(":")[-1]).glob("part-*"))) == 6 for p in runs.paths.values())
+    assert sorted(r["first_id"] for r in runs.close().collect()) == list(range(200)) and not [t for t in spark.catalog.listTables() if t.name in names]
+
+
 def test_lines_are_stripped_of_ascii_blanks_alone(spark):
     data = [(1, f"same long line here{e}") for e in ("\x85", "\u2028", "\u2029")] + [(2, f"same long line here  {e}") for e in ("\x85", "\u2028", "\u2029")] + [(3, "same long line here\x85 \r")]
     data = [(i, "\n".join(t for j, t in data if j == i)) for i in (1, 2, 3)]
