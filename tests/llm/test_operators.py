@@ -350,12 +350,20 @@ def test_quality(docs, empty, spark):
 
 
 def test_decontaminate(docs, empty, spark):
-    sh = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] if w for i in range(max(1, len(w) - 4))}
+    toks = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    sh = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
     items = [(1, "that several documents share, word for word. It goes on for long enough to be found."), (2, "two WORDS"), (3, None), (4, ""), (5, corpus()[12][1][20:150]), (6, "not in any of them, at all, ever, I should think"), (None, "And it ends here, at last.")]
-    texts = defaultdict(set)
+    items += [(7, "Word. For -- word"), (8, "for"), (9, "enough to be found"), (10, "found be to"), (11, "share word for word it")]  # short ones inside long texts
+    texts = defaultdict(list)
     for i, t, *_ in corpus():
-        texts[i] |= sh(t)
-    want = [(d, k, round(len(s & sh(x)) / len(sh(x)), 6)) for d, s in texts.items() for k, x in items if sh(x) and len(s & sh(x)) >= 0.8 * len(sh(x))]
+        texts[i].append(toks(t))
+    want = []
+    for k, x in items:
+        n = min(5, len(toks(x)))
+        own = sh(toks(x), n)
+        hits = {d: len(own & set().union(*(sh(w, n) for w in ws))) for d, ws in texts.items()}
+        want += [(d, k, round(h / len(own), 6)) for d, h in hits.items() if own and h >= 0.8 * len(own)]
+    assert {7, 8, 9} <= {k for _, k, _ in want} and 10 not in {k for _, k, _ in want}
     table = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_contained(docs, table).withColumn("c", F.round("containment", 6))
     assert rows(found, "doc_id", "item_id", "c") == sorted(want, key=repr) and len(want) > 6
