@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -30,40 +32,51 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-_WRITTEN: list[str] = []
+#: Paths that the run at hand has written; threads have their own, so runs beside it never delete them.
+_RUN: ContextVar[list[str] | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def run_tables(spark: SparkSession):
+    """Within it, `written` and `at_path` note their tables in the list it gives; at its end those left in the list are deleted.
+
+    What is to outlive it is taken out of the list. Runs may nest. If the driver is lost, the tables stay.
+    """
+    made: list[str] = []
+    token = _RUN.set(made)
+    try:
+        yield made
+    finally:
+        _RUN.reset(token)
+        delete(spark, made)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _noted(path: str) -> str:
+    run = _RUN.get()
+    if run is not None:
+        run.append(path)
+    return path
 
 
 def at_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, which `removed` deletes like those of `written`."""
-    _WRITTEN.append(f"{shared_dir(spark)}/{name}")
-    return _WRITTEN[-1]
+    """A new folder in the shared one, which a run deletes like those of `written`."""
+    return _noted(f"{shared_dir(spark)}/{name}")
 
 
 def written(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts its lineage; `by` names a column to store it by, options are the writer's."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _noted(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def marked() -> int:
-    """How many tables `written` has made; for `removed`."""
-    return len(_WRITTEN)
-
-
-def removed(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
-    """Delete the tables that `written` has made since the mark, but for those that `keep` reads; call it when they have been used."""
-    held = tuple(f.rsplit("/", 1)[0].split(":", 1)[-1].rstrip("/") for f in keep.inputFiles()) if keep is not None else ()
-    for path in _WRITTEN[since:]:
-        name = path.rsplit("/", 1)[-1]
-        if not any(name in h for h in held):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            _WRITTEN.remove(path)
-
-
 #: What a broadcast table may hold at most.
 SMALL_ROWS, SMALL_BYTES = 500_000, 64 << 20
 

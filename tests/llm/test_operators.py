@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import threading
 import time
 from collections import Counter, defaultdict
 from functools import reduce
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomlog.llm import backoff, decontaminate, line_dedup, mixing, near_copies, quality, registry, secrets, simhash, span_dedup, suffixes, toxicity
-from loomlog.llm.common import connected_components
+from loomlog.llm.common import connected_components, run_tables, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -188,6 +190,22 @@ def test_pipeline_by_hand(spark):
     assert rows(corpus_pipeline.run(spark, sf), "doc_id", "size") == sorted(want, key=repr) and 10 < len(want) < len(kept) < len(data)
 
 
+def test_a_run_deletes_its_own_tables_alone(spark):
+    path = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    beside, one = [], spark.range(1)
+    with run_tables(spark) as made:
+        other = threading.Thread(target=lambda: beside.append(path(written(one, "beside"))))
+        other.start()
+        other.join()
+        gone, kept = path(written(one, "gone")), path(written(one, "kept"))
+        with run_tables(spark):
+            inner = path(written(one, "inner"))
+        assert not os.path.exists(inner) and os.path.exists(gone)
+        made.pop()
+    after = path(written(one, "after"))
+    assert not os.path.exists(gone) and all(map(os.path.exists, [*beside, kept, after]))
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_take_odd_rows_and_clashing_names(spark, docs, empty, name):
     """Nulls, empty and long texts, ties, repeats, empty tables and foreign columns: nothing crashes, nothing foreign is lost."""
