@@ -55,11 +55,20 @@ def session_signals(x: Inputs) -> DataFrame:
     return out.withColumn("score", quality.score()).withColumn("grade", quality.grade(F.col("score")))
 
 
+def shaped(x: Inputs) -> DataFrame:
+    """Sessions with their archetype and minutes."""
+    return x.sessions.withColumns({"archetype": quality.archetype(), "minutes": quality.minutes()})
+
+
 def current(x: Inputs) -> DataFrame:
-    """Sessions with the columns of their signal, null where it is stale."""
-    sig = x.signals.select("session_id", F.col("outcome").alias("sig_outcome"), F.col("grade").alias("sig_grade"), F.col("score").alias("sig_score"))
-    fresh = x.sessions.where("NOT signals_stale").select("session_id").join(sig, "session_id")
-    return x.sessions.join(fresh, "session_id", "left").withColumns({"archetype": quality.archetype(), "minutes": quality.minutes()})
+    """Sessions with the columns of their signal, null where it is stale.
+
+    Signals are as many as sessions, so they are merged: by the size of its files a few columns of them look small
+    enough to be broadcast, and the driver would hold a row for every session.
+    """
+    names = {"outcome": "sig_outcome", "grade": "sig_grade", "score": "sig_score"}
+    held = shaped(x).join(x.signals.select("session_id", *names).withColumnsRenamed(names).hint("merge"), "session_id", "left")
+    return held.withColumns({c: F.when(~F.col("signals_stale"), F.col(c)) for c in names.values()})
 
 
 def signal_read(x: Inputs) -> DataFrame:

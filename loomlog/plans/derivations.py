@@ -192,7 +192,7 @@ QUERIES = {
     "E14_score": (lambda x: x.signals.select("session_id", "score"), " SELECT session_id, score FROM signals"),
     "E15_grade": (lambda x: x.signals.select("session_id", "grade", quality.grade_points(F.col("grade")).alias("points")), " SELECT session_id, grade, CASE grade WHEN 'A' THEN 4 WHEN 'B' THEN 3 WHEN 'C' THEN 2 WHEN 'D' THEN 1 WHEN 'F' THEN 0 END AS points FROM signals"),
     "E16_score_breakdown": (signals.score_breakdown, ", b AS (" + " UNION ALL ".join(f"SELECT session_id, " + (f"'{n}'" if c == "NULL" else f"concat({c}, CASE {c} WHEN 1 THEN ' {n}' ELSE ' {_many(n)}' END)") + f" AS label, ({p})::BIGINT AS points FROM scored WHERE score IS NOT NULL" for n, c, p in _PENALTY) + ") SELECT * FROM b WHERE points > 0"),
-    "E17_archetype": (lambda x: signals.current(x).select("session_id", "archetype"), " SELECT session_id, archetype FROM shape"),
+    "E17_archetype": (lambda x: signals.shaped(x).select("session_id", "archetype"), " SELECT session_id, archetype FROM shape"),
     "E18_settle_due": (signals.settle_due, " SELECT session_id, ended_at FROM sessions WHERE signals_stale AND (terminal OR ended_at < TIMESTAMP '2027-01-01' - INTERVAL 30 MINUTE) ORDER BY ended_at NULLS LAST, session_id LIMIT 500"),
     "E19_signal_read": (signals.signal_read, " SELECT session_id, coalesce(sig_outcome, 'unknown') AS outcome, coalesce(sig_grade, '') AS grade, sig_score FROM graded"),
 }
