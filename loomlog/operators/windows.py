@@ -41,6 +41,11 @@ def _sessions(x: Inputs, clock: str) -> DataFrame:
     return _placed(signals.current(x), F.col("started_at"), clock)
 
 
+def _starts(x: Inputs) -> DataFrame:
+    """When every session started; merged in joins, as a broadcast would hold them all in the driver."""
+    return x.sessions.select("session_id", "started_at").hint("merge")
+
+
 def _quality(x: Inputs, clock: str) -> DataFrame:
     o, g = F.coalesce("sig_outcome", F.lit("unknown")), F.coalesce("sig_grade", F.lit(""))
     counts = {"sessions": F.count("*"), "wall_hours": F.sum("minutes") / 60} | {k: F.count_if(o == k) for k in ("completed", "abandoned", "errored")}
@@ -49,18 +54,18 @@ def _quality(x: Inputs, clock: str) -> DataFrame:
 
 
 def _hygiene(x: Inputs, clock: str) -> DataFrame:
-    asked = signals.current(x).where("NOT signals_stale").select("session_id", "started_at").join(signals.hygiene(x.messages), "session_id")
+    asked = x.sessions.where("NOT signals_stale").select("session_id", "started_at").join(signals.hygiene(x.messages).hint("merge"), "session_id")
     return _summed("hygiene", _placed(asked, F.col("started_at"), clock), {k: F.sum(k) for k in ("prompts", "short", "no_code", "duplicate")} | {"unstructured": F.count_if("unstructured")})
 
 
 def _context(x: Inputs, clock: str) -> DataFrame:
-    held = x.sessions.select("session_id", "started_at").join(x.context_health, "session_id")
+    held = x.context_health.join(_starts(x), "session_id")
     return _summed("context", _placed(held, F.col("started_at"), clock), {"resets": F.sum("context_resets"), "peak": F.max("peak_context")})
 
 
 def _economics(x: Inputs, clock: str) -> DataFrame:
     own = signals.current(x).select("session_id", F.coalesce("sig_outcome", F.lit("")).alias("o"), "relationship_type")
-    used = x.usage_daily.where("day IS NOT NULL").join(own, "session_id")
+    used = x.usage_daily.where("day IS NOT NULL").join(own.hint("merge"), "session_id")
     cost = lambda test: F.sum(F.when(test, F.col("cost")).otherwise(0.0))
     asked = F.sum(F.expr("input + cache_read + cache_write"))
     sums = {"cost": F.sum("cost"), "savings": F.sum("savings"), "tokens": F.sum(F.expr("input + output + cache_read + cache_write")), "hit_rate": F.try_divide(F.sum("cache_read"), asked)}
@@ -76,12 +81,12 @@ def _velocity(x: Inputs, clock: str) -> DataFrame:
 
 
 def _tools(x: Inputs, clock: str) -> DataFrame:
-    called = x.tool_rollup.join(x.sessions.select("session_id", "started_at"), "session_id")
+    called = x.tool_rollup.join(_starts(x), "session_id")
     return _summed("tools", _placed(called, F.col("started_at"), clock), {"calls": F.sum("calls"), "failures": F.sum("failures")})
 
 
 def _churn(x: Inputs, clock: str) -> DataFrame:
-    edited = x.file_churn.join(x.sessions.select("session_id", "started_at"), "session_id")
+    edited = x.file_churn.join(_starts(x), "session_id")
     return _summed("churn", _placed(edited, F.col("started_at"), clock), {"edits": F.sum("edits"), "paths": F.count("*")})
 
 
