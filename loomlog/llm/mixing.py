@@ -164,6 +164,8 @@ def mix_sources(docs: DataFrame, weights: list[float], block: int = 64, slots: i
     # groups of about 1024 documents of a source
     layout = _offsets(layed.where("size > 0"), "sid", F.struct("h", "doc_id", "size", "t"), F.floor(_u(F.col("h")) * F.expr("docs div 1024 + 1")), "size", "start").drop("h", "t", "docs")
     slot = draw_slots(plan.where("quota > 0").select("sid", "n_blocks", "quota", "all_slots"), slots, seed)
+    # shuffled first: in one stage with the draws the permutation runs several times as long, and in few tasks
+    slot = slot.select("sid", "n_blocks", "j").repartition(parts(plan.agg(F.max("all_slots")).first()[0], 1 << 16), "sid", "j")
     uses = read_blocks(slot, seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
     spans = layout.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     spans = spans.withColumn("part", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))

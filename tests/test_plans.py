@@ -11,3 +11,11 @@ from loomlog.plans import catalog
 def test_joins_on_sessions_are_not_broadcast(spark, tiny, name):
     plan = catalog.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert not re.findall(r"BroadcastHashJoin \[(?:coalesce\()?session_id\S*\]", plan)
+
+
+def test_uses_of_blocks_are_dealt_to_tasks_before_they_are_permuted(spark, tiny):
+    """Beside the draws, in one stage, the permutation of op8 ran in as few tasks as the draws have."""
+    from loomlog.llm import mixing
+
+    plan = mixing.op8_mix_sources(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[sid\S*, j\S*\]", plan)
