@@ -127,7 +127,9 @@ def read_blocks(slots: DataFrame, seed: int) -> DataFrame:
     for most in (8, WALKS):  # few rows need the long walk, so each projection takes on only what the one before has left outside
         walk = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.col("block"), lambda v, i: F.when(v < F.col("n_blocks"), v).otherwise(F.aggregate(rounds, v, step)))
         out = out.withColumn("block", F.when(inside, F.col("block")).otherwise(walk))
-    return out.select("sid", F.when(inside, F.col("block")).otherwise(F.raise_error(F.lit("the permutation found no index inside"))).cast("long").alias("block"))
+    found = F.when(inside, F.col("block")).otherwise(F.raise_error(F.lit("the permutation found no index inside")).cast("long"))
+    # never null, which the plan has to know: a join on blocks would else test it, and so permute everything twice, before the shuffle
+    return out.select("sid", F.coalesce(found, F.lit(-1).cast("long")).alias("block"))
 
 
 def mix_sources(docs: DataFrame, weights: list[float], block: int = 64, slots: int = 256, cap: int = 3, seed: int = 17) -> DataFrame:
@@ -164,7 +166,7 @@ def mix_sources(docs: DataFrame, weights: list[float], block: int = 64, slots: i
     # groups of about 1024 documents of a source
     layout = _offsets(layed.where("size > 0"), "sid", F.struct("h", "doc_id", "size", "t"), F.floor(_u(F.col("h")) * F.expr("docs div 1024 + 1")), "size", "start").drop("h", "t", "docs")
     slot = draw_slots(plan.where("quota > 0").select("sid", "n_blocks", "quota", "all_slots"), slots, seed)
-    # shuffled first: in one stage with the draws the permutation runs several times as long, and in few tasks
+    # shuffled first, as the draws have few tasks
     slot = slot.select("sid", "n_blocks", "j").repartition(parts(plan.agg(F.max("all_slots")).first()[0], 1 << 16), "sid", "j")
     uses = read_blocks(slot, seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
     spans = layout.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))

@@ -19,3 +19,11 @@ def test_uses_of_blocks_are_dealt_to_tasks_before_they_are_permuted(spark, tiny)
 
     plan = mixing.op8_mix_sources(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"RepartitionByExpression \[sid\S*, j\S*\]", plan)
+
+
+def test_no_filter_permutes_uses_of_blocks_once_more(spark, tiny):
+    """A test for null on the block of a use went down to the draws, where it permuted every use a second time, row by row."""
+    from loomlog.llm import mixing
+
+    plan = mixing.op8_mix_sources(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "raise_error" in plan and not [line for line in plan.splitlines() if "Filter" in line and "raise_error" in line]
