@@ -34,7 +34,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, Jaccard 0.8), the one of smallest doc_id.
 
-    The 64 bits of op2 within radius 2 reach only almost exact copies, so this stage compares the shingles themselves.
+    SimHash fingerprints within radius 2 give the first links, each checked on the shingles. They reach only almost exact
+    copies, so what they leave apart is compared by the shingles themselves.
     Null, empty and wordless texts are copies of each other. Rows that repeat a doc_id stay once for each distinct text;
     rows without a doc_id go if their group has one. All columns of docs are returned.
     """

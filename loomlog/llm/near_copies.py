@@ -1,4 +1,4 @@
-"""Near copies: all pairs of texts at or above a Jaccard similarity of word shingles, by prefix filtering and an exact check."""
+"""Near copies: texts at or above a Jaccard similarity of word shingles, by SimHash first, then by prefix filtering, each with an exact check."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import connected_components, small, written
-from loomlog.llm.simhash import keep_first
+from loomlog.llm.simhash import bits_of, keep_first, pigeonring_links, runs
 
 #: Shingles that a task sees so often are candidates for the end of the order; so many of them are ordered by count.
 OFTEN, ORDERED = 4, 200_000
@@ -29,14 +29,12 @@ def shingle_set(data: bytes, k: int = 5, seed: int = 42) -> np.ndarray:
 
     A text of fewer words is one run; texts without words have the same set, of the empty run.
     """
-    tokens = data.lower().split()
-    joined, n = b" ".join(tokens), len(tokens)
-    if n <= k:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    lengths = np.fromiter(map(len, tokens), np.int64, n)
-    ends = np.cumsum(lengths + 1) - 1
-    starts, stops, digest = (ends - lengths)[: n - k + 1].tolist(), ends[k - 1 :].tolist(), xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[s:t], seed) for s, t in zip(starts, stops, strict=True)), np.uint64, n - k + 1))
+    return as_set(runs(data, k, seed), seed)
+
+
+def as_set(h: np.ndarray, seed: int = 42) -> np.ndarray:
+    """The set of a text's runs; without words it holds the empty run."""
+    return np.unique(h) if len(h) else np.array([xxhash.xxh64_intdigest(b"", seed)], np.uint64)
 
 
 def prefix(shingles: np.ndarray, threshold: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -93,9 +91,27 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return found[order], (len(found) - order).astype(np.int64)
 
 
+def simhash_pairs(fps: DataFrame) -> DataFrame:
+    """(src, dst), src < dst: pairs of keys of fps(key, fp) that SimHash links within radius 2, directly or over others.
+
+    Keys of one fingerprint are paired with the least of them, which stands for it in the pairs with others.
+    """
+    least = written(fps.groupBy("fp").agg(F.min("key").alias("src")), "distinct")
+    same = fps.join(least, "fp").select("src", F.col("key").alias("dst"))
+    near = pigeonring_links(least.select("fp"))
+    for end in ("src", "dst"):
+        near = near.withColumnRenamed(end, "_fp").join(least.select(F.col("fp").alias("_fp"), F.col("src").alias(end)), "_fp").drop("_fp")
+    pairs = same.unionByName(near).where("src <> dst")
+    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
 def jaccard_links(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """(src, dst): links that join any two keys of texts(key, text) of that similarity, directly or over others.
 
+    First come the pairs that SimHash finds: the 64 bits of each text, over the same shingles with repeats, are linked
+    within radius 2 (see simhash.pigeonring_links), and of these pairs those of that similarity are links. Two bits reach
+    the closest copies only, so the rest follows, between what is not joined yet.
+
     Keys whose prefixes share a shingle are candidates, if enough of both is left behind it. Each is first compared
     with those two leaders of such buckets that it meets most often, which joins the members of a large group in rows
     that grow with its size and not with its square, and again with other leaders where a bucket still holds several
@@ -107,18 +123,20 @@ def jaccard_links(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_py(), k) for x in batch.column(1)]
+            hashes = [runs(x.as_py(), k) for x in batch.column(1)]
+            fps = pa.array(np.fromiter(map(bits_of, hashes), np.uint64, len(hashes)).view(np.int64))
+            sets = [as_set(h) for h in hashes]
             heads = pa.array([prefix(s, threshold, *order.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
             bits = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), bits, heads], ["key", "n", "bits", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), bits, heads, fps], ["key", "n", "bits", "head", "fp"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([shingle_set(x.as_py(), k).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["key", "s"])
 
-    heads = texts.select("key", "text").mapInArrow(prefixes, "key long, n int, bits array<long>, head array<long>")
-    heads = written(heads.groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("head").alias("head")), "heads")
+    heads = texts.select("key", "text").mapInArrow(prefixes, "key long, n int, bits array<long>, head array<long>, fp long")
+    heads = written(heads.groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("head").alias("head"), F.first("fp").alias("fp")), "heads")
     # posexplode_outer: for posexplode Spark would test for empty arrays first
     posts = heads.select("key", "n", F.posexplode_outer("head").alias("at", "h"))
     shared = posts.groupBy("h").count().where("count > 1").select("h")
@@ -170,7 +188,9 @@ def jaccard_links(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
         mixed = own.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.count("*").alias("cs"), F.max_by("c", F.struct("m", "c")).alias("most")).where("cs > 1")
         return written(own.join(mixed.select("h", "most"), "h"), "tagged")
 
-    left, tried, links = members.select("h", "key", "n", "at", F.col("key").alias("c")), None, []
+    tried = written(simhash_pairs(heads.select("key", "fp")), "tried")
+    links = [written(alike(tried), "links")]
+    left = tagged(connected_components(links[0]))
     for r in range(ROUNDS):
         place, whole_key = F.xxhash64("key", F.lit(r)), F.struct("key", "n", "at", "c")
         led = left.groupBy("h").agg(F.min_by(whole_key, place).alias("x"), F.max_by(whole_key, place).alias("y"))
@@ -178,8 +198,8 @@ def jaccard_links(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
         met = met.groupBy("key", F.col("to.key").alias("to")).count()
         best = met.groupBy("key").agg(F.max(F.struct("count", "to")).alias("p"), F.max_by(F.struct("count", "to"), F.struct(F.col("count"), -F.col("to"))).alias("q"))
         new = best.select("key", F.explode(F.array("p.to", "q.to")).alias("to")).select(*pair("key", "to")).distinct()
-        new = written(new if tried is None else new.join(tried, ["src", "dst"], "left_anti"), "tried")
-        tried = new if tried is None else tried.unionAll(new)
+        new = written(new.join(tried, ["src", "dst"], "left_anti"), "tried")
+        tried = tried.unionAll(new)
         links.append(written(alike(new), "links"))
         left = tagged(connected_components(reduce(DataFrame.unionAll, links)))
     a, b = left.where("c <> most").alias("a"), left.alias("b")

@@ -14,23 +14,35 @@ from pyspark.sql import functions as F
 from loomlog.llm.common import connected_components, read, small, written
 
 
-def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a UTF-8 text: A-Z lower-cased, words between ASCII blanks, repeats counted; no words: 0."""
+def runs(data: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of `shingle` words of a UTF-8 text, repeats included: A-Z lower-cased, words between ASCII blanks.
+
+    A text of fewer words is one run; a text without words has none.
+    """
     tokens = data.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, lengths = b" ".join(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     k = min(shingle, len(tokens))
     starts, stops = (ends - lengths)[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[s:t], seed) for s, t in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[s:t], seed) for s, t in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
+
+def bits_of(h: np.ndarray) -> int:
+    """64-bit SimHash of hashes, repeats counted; 0 of none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 15):
         ones += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * ones > len(h)].sum(dtype=np.uint64))
 
 
+def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the runs of a text; no words: 0."""
+    return bits_of(runs(data, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): a row for each row of docs; null texts count as empty. Other columns are not read."""
 

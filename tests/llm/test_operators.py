@@ -173,6 +173,21 @@ def test_near_copies_of_edited_texts(spark, docs, empty):
     assert near_copies.jaccard_groups(empty).count() == 0
 
 
+def test_near_copies_are_linked_by_simhash_first(spark, monkeypatch):
+    """The pairs of SimHash are found from fingerprints of the same shingles, and alone they join what they reach."""
+    texts = [t for t in edited() for t in (t, t + " " + t)] + ["", "one two"]
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert len(set(fps)) < len(fps)
+    near = {(i, j) for j, b in enumerate(fps) for i, a in enumerate(fps[:j]) if (a ^ b).bit_count() <= 2}
+    got = near_copies.simhash_pairs(spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "key long, fp long")).collect()
+    group = lambda pairs: connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()
+    assert {(r["src"], r["dst"]) for r in got} <= near and sorted(group(got)) == sorted(group(list(near)))
+    calls = []
+    monkeypatch.setattr(near_copies, "pigeonring_links", lambda fps: calls.append(1) or simhash.pigeonring_links(fps))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(near_copies.jaccard_groups(df), "doc_id", "component_id") == sorted(enumerate(near_by_hand(list(enumerate(texts)))), key=repr) and calls
+
+
 def test_pipeline_by_hand(spark):
     sf = f"{spark.conf.get('spark.checkpoint.dir')}/whole"
     leak = "the quick test item that no document should ever hold at all"
