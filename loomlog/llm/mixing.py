@@ -18,24 +18,23 @@ def _u(*key: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: list[float], cap: float = 3.0) -> DataFrame:
-    """(source, source_size, target) from (source, source_size).
+    """sizes(source, source_size, and other columns) with target.
 
     Sources by code point, null last, take the weights in turn and share 100% of all sizes by weight. A target stops at
     cap times its source's size, and the excess is shared again by weight until none is above. That is a water level:
     sources are filled in order of cap * size / weight, and the level is the first that the next one can hold.
     """
-    s = sizes.where("source_size > 0")
-    n = len(weights)
-    every = sizes.withColumn("k", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
-    every = every.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("k") % n + 1).cast("int")))
-    s = every.where("source_size > 0").withColumn("cap", cap * F.col("source_size")).withColumn("r", F.col("cap") / F.col("w"))
-    before = W.orderBy("r", "k").rowsBetween(W.unboundedPreceding, -1)
+    n, some = len(weights), F.col("source_size") > 0
+    s = sizes.withColumn("k", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    s = s.withColumn("w", F.when(some, F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("k") % n + 1).cast("int"))).otherwise(0.0))
+    s = s.withColumn("cap", cap * F.col("source_size")).withColumn("r", F.when(some, F.col("cap") / F.col("w")))
+    before = W.orderBy(F.col("r").asc_nulls_last(), "k").rowsBetween(W.unboundedPreceding, -1)
     s = s.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("used", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     s = s.withColumn("all_w", F.sum("w").over(W.partitionBy())).withColumn("all_size", F.sum("source_size").over(W.partitionBy()))
-    s = s.withColumn("level", (F.col("all_size") - F.col("capped")) / (F.col("all_w") - F.col("used")))
+    s = s.withColumn("level", F.try_divide(F.col("all_size") - F.col("capped"), F.col("all_w") - F.col("used")))
     s = s.withColumn("water", F.min(F.when(F.col("level") <= F.col("r"), F.struct("r", "k", "level"))).over(W.partitionBy())["level"])
-    s = s.select("k", F.least("cap", F.col("w") * F.coalesce("water", F.lit(float("inf")))).alias("target"))
-    return every.join(s, "k", "left").select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
+    target = F.when(some, F.least("cap", F.col("w") * F.coalesce("water", F.lit(float("inf"))))).otherwise(0.0)
+    return s.select(*sizes.columns, target.alias("target"))
 
 
 def _offsets(df: DataFrame, key: str, order: Column, group: Column, value: str, name: str, levels: int = 3) -> DataFrame:
@@ -91,7 +90,9 @@ def draw_slots(plan: DataFrame, slots: int, seed: int) -> DataFrame:
     got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
     lack = plan.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).withColumn("lack", F.greatest(F.lit(0), F.col("quota") - F.col("got")))
     lack = lack.withColumn("to", F.sum("lack").over(upto)).withColumn("from", F.col("to") - F.col("lack")).withColumn("all", F.sum("lack").over(W.partitionBy()))
+    lack = written(lack, "lack")
     over = held.withColumn("s", F.col("n") - F.col("kept")).groupBy("shard").agg(F.sum("s").alias("s")).where("s > 0").withColumn("k", F.lit(0))
+    over = written(over, "over")
     free = _offsets(over, "k", F.col("shard"), F.expr("shard div 1024"), "s", "f0").select("shard", F.explode(F.sequence("f0", F.col("f0") + F.col("s") - 1)).alias("f"))
     most = lack.agg(F.max("all")).first()[0]
     # x is half a step up, so that rounding leaves every f inside its span
@@ -151,7 +152,7 @@ def mix_sources(docs: DataFrame, weights: list[float], block: int = 64, slots: i
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("t"))
     sized = written(sized.withColumn("h", F.xxhash64(F.lit(seed).cast("long"), F.col("doc_id").cast("long"), "t")), "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("docs"))
-    targets = source_targets(sums.select("source", "source_size"), weights, float(cap)).join(sums.select(F.col("source").alias("_s"), "docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    targets = source_targets(sums, weights, float(cap))
     plan = targets.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).cast("long")).withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
     # a source's share of slots is its target in blocks, as its blocks hold size / n_blocks words on average
     plan = plan.withColumn("real", F.coalesce(F.try_divide(F.col("target") * F.col("n_blocks"), "source_size"), F.lit(0.0))).withColumn("whole", F.floor(F.col("real") + 1e-9))
@@ -168,7 +169,7 @@ def mix_sources(docs: DataFrame, weights: list[float], block: int = 64, slots: i
     slot = draw_slots(plan.where("quota > 0").select("sid", "n_blocks", "quota", "all_slots"), slots, seed)
     # shuffled first, as the draws have few tasks
     slot = slot.select("sid", "n_blocks", "j").repartition(parts(plan.agg(F.max("all_slots")).first()[0], 1 << 16), "sid", "j")
-    uses = read_blocks(slot, seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    uses = written(read_blocks(slot, seed).groupBy("sid", "block").agg(F.count("*").alias("uses")), "uses")
     spans = layout.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     spans = spans.withColumn("part", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
     taken = spans.join(uses, ["sid", "block"], "left").groupBy("sid", "doc_id", "size", "start", "source_size", "target").agg(F.sum(F.col("part") * F.coalesce("uses", F.lit(0))).alias("taken"))
