@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,8 @@ _FLUSH = 1 << 22
 ROUNDS = 3
 #: Longs of parity that go with the members of buckets; a power of two.
 SKETCH = 8
+#: Texts that a worker holds the shingles of at a time.
+_TEXTS = 1000
 
 
 def shingle_set(data: bytes, k: int = 5, seed: int = 42) -> np.ndarray:
@@ -60,6 +61,13 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few texts, so that a worker's memory does not follow the size of Spark's batches."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, _TEXTS):
+            yield batch.slice(i, _TEXTS)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, key, text): key stands for the text, so that exact copies are compared once."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -106,8 +114,9 @@ def simhash_pairs(fps: DataFrame) -> DataFrame:
 
 
 def jaccard_links(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
-    """(src, dst): links that join any two keys of texts(key, text) of that similarity, directly or over others.
+    """(src, dst): edges that join any two keys of texts(key, text) of that similarity, directly or over others.
 
+    Edges are the links found by the last comparison and, for those before, each key's edge to the least of its component.
     First come the pairs that SimHash finds: the 64 bits of each text, over the same shingles with repeats, are linked
     within radius 2 (see simhash.pigeonring_links), and of these pairs those of that similarity are links. Two bits reach
     the closest copies only, so the rest follows, between what is not joined yet.
@@ -122,7 +131,7 @@ def jaccard_links(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
     order = spark.sparkContext.broadcast(_common(texts, k))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             hashes = [runs(x.as_py(), k) for x in batch.column(1)]
             fps = pa.array(np.fromiter(map(bits_of, hashes), np.uint64, len(hashes)).view(np.int64))
             sets = [as_set(h) for h in hashes]
@@ -131,7 +140,7 @@ def jaccard_links(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), bits, heads, fps], ["key", "n", "bits", "head", "fp"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = pa.array([shingle_set(x.as_py(), k).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["key", "s"])
 
@@ -177,20 +186,15 @@ def jaccard_links(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
     def pair(a: str, b: str) -> list:
         return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
 
-    # a few longs of parity go with the members of buckets, so that most pairs end inside the join that makes them
-    few = F.transform(F.array(*[F.lit(i) for i in range(SKETCH)]), lambda i: F.aggregate(F.filter("bits", lambda x, j: j % SKETCH == i), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)))
-    sketch = bits.select(F.col("key").alias("_key"), F.when(F.size("bits") > SKETCH, few).otherwise(F.col("bits")).alias("sk"))
-    sketched = written(members.join(small(sketch), F.col("key") == F.col("_key")).drop("_key"), "members")
-
-    def tagged(comp: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components, with their own and the bucket's largest component."""
-        own = sketched.join(comp, F.col("key") == F.col("node"), "left").select("h", "key", "n", "at", "sk", F.coalesce("component", "key").alias("c"))
+    def tagged(left: DataFrame, comp: DataFrame) -> DataFrame:
+        """Rows of left in the buckets that hold several components, with their own and the bucket's largest component."""
+        own = left.select("h", "key", "n", "at").join(small(comp), F.col("key") == F.col("node"), "left").select("h", "key", "n", "at", F.coalesce("component", "key").alias("c"))
         mixed = own.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.count("*").alias("cs"), F.max_by("c", F.struct("m", "c")).alias("most")).where("cs > 1")
         return written(own.join(mixed.select("h", "most"), "h"), "tagged")
 
     tried = written(simhash_pairs(heads.select("key", "fp")), "tried")
-    links = [written(alike(tried), "links")]
-    left = tagged(connected_components(links[0]))
+    comp = written(connected_components(alike(tried)), "joined")
+    left = tagged(members, comp)
     for r in range(ROUNDS):
         place, whole_key = F.xxhash64("key", F.lit(r)), F.struct("key", "n", "at", "c")
         led = left.groupBy("h").agg(F.min_by(whole_key, place).alias("x"), F.max_by(whole_key, place).alias("y"))
@@ -200,12 +204,20 @@ def jaccard_links(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
         new = best.select("key", F.explode(F.array("p.to", "q.to")).alias("to")).select(*pair("key", "to")).distinct()
         new = written(new.join(tried, ["src", "dst"], "left_anti"), "tried")
         tried = tried.unionAll(new)
-        links.append(written(alike(new), "links"))
-        left = tagged(connected_components(reduce(DataFrame.unionAll, links)))
+        links = written(alike(new), "links")
+        if links.isEmpty():
+            continue
+        # components only grow together, so a bucket that is not mixed any more never is again
+        comp = written(connected_components(comp.toDF("src", "dst").unionAll(links)), "joined")
+        left = tagged(left, comp)
+    # a few longs of parity go with the members of buckets, so that most pairs end inside the join that makes them
+    few = F.transform(F.array(*[F.lit(i) for i in range(SKETCH)]), lambda i: F.aggregate(F.filter("bits", lambda x, j: j % SKETCH == i), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)))
+    sketch = bits.select(F.col("key").alias("_key"), F.when(F.size("bits") > SKETCH, few).otherwise(F.col("bits")).alias("sk"))
+    left = written(left.join(small(sketch), F.col("key") == F.col("_key")).drop("_key"), "sketched")
     a, b = left.where("c <> most").alias("a"), left.alias("b")
     rest = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.most")) | (F.col("a.key") < F.col("b.key"))) & possible("a.", "b.") & near("a.sk", "b.sk", F.col("a.n") + F.col("b.n")))
     rest = rest.select(*pair("a.key", "b.key")).distinct().join(tried, ["src", "dst"], "left_anti")
-    return reduce(DataFrame.unionAll, [*links, written(alike(rest), "links")])
+    return comp.toDF("src", "dst").unionAll(written(alike(rest), "links"))
 
 
 def jaccard_groups(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:

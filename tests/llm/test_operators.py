@@ -13,6 +13,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -173,6 +174,22 @@ def test_near_copies_of_edited_texts(spark, docs, empty):
     assert near_copies.jaccard_groups(empty).count() == 0
 
 
+def test_near_copies_carry_no_sketches_through_rounds(spark, monkeypatch):
+    """Rounds write narrow rows, only of buckets that were mixed before; edges go into components once; workers hold few texts at a time."""
+    tables, edges = [], []
+    monkeypatch.setattr(near_copies, "written", lambda df, name, *a, **b: tables.append((name, out := written(df, name, *a, **b))) or out)
+    monkeypatch.setattr(near_copies, "connected_components", lambda e, *a: edges.append(e.count()) or connected_components(e, *a))
+    texts = edited()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(near_copies.jaccard_groups(df), "doc_id", "component_id") == sorted(enumerate(near_by_hand(list(enumerate(texts)))), key=repr)
+    rounds = [t for name, t in tables if name == "tagged"]
+    assert rounds and all(set(t.columns) == {"h", "key", "n", "at", "c", "most"} for t in rounds)
+    counts = [t.count() for t in rounds]
+    assert counts == sorted(counts, reverse=True) and edges[-1] <= 2 * len(texts)
+    cut = list(near_copies._slices(iter([pa.RecordBatch.from_pydict({"x": list(range(2500))})])))
+    assert [b.num_rows for b in cut] == [1000, 1000, 500] and pa.Table.from_batches(cut)["x"].to_pylist() == list(range(2500))
+
+
 def test_near_copies_are_linked_by_simhash_first(spark, monkeypatch):
     """The pairs of SimHash are found from fingerprints of the same shingles, and alone they join what they reach."""
     texts = [t for t in edited() for t in (t, t + " " + t)] + ["", "one two"]
